@@ -2,8 +2,8 @@
 
 ``encode`` stores bytes losslessly as the 8-bit samples of a mono WAV file, written by
 the wave module; ``decode`` reads the stored files back with it. ``features`` takes the
-short-time Fourier transform of the samples, keeps the peaks (bins over their four
-neighbours in time and frequency and well over their frame's mean), and pairs each peak
+short-time Fourier transform of the samples, keeps the peaks (bins over their two
+neighbours in frequency, not under those in time, and well over their frame's mean), and pairs each peak
 with the next ``FAN``: a pair is (frequency, frequency, frames between) packed into an
 integer, with the frame of its first peak as its time code.
 
@@ -77,13 +77,13 @@ def peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         ok = own[:, 1:-1] >= OVER_MEAN * own.mean(1, keepdims=True)
         ok &= (own[:, 1:-1] > own[:, :-2]) & (own[:, 1:-1] > own[:, 2:])
         if first < lo:
-            ok &= own[:, 1:-1] > m[: hi - lo, 1:-1]
+            ok &= own[:, 1:-1] >= m[: hi - lo, 1:-1]
         else:
-            ok[1:] &= own[1:, 1:-1] > own[:-1, 1:-1]
+            ok[1:] &= own[1:, 1:-1] >= own[:-1, 1:-1]
         if last > hi:
-            ok &= own[:, 1:-1] > m[lo - first + 1 :, 1:-1]
+            ok &= own[:, 1:-1] >= m[lo - first + 1 :, 1:-1]
         else:
-            ok[:-1] &= own[:-1, 1:-1] > own[1:, 1:-1]
+            ok[:-1] &= own[:-1, 1:-1] >= own[1:, 1:-1]
         t, f = np.nonzero(ok)
         at.append(t + lo)
         bins.append(f + 1)
