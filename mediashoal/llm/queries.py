@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashoal.llm import bpe, lines, media, mixing, quality, simhash
+from mediashoal.llm import bpe, chat, lines, media, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.format_preferences(*chat.pairs_of(_table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(c)
+    return made.select("pair_id", F.col("part").cast("bigint").alias("part"), "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), F.col("n_common").cast("bigint").alias("n_common"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,6 +35,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,15 +69,45 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preferences": op1_preferences,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_warc": op6_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_preferences": """
+        WITH c AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        e AS (SELECT pair_id, max(turn) AS last, arg_max(text, turn) AS reply FROM c GROUP BY pair_id),
+        r AS (SELECT c.pair_id, turn, role, CASE WHEN turn = e.last THEN coalesce(o.reply, c.text) ELSE c.text END AS text
+              FROM c JOIN e USING (pair_id) LEFT JOIN e AS o ON o.pair_id = xor(c.pair_id, 1)),
+        j AS (SELECT c.pair_id, c.turn, c.role, c.text AS a, r.text AS b FROM c JOIN r USING (pair_id, turn)),
+        f AS (SELECT j.*, d.first FROM j LEFT JOIN (SELECT pair_id, min(turn) AS first FROM j WHERE a <> b GROUP BY pair_id) d USING (pair_id)),
+        s AS (SELECT pair_id, turn, role, coalesce(turn >= first, false) AS diff, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) AS head,
+                     replace(a, '<|', '< |') || '<|end|>' || chr(10) AS ta, replace(b, '<|', '< |') || '<|end|>' || chr(10) AS tb FROM f),
+        o AS (SELECT *, coalesce(sum(length(head || ta)) FILTER (diff) OVER w, 0) + length(head) AS sa,
+                     coalesce(sum(length(head || tb)) FILTER (diff) OVER w, 0) + length(head) AS sb
+              FROM s WINDOW w AS (PARTITION BY pair_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT pair_id, CAST(0 AS BIGINT) AS part, coalesce(string_agg(head || ta, '' ORDER BY turn) FILTER (NOT diff), '') AS prompt,
+               coalesce(string_agg(head || ta, '' ORDER BY turn) FILTER (diff), '') AS chosen,
+               coalesce(string_agg(head || tb, '' ORDER BY turn) FILTER (diff), '') AS rejected,
+               coalesce(string_agg(sa || ':' || (sa + length(ta) - 1), ',' ORDER BY turn) FILTER (diff AND role = 'assistant'), '') AS chosen_mask,
+               coalesce(string_agg(sb || ':' || (sb + length(tb) - 1), ',' ORDER BY turn) FILTER (diff AND role = 'assistant'), '') AS rejected_mask,
+               count(*) FILTER (NOT diff) AS n_common
+        FROM o GROUP BY pair_id""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, sha256(b) AS digest FROM p),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS owner FROM h)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+        FROM t""",
     "op8_line_dedup": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
