@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashoal.llm import bpe, chat, lines, media, mixing, quality, simhash, warc
+from mediashoal.llm import bpe, chat, lines, media, mixing, quality, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_mix_sources": op10_mix_sources,
@@ -119,3 +124,8 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM j GROUP BY r, doc_id""",
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """With the SQL that holds fitted weights, which takes a second to make."""
+    return ORACLE_SQL | {"op7_url_filter": urls.oracle(urls.fit(urls.LABELLED))}
