@@ -1,16 +1,59 @@
-"""A corpus pipeline over ``documents``: each stage calls one operator of the llm subpackage."""
+"""A corpus pipeline over ``documents``: each stage calls one operator of the llm subpackage.
+
+Each stage works on all rows that the one before kept, and its decisions take effect:
+rejected documents and dropped lines are gone, one document of each near-duplicate
+group is left, the mix repeats and leaves out documents by its targets, and the last
+stage gives the token ids of what remains, decoded again as a check.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mediashoal.llm import bpe, lines, mixing, quality, simhash
 from mediashoal.storage import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """With the length of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(lines.dedup_lines(docs), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs, width=5, budget=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(mixing.apply_mix(docs), docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    return both.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("byte-level bpe", tokenize),
+]
 
 #: No SQL can state the perplexities and merges of the stages; tests use brute force.
 ORACLE_SQL = None

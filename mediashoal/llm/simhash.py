@@ -23,6 +23,7 @@ used, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -207,14 +208,39 @@ def trie_links(classes: DataFrame, budget: int, bucket_rows: int = BUCKET_ROWS)
     return links
 
 
+def classes(marked: DataFrame, ident: str, budget: int) -> DataFrame:
+    """``(fp, component, component_id)`` of the fingerprints of ``marked``."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
+    found = connected_components(trie_links(distinct, budget), "a", "b").withColumnRenamed("node", "fp")
+    grouped = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    first = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    return materialize(grouped.join(first, "component").select("fp", "component", "component_id"), "named")
+
+
 def near_duplicates(
     docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, seed: int = 42
 ) -> DataFrame:
     """``(ident, fp, component_id)`` per row of ``docs``."""
     marked = materialize(fingerprints(docs, ident, text, width, seed), "simhash")
-    classes = materialize(marked.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
-    found = connected_components(trie_links(classes, budget), "a", "b").withColumnRenamed("node", "fp")
-    grouped = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    first = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(grouped.join(first, "component").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select(ident, "fp", "component_id")
+    return marked.join(classes(marked, ident, budget), "fp").select(ident, "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, budget: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component, the one with the least id, with the columns of ``docs``.
+
+    Of rows that repeat this id one stays. Rows without an id stay only if their
+    component has no id at all, and then one of those with one text.
+    """
+    marked = materialize(fingerprints(docs, ident, text, width, seed), "simhash")
+    named = classes(marked, ident, budget)
+    kept = named.where("component_id is not null").select(F.col("component_id").alias(ident)).distinct()
+    first = docs.where(F.col(ident).isNotNull()).join(kept.hint("merge"), ident, "left_semi").select(docs.columns).dropDuplicates([ident])
+    nameless = docs.where(F.col(ident).isNull())
+    if nameless.isEmpty():
+        return first
+    alone = named.where("component_id is null").groupBy("component").agg(F.min("fp").alias("fp"))
+    texts = nameless.select(text).distinct().withColumn("_key", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    chosen = fingerprints(texts, "_key", text, width, seed).join(alone, "fp").groupBy("fp").agg(F.min("_key").alias("_key"))
+    mark = f"key_{uuid.uuid4().hex[:8]}"
+    rest = nameless.withColumn(mark, F.coalesce(F.col(text).cast("string"), F.lit(""))).join(chosen.select(F.col("_key").alias(mark)), mark, "left_semi")
+    return first.unionAll(rest.dropDuplicates([mark]).select(docs.columns))

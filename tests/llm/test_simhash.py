@@ -85,3 +85,15 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_deduplicate_keeps_one_of_each_component(spark):
+    made = rows() + [(None, "an id is missing here", "fr", None, 1), (None, "", None, None, 0)]
+    docs = clashing(documents(spark, made), "fp", "component_id", "_key")
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    ids = [r[0] for r in made]
+    components = brute_components(ids, [brute_fingerprint(r[1], 5) for r in made], 3)
+    got = sorted(str(r["doc_id"]) for r in out.collect())
+    assert got == sorted([str(c) for c in {c for c in components if c is not None}] + ["None"])
+    assert simhash.deduplicate(documents(spark, [])).count() == 0
