@@ -8,8 +8,8 @@ next merge. A merge only adds entries; those that it made stale are recognised w
 they come up (the position is dead, or its pair has another rank now) and skipped. So
 a pre-token of n bytes takes O(n log n), however long.
 
-Texts are cut only at a blank between two other characters, where the pattern always
-starts a new match; chunks and pre-tokens seen before come from bounded caches.
+Pre-tokens seen before come from a bounded cache of two generations: when the young one
+is full it becomes the old one, and what is used again moves back.
 
 A null text is an empty one and has no tokens. A null token list decodes to null.
 Texts are whole; other columns of the input are not used, whatever their names;
@@ -19,7 +19,6 @@ repeated rows and null ids come back as they are; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,18 +26,17 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediashoal.llm.arrow import small_batches
 
-#: Entries of each cache of a Python worker; a full cache is emptied.
-CACHE_ENTRIES = 250_000
-#: Longer chunks are not kept in a cache.
+#: Entries of each of the two generations of a Python worker's cache.
+CACHE_ENTRIES = 500_000
+#: Longer pre-tokens are not kept.
 CACHE_LENGTH = 64
-#: A blank between two characters that are no white space to any of the libraries.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -120,14 +118,18 @@ class _Cache(dict):
     """key -> made(key); bounded, and long keys are made each time."""
 
     def __init__(self, made):
-        self.made = made
+        self.made, self.old = made, {}
 
     def __missing__(self, key):
-        found = self.made(key)
-        if len(key) <= CACHE_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[key] = found
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.made(key)
+            if len(key) > CACHE_LENGTH:
+                return found
+        if len(self) >= CACHE_ENTRIES:
+            self.old = self.copy()
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -136,20 +138,36 @@ class Tokenizer:
         self.encoder = Encoder(read_ranks(data))
         self.find = regex.compile(pattern).findall
         self.pieces = _Cache(self._piece)
-        self.chunks = _Cache(lambda chunk: self._chunk(" " + chunk))
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.encoder.ranks.get(raw)
         return array("i", [rank] if rank is not None else self.encoder.merge(raw)).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
-
     def encode(self, text: str) -> bytes:
         """The ids of a text as native 32-bit integers."""
-        chunks = SAFE.split(text)
-        return self._chunk(chunks[0]) + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+
+class Decoder:
+    """All tokens' bytes in one array, gathered for many ids at once."""
+
+    def __init__(self, data: bytes):
+        tokens = {r: t for t, r in read_ranks(data).items()}
+        every = [tokens.get(k, b"") for k in range(max(tokens) + 1)]
+        self.sizes = np.array(list(map(len, every)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(every), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        ids = lists.flatten().to_numpy()
+        ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+        sizes = self.sizes[ids]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - upto[:-1], sizes) + np.arange(upto[-1])
+        offsets = np.concatenate([[0], upto[ends]]).astype(np.int64)
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(self.bytes[at])]).cast(pa.binary())
+        return pc.if_else(lists.is_valid(), made, pa.scalar(None, pa.binary())) if lists.null_count else made
 
 
 @lru_cache(maxsize=4)
@@ -157,6 +175,11 @@ def _tokenizer(data: bytes, pattern: str) -> Tokenizer:
     return Tokenizer(data, pattern)
 
 
+@lru_cache(maxsize=4)
+def _decoder(data: bytes) -> Decoder:
+    return Decoder(data)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``(ident, tokens array<int>)`` per row. ``ranks_path`` is read on the driver."""
     with open(ranks_path, "rb") as f:
@@ -183,11 +206,9 @@ def decode(tokens: DataFrame, ranks_path: str, ident: str = "doc_id") -> DataFra
     small_batches(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {r: t for t, r in read_ranks(shared.value).items()}.__getitem__
+        made = _decoder(shared.value).decode
         for batch in batches:
-            lists = batch.column(1)
-            made = [None if x is None else b"".join(map(table, x)) for x in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(made, pa.binary())], [ident, "tokens", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made(batch.column(1))], [ident, "tokens", "decoded"])
 
     kind = tokens.schema[ident].dataType.simpleString()
     return tokens.select(ident, "tokens").mapInArrow(run, f"{ident} {kind}, tokens array<int>, decoded binary")

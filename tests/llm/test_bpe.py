@@ -72,5 +72,13 @@ def test_query_rows(spark, library):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def test_decoding_null_and_empty_lists(spark):
+    rows = [(1, [10, 11]), (2, None), (3, []), (None, [65])]
+    ranks = bpe.read_ranks(open(PATH, "rb").read())
+    back = {r: t for t, r in ranks.items()}
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id bigint, tokens array<int>").coalesce(1), PATH).collect()
+    assert [None if r["decoded"] is None else bytes(r["decoded"]) for r in got] == [None if x is None else b"".join(back[k] for k in x) for _, x in rows]
+
+
 def test_empty_table(spark):
     assert bpe.round_trip_digests(documents(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
