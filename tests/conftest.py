@@ -11,6 +11,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "4000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
