@@ -263,7 +263,8 @@ class LineIndex:
         # a document's dropped keys, at most as many as it has lines
         lists = gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc", f"{mark}_doc")
         lists = materialize(lists, "line-drops")
-        joined = renamed.join(lists, F.col(ident) == F.col(f"{mark}_doc"), "left")
+        # lists grow with the documents: always by sorting, never by broadcast, at any size
+        joined = renamed.join(lists.hint("merge"), F.col(ident) == F.col(f"{mark}_doc"), "left")
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
