@@ -18,6 +18,9 @@ EXCLUDED_NAMES = (
 )
 FACE_TILE = "facetile"
 
+#: Names that hold no other name: looking for these finds all.
+SHORTEST_NAMES = tuple(n for n in EXCLUDED_NAMES if not any(o != n and o in n for o in EXCLUDED_NAMES))
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,7 +68,7 @@ def is_listed(path: Column, name: Column, kind: Column) -> Column:
     """The always-on rule of queries: substrings of the path, unlike ``is_excluded``."""
     lowered = ascii_lower(path)
     ok = ~name.startswith(".") & ((kind != "image") | ~ascii_lower(name).startswith(FACE_TILE))
-    for listed in EXCLUDED_NAMES:
+    for listed in SHORTEST_NAMES:
         hit = F.like(lowered, F.lit(f"%{listed}%")) if "_" in listed else lowered.contains(listed)
         ok = ok & ~hit
     return ok

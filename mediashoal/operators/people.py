@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.functions.vectors import cosine, cosine_to
+from mediashoal.functions.vectors import cosine_to
 from mediashoal.schemas import FACE_THRESHOLD
 
+#: Rows of a block of vectors.
+BLOCK_ROWS = 4096
+
 
 def list_people(people: DataFrame, faces: DataFrame) -> DataFrame:
     """Each person with the number of faces, zero included, by name. Faces are counted
@@ -31,15 +38,47 @@ def named_faces(faces: DataFrame, vector: str = "vector") -> DataFrame:
     return faces.where(F.col("person_id").isNotNull()).select(F.col("id").alias("named_id"), "person_id", F.col(vector).alias("named_vector"))
 
 
-def best_person(new_faces: DataFrame, named: DataFrame, threshold: float = FACE_THRESHOLD) -> DataFrame:
+def best_person(new_faces: DataFrame, named: DataFrame, threshold: float = FACE_THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(id, person_id, score)``: for each new face the best named face at or over the
-    threshold; of equal scores the lowest face id wins. The product is over new faces
-    and named ones, cut to one row a new face by a combined aggregate.
+    threshold; of scores equal to 12 places the lowest face id wins.
+
+    Both sides are dealt into blocks; each pair of blocks is one group, multiplied as
+    matrices, and one row a new face leaves it. A task holds two blocks at any size.
     """
-    pairs = new_faces.select("id", "vector").crossJoin(named)
-    scored = pairs.withColumn("score", cosine(F.col("vector"), F.col("named_vector"))).where(F.col("score") >= threshold)
-    best = scored.groupBy("id").agg(F.max_by(F.struct("person_id", "score"), F.struct("score", -F.col("named_id"))).alias("b"))
-    return best.select("id", "b.person_id", "b.score")
+    left = new_faces.where("vector is not null").select("id", F.lit(None).cast("bigint").alias("person_id"), F.col("vector").cast("array<double>").alias("v"))
+    right = named.where("named_vector is not null").select(F.col("named_id").alias("id"), "person_id", F.col("named_vector").cast("array<double>").alias("v"))
+    n, m = (max(1, math.ceil(x.count() / block_rows)) for x in (left, right))
+    spread = lambda x, own, other, side: x.select(
+        F.lit(side).alias("side"), "id", "person_id", "v", F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other")
+    )
+    dealt = spread(left, n, m, 0).select("side", "id", "person_id", "v", F.col("own").alias("i"), F.col("other").alias("j")).unionAll(
+        spread(right, m, n, 1).select("side", "id", "person_id", "v", F.col("other").alias("i"), F.col("own").alias("j"))
+    )
+
+    def tile(group: pa.Table) -> pa.Table:
+        side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
+        persons = np.array(group.column("person_id").fill_null(0))
+        lists = group.column("v").combine_chunks()
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        starts, found = np.cumsum(sizes) - sizes, []
+        for size in np.unique(sizes[sizes > 0]):  # vectors of different sizes are never compared
+            a, b = (np.flatnonzero((sizes == size) & (side == k)) for k in (0, 1))
+            if not len(a) or not len(b):
+                continue
+            b = b[np.argsort(ids[b])]  # so that the first maximum is the lowest id
+            x, y = (flat[starts[r][:, None] + np.arange(size)] for r in (a, b))
+            x, y = (r / np.maximum(np.sqrt((r * r).sum(1)), 1e-300)[:, None] for r in (x, y))
+            scores = x @ y.T
+            best = np.round(scores, 12).argmax(1)
+            top = scores[np.arange(len(a)), best]
+            ok = top >= threshold
+            found.append((ids[a][ok], persons[b][best][ok], ids[b][best][ok], top[ok]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(("id", "person_id", "named_id", "score"), columns, strict=True)))
+
+    best = dealt.groupBy("i", "j").applyInArrow(tile, "id bigint, person_id bigint, named_id bigint, score double")
+    one = best.groupBy("id").agg(F.max_by(F.struct("person_id", "score"), F.struct(F.round("score", 12), -F.col("named_id"))).alias("b"))
+    return one.select("id", "b.person_id", "b.score")
 
 
 def best_person_for(vector: list[float], named: DataFrame, threshold: float = FACE_THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,10 @@ def test_stream_equals_batch(spark, catalog, tmp_path):
     listed(spark, "/b", "/c", size=2).coalesce(1).write.parquet(f"{tmp_path}/in/2")
     run()
     run()
+    for _ in range(100):  # events arrive on their own thread
+        if sum(r[1] == "progress" for r in listener.rows) >= 2:
+            break
+        time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert seen == [(0, {"new": 2}), (1, {"changed": 1, "new": 1})]
     assert sorted((r["path"], r["size_bytes"]) for r in catalog.read("media_items").collect()) == [("/a", 1), ("/b", 2), ("/c", 2)]

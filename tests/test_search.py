@@ -66,6 +66,9 @@ def test_best_person_and_propagate(spark):
     new = spark.createDataFrame([(10, [2.0, 0.0]), (11, [0.0, 0.0]), (12, [1.0, 1.0])], "id bigint, vector array<float>")
     got = {r["id"]: r["person_id"] for r in people.best_person(new, named, 0.7).collect()}
     assert got == {10: 7, 12: 7}
+    for block_rows in (1, 2):
+        assert {r["id"]: r["person_id"] for r in people.best_person(new, named, 0.7, block_rows).collect()} == got
+    assert people.best_person(new.limit(0), named).count() == people.best_person(new, named.limit(0)).count() == 0
     assert people.best_person_for([1.0, 0.0], named, 1.0).first()["person_id"] == 7
     faces = spark.createDataFrame([(1, 1, None, [1.0, 0.0]), (2, 2, None, [0.6, 0.8]), (3, 3, 5, [1.0, 0.0]), (4, 2, None, [0.0, 0.0])], "id bigint, media_item_id bigint, person_id bigint, vector array<float>")
     assert ids(people.propagate(faces, [1.0, 0.0], 1, 0.6)) == [2]
