@@ -201,7 +201,7 @@ def _files(v: Views) -> DataFrame:
     return v.media.where("media_type = 'image' and not missing").withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
 
 
-@query("exact_duplicates", f"SELECT sha256, n, path AS keep_path, group_bytes FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, sum(coalesce(size_bytes, 0)) OVER (PARTITION BY sha256) AS group_bytes, row_number() OVER ({_KEEP}) AS rn FROM ({_FILES})) WHERE rn = 1 AND n > 1")
+@query("exact_duplicates", f"SELECT sha256, n, path AS keep_path, CAST(group_bytes AS BIGINT) AS group_bytes FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, sum(coalesce(size_bytes, 0)) OVER (PARTITION BY sha256) AS group_bytes, row_number() OVER ({_KEEP}) AS rn FROM ({_FILES})) WHERE rn = 1 AND n > 1")
 def _(v):
     return duplicates.exact_groups(_files(v)).select("sha256", "n", "keep_path", "group_bytes")
 
@@ -216,7 +216,7 @@ def _(v):
     return duplicates.numbered(duplicates.exact_groups(_files(v)), "exact").select("group_id", "keep_path")
 
 
-@query("cleanup_totals", f"SELECT count(*) AS groups, sum(n - 1) AS duplicate_files, sum(b - coalesce(size_bytes, 0)) AS duplicate_bytes FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, sum(coalesce(size_bytes, 0)) OVER (PARTITION BY sha256) AS b, row_number() OVER ({_KEEP}) AS rn FROM ({_FILES})) WHERE rn = 1 AND n > 1")
+@query("cleanup_totals", f"SELECT count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_files, CAST(sum(b - coalesce(size_bytes, 0)) AS BIGINT) AS duplicate_bytes FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, sum(coalesce(size_bytes, 0)) OVER (PARTITION BY sha256) AS b, row_number() OVER ({_KEEP}) AS rn FROM ({_FILES})) WHERE rn = 1 AND n > 1")
 def _(v):
     members = duplicates.exact_members(_files(v))
     return members.agg(
@@ -228,7 +228,7 @@ def _(v):
 _HAM = lambda c: f"bit_count(xor(('0x' || a.{c})::UBIGINT, ('0x' || b.{c})::UBIGINT))"
 
 
-@query("visual_pairs", f"SELECT a.path AS path_a, b.path AS path_b, {_HAM('phash')} + {_HAM('dhash')} AS score FROM prints a JOIN prints b ON a.ahash = b.ahash AND a.path < b.path WHERE {_HAM('phash')} <= 6 AND {_HAM('dhash')} <= 8")
+@query("visual_pairs", f"SELECT a.path AS path_a, b.path AS path_b, CAST({_HAM('phash')} + {_HAM('dhash')} AS INTEGER) AS score FROM prints a JOIN prints b ON a.ahash = b.ahash AND a.path < b.path WHERE {_HAM('phash')} <= 6 AND {_HAM('dhash')} <= 8")
 def _(v):
     return duplicates.visual_pairs(v.prints)
 
@@ -238,7 +238,7 @@ def _(v):
     return duplicates.visual_members(v.prints)
 
 
-@query("hamming_distances", f"SELECT a.path AS path_a, b.path AS path_b, {_HAM('phash')} AS bits FROM prints a JOIN prints b ON a.path = '/p/1'")
+@query("hamming_distances", f"SELECT a.path AS path_a, b.path AS path_b, CAST({_HAM('phash')} AS INTEGER) AS bits FROM prints a JOIN prints b ON a.path = '/p/1'")
 def _(v):
     a = v.prints.where("path = '/p/1'").select(F.col("path").alias("path_a"), F.col("phash").alias("h"))
     return v.prints.crossJoin(F.broadcast(a)).select("path_a", F.col("path").alias("path_b"), vectors.hamming(F.col("h"), F.col("phash")).alias("bits"))
@@ -269,8 +269,8 @@ def _(v):
 @query(
     "media_upsert",
     f"""SELECT coalesce(m.id, (SELECT max(id) FROM media) + row_number() OVER (PARTITION BY m.id IS NULL ORDER BY d.path)) AS id, d.path, d.size_bytes, false AS missing,
-        coalesce(m.imported_at, 1800000000) AS imported_at FROM ({_DIFF}) d LEFT JOIN (SELECT *, 1500000000 AS imported_at FROM media) m ON m.path = d.path WHERE d.action <> 'unchanged'
-        UNION ALL SELECT m.id, m.path, m.size_bytes, m.missing, 1500000000 AS imported_at FROM media m WHERE m.path NOT IN (SELECT path FROM ({_DIFF}) WHERE action <> 'unchanged')""",
+        CAST(coalesce(m.imported_at, 1800000000) AS BIGINT) AS imported_at FROM ({_DIFF}) d LEFT JOIN (SELECT *, 1500000000 AS imported_at FROM media) m ON m.path = d.path WHERE d.action <> 'unchanged'
+        UNION ALL SELECT m.id, m.path, m.size_bytes, m.missing, CAST(1500000000 AS BIGINT) AS imported_at FROM media m WHERE m.path NOT IN (SELECT path FROM ({_DIFF}) WHERE action <> 'unchanged')""",
 )
 def _(v):
     media = v.media.withColumn("imported_at", F.lit(1500000000).cast("bigint")).drop("content")
@@ -285,7 +285,7 @@ def _(v):
 
 @query(
     "cache_profile",
-    "SELECT count(*) AS total_entries, count(sha256) AS exact_hash_entries, count(ahash) AS visual_fingerprint_entries, count(*) FILTER (sha256 IS NOT NULL AND ahash IS NOT NULL) AS complete_entries, sum(length(path) + coalesce(length(sha256), 0) + coalesce(length(ahash), 0) + coalesce(length(dhash), 0) + coalesce(length(phash), 0) + 64) AS cache_bytes_estimate, min(updated_at) AS oldest_updated_at, max(updated_at) AS newest_updated_at FROM cleanup",
+    "SELECT count(*) AS total_entries, count(sha256) AS exact_hash_entries, count(ahash) AS visual_fingerprint_entries, count(*) FILTER (sha256 IS NOT NULL AND ahash IS NOT NULL) AS complete_entries, CAST(sum(length(path) + coalesce(length(sha256), 0) + coalesce(length(ahash), 0) + coalesce(length(dhash), 0) + coalesce(length(phash), 0) + 64) AS BIGINT) AS cache_bytes_estimate, min(updated_at) AS oldest_updated_at, max(updated_at) AS newest_updated_at FROM cleanup",
 )
 def _(v):
     return incremental.cache_profile(v.cleanup)
@@ -311,7 +311,7 @@ def _(v):
     return v.media.agg(F.count("*").alias("total"), F.count_if(F.col("media_type") == "image").alias("images"), F.count_if(F.col("media_type") == "video").alias("videos"), F.count_if("missing").alias("missing"))
 
 
-@query("selected_paths", f"SELECT count(*) AS files, sum(size_bytes) AS bytes FROM (SELECT path, size_bytes FROM media WHERE id % 23 = 0 UNION SELECT path, size_bytes FROM media WHERE id % 29 = 0)")
+@query("selected_paths", "SELECT count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (SELECT path, size_bytes FROM media WHERE id % 23 = 0 UNION SELECT path, size_bytes FROM media WHERE id % 29 = 0)")
 def _(v):
     rows = v.media.where("id % 23 = 0").unionAll(v.media.where("id % 29 = 0")).select("path", "size_bytes").distinct()
     return rows.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
