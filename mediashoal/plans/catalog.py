@@ -64,9 +64,16 @@ class Catalog:
         stream = fs.create(draft)
         stream.write(json.dumps({"path": path, "batch": before["batch"] if batch is None else batch}).encode())
         stream.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(draft, target)
+        self._replace(draft, target)
+
+    def _replace(self, draft, target) -> None:
+        """One atomic rename over what is there."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
 
     def last_batch(self, name: str = "media_items") -> int:
         return self._pointer(name)["batch"]

@@ -45,3 +45,8 @@ def release(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables; only when no result that reads them is needed."""
+    release(spark, f"{shared_dir(spark)}/mediashoal")
