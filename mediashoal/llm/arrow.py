@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 #: The six characters that separate words in every contract here.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch; with whole texts in a row, 10,000 would be too many.
-BATCH_ROWS = 512
+#: Most rows and bytes of an Arrow batch; with whole texts in a row, 10,000 rows would
+#: be too many.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_text(df: DataFrame, ident: str, text: str, schema: str, kernel: Callable[[], Callable[[str], tuple]]) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from mediashoal.llm.arrow import small_batches
 
 #: Entries of each of the two generations of a Python worker's cache.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: Longer pre-tokens are not kept.
 CACHE_LENGTH = 64
 

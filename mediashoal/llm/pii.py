@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
