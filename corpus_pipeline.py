@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashoal.llm import bpe, lines, mixing, quality, simhash
+from mediashoal.llm import bpe, jaccard, lines, mixing, quality
 from mediashoal.storage import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs, width=5, budget=3)
+    return jaccard.deduplicate(docs, width=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

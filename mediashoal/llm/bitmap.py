@@ -1,0 +1,28 @@
+"""A bitmap of hashes, to thin rows in Python before they are shuffled.
+
+8 to 16 bits a hash, so its size grows with the hashes; false positives come through.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class Bitmap:
+    """Of the top bits of hashes."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        bits = max(6, math.ceil(math.log2(8 * hashes.count() + 1)))
+        self.shift = np.uint64(64 - bits)
+        where = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("p"))
+        words = where.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("m")).toArrow()
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        p = values.view(np.uint64) >> self.shift
+        return (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1

@@ -1,0 +1,217 @@
+"""Near-duplicate classes by the exact Jaccard similarity of word shingles, 0.8 or more.
+
+1. A document's set is its distinct shingles, as 64-bit hashes. Equal sets are one
+   class, named by a 64-bit digest; a task takes a set up once.
+2. Two sets of similarity 4/5 or more share one of the first ``n // 5 + 1`` shingles of
+   each, in any order that is the same for all sets (prefix filter). The order is by
+   hash, but shingles whose bucket would be over ``COMMON`` go last, the commonest at
+   the very end, so that shared passages do not bring unlike documents together. They
+   are gathered; there is at most one for ``COMMON`` prefix entries.
+3. Every set of a bucket is compared exactly with one centre, ``STARS`` times over, which
+   joins large groups of near copies by a number of pairs linear in their size.
+4. In buckets that still hold several components, all pairs of different components are
+   compared, but for those that the triangle inequality of the Jaccard distance, with
+   the distances to the centres, or the sizes rule out. So no pair of 0.8 or more is
+   left out, unless a path of such pairs joins its ends.
+
+Tables are thinned by bitmaps of hashes before they are shuffled: 8 to 16 bits a wanted
+hash, with false positives that the joins remove. Nulls and empty texts: the empty set,
+all one class. An empty table gives no links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mediashoal.llm.arrow import small_batches
+from mediashoal.llm.bitmap import Bitmap
+from mediashoal.llm.simhash import first_of_each, named_classes
+from mediashoal.operators.graph import connected_components
+from mediashoal.storage import materialize
+
+#: Prefix entries of one shingle, above which it goes to the end of the order.
+COMMON = 64
+#: Most times that the order is made anew; it changes costs and not results.
+ORDERS = 1
+#: Rounds in which a bucket's sets are compared with one of them.
+STARS = 3
+#: Sets that a task remembers to have taken up.
+SEEN = 1 << 16
+
+
+def shingle_set(text: str, width: int, seed: int) -> np.ndarray:
+    """Ascending distinct hashes of all shingles; a shorter text is one shingle."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    shingles = map(b" ".join, zip(*[words[j:] for j in range(width)], strict=False)) if len(words) >= width else [b" ".join(words)]
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(x, seed) for x in shingles]), ">i8").astype(np.int64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first ``n // 5 + 1`` of a set; ``common`` ascending, with its ranks, goes last."""
+    k = len(own) // 5 + 1 if len(own) else 0
+    if not len(common) or not k:
+        return own[:k]
+    at = np.searchsorted(common, own)
+    at[at == len(common)] = 0
+    hit = common[at] == own
+    light = own[~hit]
+    if len(light) >= k:
+        return light[:k]
+    last = own[hit][np.argsort(rank[at[hit]])]
+    return np.concatenate([light, last[: k - len(light)]])
+
+
+def marks(docs: DataFrame, ident: str, text: str, width: int, seed: int) -> DataFrame:
+    """``(ident, fp bigint, _text)``; fp is the digest of the row's set."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [xxhash.xxh3_64_intdigest(shingle_set(t, width, seed).tobytes()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(1)], [ident, "fp", "_text"])
+
+    return rows.mapInArrow(run, f"`{ident}` {docs.schema[ident].dataType.simpleString()}, fp bigint, _text string")
+
+
+def _each_set(marked: DataFrame, width: int, seed: int, make, schema: str, wanted=None) -> DataFrame:
+    """``make(fps, sets)`` of the sets of each batch, repeats within a task left out."""
+    small_batches(marked.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            use = np.ones(len(fps), bool) if wanted is None else wanted.value(fps)
+            own, sets = [], []
+            for k in np.flatnonzero(use).tolist():
+                fp = int(fps[k])
+                if fp in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(fp)
+                own.append(fp)
+                sets.append(shingle_set(batch.column(1)[k].as_py(), width, seed))
+            if own:
+                yield pa.RecordBatch.from_arrays(make(np.array(own, np.int64), sets), names)
+
+    return marked.select("fp", "_text").mapInArrow(run, schema)
+
+
+def entries(marked: DataFrame, width: int, seed: int, common, wanted=None) -> DataFrame:
+    """``(shingle)`` of the prefix of each set; with a bitmap, ``(shingle, fp, n)`` of those in it."""
+
+    def make(fps: np.ndarray, sets: list[np.ndarray]) -> list[pa.Array]:
+        heads = [prefix(s, *common.value) for s in sets]
+        flat = np.concatenate(heads)
+        if wanted is None:
+            return [pa.array(flat)]
+        keep = wanted.value(flat)
+        rows = np.repeat(np.arange(len(fps)), [len(h) for h in heads])[keep]
+        return [pa.array(flat[keep]), pa.array(fps[rows]), pa.array(np.array([len(s) for s in sets], np.int64)[rows])]
+
+    return _each_set(marked, width, seed, make, "shingle bigint" if wanted is None else "shingle bigint, fp bigint, n bigint")
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """The parity of the hashes that fall on each of 2 to 4 bits a hash."""
+    size = 1 << max(6, (2 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount(own & (size - 1), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of hashes that are in one of two sets only."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):  # a half laid over the other is the smaller sketch
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        apart = [least_difference(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(apart, pa.int64())], ["a", "b", "n", "apart"])
+
+
+def compared(pairs: DataFrame, marked: DataFrame, width: int, seed: int) -> DataFrame:
+    """``pairs`` (a, b) with ``similar``, exact, and ``low, high`` of the Jaccard distance.
+
+    Sketches come first: they rule out most unlike pairs for a thirtieth of the bytes.
+    """
+
+    def of_both(found: DataFrame, make, value: str) -> DataFrame:
+        needed = Bitmap(found.select(F.col("a").alias("fp")).unionAll(found.select("b")).distinct(), "fp")
+        sets = _each_set(marked, width, seed, make, f"fp bigint, n bigint, own {value}", marked.sparkSession.sparkContext.broadcast(needed))
+        sets = materialize(sets.dropDuplicates(["fp"]), "sets")
+        first = found.select("a", "b").join(sets.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.col("own").alias("x")), "a")
+        return first.join(sets.select(F.col("fp").alias("b"), "n", F.col("own").alias("y")), "b").select("a", "b", (F.col("m") + F.col("n")).alias("n"), "x", "y")
+
+    sizes = lambda sets: pa.array([len(s) for s in sets], pa.int64())
+    rough = of_both(pairs, lambda fps, sets: [pa.array(fps), sizes(sets), pa.array([sketch(s) for s in sets], pa.binary())], "binary")
+    rough = materialize(rough.mapInArrow(_bounded, "a bigint, b bigint, n bigint, apart bigint"), "bounded")
+    possible = "9 * floor((n - apart) / 2) >= 4 * n"
+    exact = of_both(rough.where(possible), lambda fps, sets: [pa.array(fps), sizes(sets), pa.array(sets, pa.list_(pa.int64()))], "array<bigint>")
+    exact = exact.select("a", "b", "n", F.size(F.array_intersect("x", "y")).alias("i"))
+    exact = exact.select("a", "b", F.expr("9 * i >= 4 * n").alias("similar"), F.expr("1 - i / (n - i)").alias("low")).withColumn("high", F.col("low"))
+    others = rough.where(f"not ({possible})").select("a", "b", F.lit(False).alias("similar"), F.expr("2 * apart / (n + apart)").alias("low"), F.lit(1.0).alias("high"))
+    return materialize(exact.unionAll(others), "compared")
+
+
+def similar_links(marked: DataFrame, width: int, seed: int) -> DataFrame:
+    """``(a, b)``: pairs of digests at 0.8 or more that keep every component whole."""
+    sc, heavy = marked.sparkSession.sparkContext, {}
+    for turn in range(ORDERS + 1):
+        known = np.array(sorted(heavy), np.int64)
+        times = np.array([heavy[s] for s in known.tolist()], np.int64)
+        common = sc.broadcast((known, np.argsort(np.lexsort((known, times)))))
+        found = entries(marked, width, seed, common).groupBy("shingle").agg(F.count("*").alias("times"))
+        buckets = materialize(found.where("times > 1"), "buckets")
+        more = buckets.where(F.col("times") > COMMON).select("shingle", "times").toArrow() if turn < ORDERS else None
+        new = {s: n for s, n in zip(*(c.to_pylist() for c in more.columns), strict=True) if s not in heavy} if more else {}
+        if not new:
+            break
+        heavy |= new
+    wanted = sc.broadcast(Bitmap(buckets, "shingle"))
+    members = materialize(entries(marked, width, seed, common, wanted).join(buckets.select("shingle"), "shingle").distinct(), "members")
+
+    links, rest = None, members
+    for k in range(STARS):
+        centres = rest.groupBy("shingle").agg(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("centre"))
+        starred = materialize(rest.join(centres, "shingle").where("fp <> centre"), "starred")
+        stars = compared(materialize(starred.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct(), "stars"), marked, width, seed)
+        found = stars.where("similar").select("a", "b")
+        links = found if links is None else links.unionAll(found)
+        parts = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
+        named = starred.drop("part").join(stars.select(F.col("a").alias("fp"), F.col("b").alias("centre"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}")), ["fp", "centre"])
+        named = named.join(parts, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component", "centre")
+        # a centre has been compared with all others of its bucket, and leaves it
+        mixed = named.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle")
+        rest = materialize(named.join(mixed, "shingle", "left_semi"), "rest")
+    groups = rest.select("shingle", "part").distinct()
+    across = groups.withColumnRenamed("part", "part_x").join(groups.withColumnRenamed("part", "part_y"), "shingle").where("part_x < part_y")
+    bounds = [f"{c}{k}" for c in ("low", "high") for k in range(STARS)]
+    for side in "xy":
+        across = across.join(rest.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "part", *bounds)]), ["shingle", f"part_{side}"])
+    near = across.where(" and ".join(["5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)", *[f"low{k}_{p} - high{k}_{q} <= 0.2 + 1e-9" for k in range(STARS) for p, q in ("xy", "yx")]]))
+    pairs = materialize(near.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct(), "pairs")
+    return links.unionAll(compared(pairs, marked, width, seed).where("similar").select("a", "b"))
+
+
+def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42) -> DataFrame:
+    """As ``simhash.deduplicate``, with components of pairs at similarity 0.8 or more."""
+    marked = materialize(marks(docs, ident, text, width, seed), "shingles")
+    named = named_classes(marked, ident, lambda _: similar_links(marked, width, seed))
+    return first_of_each(docs, named, ident, text, lambda rows, key: marks(rows, key, text, width, seed).select(key, "fp"))

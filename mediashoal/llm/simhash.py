@@ -24,7 +24,7 @@ used, whatever their names. An empty table gives no rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -210,8 +210,13 @@ def trie_links(classes: DataFrame, budget: int, bucket_rows: int = BUCKET_ROWS)
 
 def classes(marked: DataFrame, ident: str, budget: int) -> DataFrame:
     """``(fp, component, component_id)`` of the fingerprints of ``marked``."""
+    return named_classes(marked, ident, lambda distinct: trie_links(distinct, budget))
+
+
+def named_classes(marked: DataFrame, ident: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(fp, component, component_id)``; ``links`` gives ``(a, b)`` from the distinct ``fp``."""
     distinct = materialize(marked.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
-    found = connected_components(trie_links(distinct, budget), "a", "b").withColumnRenamed("node", "fp")
+    found = connected_components(links(distinct), "a", "b").withColumnRenamed("node", "fp")
     grouped = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     first = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     return materialize(grouped.join(first, "component").select("fp", "component", "component_id"), "named")
@@ -232,7 +237,11 @@ def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
     component has no id at all, and then one of those with one text.
     """
     marked = materialize(fingerprints(docs, ident, text, width, seed), "simhash")
-    named = classes(marked, ident, budget)
+    return first_of_each(docs, classes(marked, ident, budget), ident, text, lambda rows, key: fingerprints(rows, key, text, width, seed))
+
+
+def first_of_each(docs: DataFrame, named: DataFrame, ident: str, text: str, prints: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that stay; ``prints(rows, key)`` gives ``(key, fp)``."""
     kept = named.where("component_id is not null").select(F.col("component_id").alias(ident)).distinct()
     first = docs.where(F.col(ident).isNotNull()).join(kept.hint("merge"), ident, "left_semi").select(docs.columns).dropDuplicates([ident])
     nameless = docs.where(F.col(ident).isNull())
@@ -240,7 +249,7 @@ def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", widt
         return first
     alone = named.where("component_id is null").groupBy("component").agg(F.min("fp").alias("fp"))
     texts = nameless.select(text).distinct().withColumn("_key", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    chosen = fingerprints(texts, "_key", text, width, seed).join(alone, "fp").groupBy("fp").agg(F.min("_key").alias("_key"))
+    chosen = prints(texts, "_key").join(alone, "fp").groupBy("fp").agg(F.min("_key").alias("_key"))
     mark = f"key_{uuid.uuid4().hex[:8]}"
     rest = nameless.withColumn(mark, F.coalesce(F.col(text).cast("string"), F.lit(""))).join(chosen.select(F.col("_key").alias(mark)), mark, "left_semi")
     return first.unionAll(rest.dropDuplicates([mark]).select(docs.columns))

@@ -1,0 +1,88 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from mediashoal.llm import jaccard
+from tests.llm.docs import clashing, documents, rows
+
+
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_kept(made):
+    """Least id of each component of pairs at 0.8 or more."""
+    sets = [shingles(r[1]) for r in made]
+    label = list(range(len(made)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(made)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                label[root(a)] = root(b)
+    ids = {}
+    for k, r in enumerate(made):
+        ids.setdefault(root(k), []).append(r[0])
+    return sorted(str(min((i for i in x if i is not None), default=None)) for x in ids.values())
+
+
+def near_copies():
+    """Copies with words replaced, around 0.8; two large groups that share a passage."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(900)}"
+    passage, out = [word() for _ in range(60)], []
+    for size, copies in ((40, 60), (120, 60), (150, 3), (230, 3), (300, 3), (7, 3)):
+        for _ in range(1 if copies > 9 else 12):
+            base = [word() for _ in range(size)]
+            for _ in range(copies):
+                text = list(base)
+                for _ in range(rng.randrange(size // 40 + 2)):
+                    text[rng.randrange(size)] = word()
+                out.append(" ".join(text + passage if copies > 9 else text))
+    rng.shuffle(out)
+    return [(i, t, "en", "s", 0) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("common", [3, 64])
+def test_equals_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    made = near_copies()
+    got = jaccard.deduplicate(documents(spark, made))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == brute_kept(made)
+
+
+def test_awkward_rows(spark):
+    made = [*rows(), (None, "an id is missing here", "fr", None, 1), (None, "", None, None, 0)]
+    docs = clashing(documents(spark, made), "fp", "component_id", "_text", "part", "n")
+    out = jaccard.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == brute_kept(made)
+    assert jaccard.deduplicate(documents(spark, [])).count() == 0
+
+
+def test_stage_links_similar_texts(spark):
+    """Far apart as fingerprints: six words of 300 replaced, which leaves 0.81."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    made = [(0, " ".join(base), "en", "s", 0)]
+    for i in range(1, 9):
+        made.append((i, " ".join(f"new{i}" if k in range(20, 300, 50) else w for k, w in enumerate(base)), "en", "s", 0))
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert [r["doc_id"] for r in stage(spark, documents(spark, made), "").collect()] == [0]
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m, shared in ((0, 0, 0), (1, 3, 1), (40, 33, 30), (300, 250, 240), (70, 500, 10)):
+        hashes = rng.integers(-(1 << 63), (1 << 63) - 1, n + m, np.int64)
+        x, y = np.unique(hashes[:n]), np.unique(hashes[n - shared : n - shared + m])
+        true = len(np.setxor1d(x, y))
+        assert true / 3 <= jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y)) <= true or len(y) > 4 * len(x)
+        assert jaccard.least_difference(jaccard.sketch(x), jaccard.sketch(y)) <= true
