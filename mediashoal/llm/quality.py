@@ -1,6 +1,7 @@
 """Quality rules: base text rules, and perplexity bands of a modified Kneser-Ney model.
 
-The model is a trigram model over UTF-8 bytes. Spark counts the trigrams of all texts
+The model is a trigram model over UTF-8 bytes. Spark counts the trigrams of all distinct
+texts, so that copies do not move the model
 (each task adds up its own counts, so a count table leaves a task once); modified
 Kneser-Ney with three discounts an order is derived from these counts; each order is
 kept as a sorted array of n-gram hashes (the packed bytes: a perfect hash) beside an
@@ -10,7 +11,7 @@ what is gathered and broadcast. Word n-grams have no bound, and scoring by a joi
 all n-grams of all texts would shuffle several times the input.
 
 A document's perplexity is given as bits a byte. For each language, the median and the
-median absolute deviation (MAD) of all documents with enough words make a lower and an
+median absolute deviation (MAD) of all distinct texts with enough words make a lower and an
 upper limit; a short text's limits are wider by the noise of a mean. Medians are exact
 over thousandths of a bit, from a histogram, so reruns agree.
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediashoal.llm.arrow import BLANKS, small_batches
+from mediashoal.llm.bitmap import Bitmap
 from mediashoal.storage import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -93,9 +95,29 @@ def _stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys, starts, sizes
 
 
+def _repeated(rows: DataFrame, wanted) -> DataFrame:
+    """The rows of ``(_text, _digest)`` whose digest is in the bitmap, each text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value(batch.column(1).to_numpy())))
+
+    return rows.mapInArrow(run, "_text string, _digest bigint").dropDuplicates(["_text"])
+
+
 def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(gram int, n bigint)`` over all texts; gram packs three bytes."""
+    """``(gram int, n bigint)`` over the distinct texts; gram packs three bytes.
+
+    Texts whose digest comes once are counted where they are; only the others are
+    shuffled, after each task has put its own copies together.
+    """
     small_batches(docs.sparkSession)
+    rows = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null").withColumn("_digest", F.xxhash64("_text"))
+    many = materialize(rows.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest"), "repeated")
+    wanted = docs.sparkSession.sparkContext.broadcast(Bitmap(many, "_digest"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batch.filter(pa.array(~wanted.value(batch.column(1).to_numpy()))) for batch in batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts, held = np.zeros(0, np.int32), np.zeros(0, np.int64), []
@@ -107,6 +129,8 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
             return u.astype(np.int32), np.bincount(where, n, len(u)).astype(np.int64)
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys, starts, sizes = _stream(batch.column(0).to_pylist())
             # without the trigrams that begin inside the padding of the next text
             inside = np.ones(len(keys), bool)
@@ -127,7 +151,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
         if len(grams):
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
 
-    parts = docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "gram int, n bigint")
+    parts = rows.mapInArrow(once, "gram int, n bigint").unionAll(_repeated(rows, wanted).mapInArrow(run, "gram int, n bigint"))
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -274,7 +298,10 @@ def _judged(docs: DataFrame, text: str, lang: str, wanted: list[str], mads: floa
     enough = F.size(F.split(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "^[ \\t-\\r]+|[ \\t-\\r]+$", ""), "[ \\t-\\r]+", MIN_WORDS)) >= MIN_WORDS
     # written, so that Spark knows the size: a broadcast under its threshold, as for any
     # usual number of languages, and else a join by sorting
-    limits = materialize(bands(_scored(docs.where(enough), shared, text, lang, [], False), mads), "bands")
+    mark = f"digest_{uuid.uuid4().hex[:8]}"  # each text once a language: its score is a function of the text
+    digested = docs.where(enough).withColumn(mark, F.xxhash64(F.col(text).cast("string")))
+    scores = _scored(digested, shared, text, lang, [mark], False).select("_lang", "_bytes", "_bits", mark).distinct()
+    limits = materialize(bands(scores, mads), "bands")
     rows = _scored(docs, shared, text, lang, wanted, True)
     joined = rows.join(limits.withColumnRenamed("lang", "_band_lang"), F.col("_lang").eqNullSafe(F.col("_band_lang")), "left")
     failed = (F.col("_words") < MIN_WORDS) | (100 * F.col("_repeat") > MAX_REPEAT_PERCENT * F.col("_words"))

@@ -112,3 +112,17 @@ def test_awkward_rows_and_empty_table(spark):
     assert sorted((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) for r in got) == sorted(brute_features(r[1] or "")[:4] for r in rows())
     assert quality.judge(documents(spark, [])).count() == 0
     assert quality.keep(documents(spark, [])).count() == 0
+
+
+def test_copies_move_neither_model_nor_band(spark):
+    """One text in a third of all rows, in a language with less than half of the others."""
+    rng = random.Random(6)
+    words = [a + b for a in ("haus", "stein", "wasser", "tag", "nacht", "wald") for b in ("", "en", "er", "lich", "ung")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60, 300))) for _ in range(60)]
+    made = [(i, t, "de" if i % 3 == 0 else "en", "s", 0) for i, t in enumerate(texts)]
+    hot = [(100 + k, texts[0], "de", "s", 0) for k in range(30)]
+    before = {r["doc_id"]: r for r in quality.judge(documents(spark, made)).collect()}
+    after = {r["doc_id"]: r for r in quality.judge(documents(spark, made + hot)).collect()}
+    assert all(after[i] == before[i] for i in before) and len(after) == 90
+    assert all(after[i]["kept"] for i in before if not before[i]["base_failed"])
+    assert sum(not r["base_failed"] for r in before.values()) > 30
