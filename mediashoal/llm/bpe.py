@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from mediashoal.llm.arrow import small_batches
 
-#: Entries of each of the two generations of a Python worker's cache.
-CACHE_ENTRIES = 150_000
+#: Bytes of each of the two generations of a Python worker's cache, and what an entry's
+#: objects and its place in the table take.
+CACHE_BYTES = 80 << 20
+ENTRY = 240
 #: Longer pre-tokens are not kept.
 CACHE_LENGTH = 64
 
@@ -49,76 +51,101 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {r: t for t, r in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs = {
             (ranks[a] << 32) | ranks[b]: r for t, r in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks
         }
+        #: rank of two bytes, or -1
+        self.starts = [self.pairs.get(a << 32 | b, -1) for a in self.single for b in self.single]
+        #: the bitmap's words; all zero between two calls, as the queue runs empty
+        self.words = [0] * (max(ranks.values()) // 64 + 1)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The three pushes are written out: calls would take most of the time."""
-        pair = self.pairs.get
-        ids = list(map(self.single.__getitem__, piece))
+        """The three pushes are written out: calls would take most of the time.
+
+        ``rank_at[i]`` is the rank of the merge that position i can make now, or -1, so
+        an entry of the queue is stale if it differs. A bucket is a position, or a heap.
+        """
+        pair, words, starts = self.pairs.get, self.words, self.starts
+        ids = [self.single[b] for b in piece]
         n = len(ids)
+        rank_at = [starts[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
+        rank_at.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        summary = i = 0
-        left = ids[0]
-        for right in ids[1:]:
-            if (rank := pair(left << 32 | right)) is not None:
-                if rank in buckets:
-                    buckets[rank].append(i)  # ascending, so a heap
-                else:
-                    buckets[rank] = [i]
+        buckets: dict[int, int | list[int]] = {}
+        summary = 0
+        for i, rank in enumerate(rank_at):
+            if rank >= 0:
+                if rank not in buckets:
+                    buckets[rank] = i
                     word = rank >> 6
-                    words[word] = words.get(word, 0) | 1 << (rank & 63)
+                    words[word] |= 1 << (rank & 63)
                     summary |= 1 << word
-            left = right
-            i += 1
+                elif isinstance(bucket := buckets[rank], int):
+                    buckets[rank] = [bucket, i]  # ascending, so a heap
+                else:
+                    bucket.append(i)
         while summary:
             word = (summary & -summary).bit_length() - 1
             bits = words[word]
             rank = word << 6 | (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            i = buckets[rank]
+            if isinstance(i, int) or not (bucket := i)[1:]:
                 del buckets[rank]
                 words[word] = bits = bits & bits - 1
                 if not bits:
                     summary ^= 1 << word
-            j = after[i]
-            if j >= n or ids[i] < 0 or pair(ids[i] << 32 | ids[j]) != rank:
+                if not isinstance(i, int):
+                    i = bucket[0]
+            else:
+                i = heappop(bucket)
+            if rank_at[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], rank_at[j] = rank, -1, -1
             k = after[i] = after[j]
-            h = before[i]
             if k < n:
                 before[k] = i
-                if (new := pair(rank << 32 | ids[k])) is not None:
-                    if new in buckets:
-                        heappush(buckets[new], i)
+                new = pair(rank << 32 | ids[k], -1)
+                rank_at[i] = new
+                if new >= 0:
+                    if new not in buckets:
+                        buckets[new] = i
+                        word = new >> 6
+                        words[word] |= 1 << (new & 63)
+                        summary |= 1 << word
+                    elif isinstance(bucket := buckets[new], int):
+                        buckets[new] = [bucket, i] if bucket < i else [i, bucket]
                     else:
-                        buckets[new] = [i]
+                        heappush(bucket, i)
+            else:
+                rank_at[i] = -1
+            h = before[i]
+            if h >= 0:
+                new = pair(ids[h] << 32 | rank, -1)
+                rank_at[h] = new
+                if new >= 0:
+                    if new not in buckets:
+                        buckets[new] = h
                         word = new >> 6
-                        words[word] = words.get(word, 0) | 1 << (new & 63)
+                        words[word] |= 1 << (new & 63)
                         summary |= 1 << word
-            if h >= 0 and (new := pair(ids[h] << 32 | rank)) is not None:
-                if new in buckets:
-                    heappush(buckets[new], h)
-                else:
-                    buckets[new] = [h]
-                    word = new >> 6
-                    words[word] = words.get(word, 0) | 1 << (new & 63)
-                    summary |= 1 << word
+                    elif isinstance(bucket := buckets[new], int):
+                        buckets[new] = [bucket, h] if bucket < h else [h, bucket]
+                    else:
+                        heappush(bucket, h)
         return [x for x in ids if x >= 0]
 
 
 class _Cache(dict):
-    """key -> made(key); bounded, and long keys are made each time."""
+    """key -> made(key) in two generations; long keys are made each time.
+
+    What a generation may hold is counted in bytes: ENTRY for the objects of an entry,
+    and the characters of key and value.
+    """
 
     def __init__(self, made):
-        self.made, self.old = made, {}
+        self.made, self.old, self.room = made, {}, CACHE_BYTES
 
     def __missing__(self, key):
         found = self.old.pop(key, None)
@@ -126,9 +153,12 @@ class _Cache(dict):
             found = self.made(key)
             if len(key) > CACHE_LENGTH:
                 return found
-        if len(self) >= CACHE_ENTRIES:
-            self.old = self.copy()
+        self.room -= ENTRY + len(key) + len(found)
+        if self.room < 0:
+            self.old.clear()
+            self.old.update(self)
             self.clear()
+            self.room = CACHE_BYTES
         self[key] = found
         return found
 
