@@ -1,14 +1,18 @@
 """Quality rules: base text rules, and perplexity bands of a modified Kneser-Ney model.
 
-The model is a trigram model over UTF-8 bytes. Spark counts the trigrams of all distinct
-texts, so that copies do not move the model
-(each task adds up its own counts, so a count table leaves a task once); modified
-Kneser-Ney with three discounts an order is derived from these counts; each order is
-kept as a sorted array of n-gram hashes (the packed bytes: a perfect hash) beside an
-array of values, and looked up by binary search. Bytes, as their trigrams are at most
-256**3 = 16.8 million whatever the corpus: 8 bytes each, a proven bound of 134 MB on
-what is gathered and broadcast. Word n-grams have no bound, and scoring by a join of
-all n-grams of all texts would shuffle several times the input.
+The model is over the n-grams of ORDER UTF-8 bytes and all shorter ones; its tables grow
+with the corpus, are made by Spark, and stay distributed:
+
+1. ``grams``: a task cuts its texts into chunks of ``CHUNK_BYTES`` or so, in the order of
+   the scan, and gives each n-gram of a chunk once, with its count.
+2. ``train``: the counts summed up, less those of repeated copies of a text, so that each
+   distinct text counts once. Continuation counts, three discounts an order, context
+   weights and probabilities follow by grouping and joining on the hashes (packed bytes,
+   a perfect hash); contexts and suffixes have at most 256 n-grams, so no group is hot.
+3. ``score``: each chunk asks for its own n-grams, not those of the corpus, and gets them
+   as one sorted hash array with a probability beside each hash; texts are looked up in
+   it by binary search. Texts travel once, compressed, to meet the array. A chunk is named
+   by a digest of its texts; one that came out otherwise the second time raises an error.
 
 A document's perplexity is given as bits a byte. For each language, the median and the
 median absolute deviation (MAD) of all distinct texts with enough words make a lower and an
@@ -16,9 +20,11 @@ upper limit; a short text's limits are wider by the noise of a mean. Medians are
 over thousandths of a bit, from a histogram, so reruns agree.
 
 Nulls: a null text counts as empty (no words, base_failed); a null language is a
-language of its own. Repeated rows are judged like any other. Columns of the input
-besides id, text and lang are not used by ``judge``; ``keep`` returns the input's own
-columns, whatever their names. An empty table gives no rows.
+language of its own. A language with one text has that text in the middle of its band; a
+text at a limit is inside. Very long texts are read in slices. Repeated rows are judged
+like any other. Columns of the input besides id, text and lang are not used by ``judge``;
+``keep`` returns the input's own columns, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,23 +35,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediashoal.llm.arrow import BLANKS, small_batches
-from mediashoal.llm.bitmap import Bitmap
 from mediashoal.storage import materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Bytes of the longest n-grams; at most 7, so that a packed one is a positive integer.
+ORDER = 5
+#: Bytes of text whose n-grams are asked for together; those that travel in one piece.
+CHUNK_BYTES = 32 << 20
+PIECE_BYTES = 2 << 20
 #: Half the width of a band, in MADs, for texts of LONG_BYTES and more.
 BAND_MADS = 6.0
 LONG_BYTES = 1200
 #: Least MAD, in bits a byte, so that a language of a few equal texts has a band.
 LEAST_MAD = 0.01
 STEPS = 1000
-#: Trigrams that are looked up at once.
+#: Positions of texts that are worked on at once.
 SLICE = 1 << 19
 
 
@@ -83,192 +94,305 @@ def repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def _stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed trigrams of all texts, each after two zero bytes; starts and lengths."""
-    raw = [t.encode() if t else b"" for t in texts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    a = np.frombuffer(b"\0\0" + b"\0\0".join(raw), np.uint8).astype(np.int32)
-    keys = a[:-2] << 16
-    keys |= a[1:-1] << 8
-    keys |= a[2:]
-    starts = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]]) if len(raw) else sizes
-    return keys, starts, sizes
-
-
-def _repeated(rows: DataFrame, wanted) -> DataFrame:
-    """The rows of ``(_text, _digest)`` whose digest is in the bitmap, each text once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value(batch.column(1).to_numpy())))
-
-    return rows.mapInArrow(run, "_text string, _digest bigint").dropDuplicates(["_text"])
-
-
-def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(gram int, n bigint)`` over the distinct texts; gram packs three bytes.
-
-    Texts whose digest comes once are counted where they are; only the others are
-    shuffled, after each task has put its own copies together.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string").alias("_text")).where("_text is not null").withColumn("_digest", F.xxhash64("_text"))
-    many = materialize(rows.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest"), "repeated")
-    wanted = docs.sparkSession.sparkContext.broadcast(Bitmap(many, "_digest"))
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batch.filter(pa.array(~wanted.value(batch.column(1).to_numpy()))) for batch in batches)
+class _Bytes:
+    """Texts behind each other, each after ORDER - 1 zero bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        pad = b"\0" * (ORDER - 1)
+        self.raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+        self.starts = np.cumsum(self.sizes + ORDER - 1) - self.sizes
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Slices of the n-grams that end at each position, with the first position."""
+        for lo in range(ORDER - 1, len(self.raw), SLICE):
+            part = self.raw[lo - ORDER + 1 : lo + SLICE].astype(np.int64)
+            keys = np.zeros(len(part) - ORDER + 1, np.int64)
+            for k in range(ORDER):
+                keys = keys << 8 | part[k : k + len(keys)]
+            yield lo, keys
+
+    def inside(self) -> np.ndarray:
+        """Whether a position is in a text."""
+        steps = np.zeros(len(self.raw) + 1, np.int8)
+        some = self.sizes > 0
+        np.add.at(steps, self.starts[some], 1)
+        np.add.at(steps, (self.starts + self.sizes)[some], -1)
+        return np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Over the positions of each text."""
+        upto = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        return upto[self.starts + self.sizes] - upto[self.starts]
+
+
+class _Counter:
+    """Counts of n-grams; what is held grows with the different ones."""
+
+    def __init__(self):
+        self.grams, self.counts, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def add(self, texts: list[bytes]) -> None:
+        made = _Bytes(texts)
+        inside = made.inside()
+        for lo, keys in made.grams():
+            self.held.append(np.unique(keys[inside[lo : lo + len(keys)]], return_counts=True))
+            if len(self.held) == 16:
+                self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        grams = np.concatenate([self.grams, *[x[0] for x in self.held]])
+        counts = np.concatenate([self.counts, *[x[1] for x in self.held]])
+        self.held = []
+        order = np.argsort(grams, kind="stable")
+        grams, counts = grams[order], counts[order]
+        first = np.flatnonzero(np.diff(grams, prepend=-1))
+        self.grams, self.counts = grams[first], np.add.reduceat(counts, first) if len(first) else counts
+        return self.grams, self.counts
+
+
+class _Chunk:
+    """Names a chunk by its texts, in order."""
+
+    def __init__(self):
+        self.digest, self.size = xxhash.xxh3_64(), 0
+
+    def add(self, text: bytes) -> bool:
+        """Whether the chunk is full."""
+        self.digest.update(len(text).to_bytes(8, "little"))
+        self.digest.update(text)
+        self.size += len(text)
+        return self.size >= CHUNK_BYTES
+
+    def name(self) -> int:
+        return self.digest.intdigest() - (1 << 63)
+
+
+def grams(texts: DataFrame) -> DataFrame:
+    """``(chunk, gram, n)`` of ``texts`` (_text): each n-gram of a chunk once."""
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, held = np.zeros(0, np.int32), np.zeros(0, np.int64), []
+        chunk, counter, held, size = _Chunk(), _Counter(), [], 0
 
-        def merged():
-            k = np.concatenate([grams, *[x[0] for x in held]])
-            n = np.concatenate([counts, *[x[1] for x in held]])
-            u, where = np.unique(k, return_inverse=True)
-            return u.astype(np.int32), np.bincount(where, n, len(u)).astype(np.int64)
+        def done():
+            counter.add(held)
+            g, n = counter.merge()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), chunk.name())), pa.array(g), pa.array(n)], ["chunk", "gram", "n"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, starts, sizes = _stream(batch.column(0).to_pylist())
-            # without the trigrams that begin inside the padding of the next text
-            inside = np.ones(len(keys), bool)
-            ends = (starts + sizes)[:-1]
-            inside[ends] = inside[ends + 1] = False
-            keys = keys[inside]
-            # contexts in use get numbers of their own, so that a small array can count
-            used = np.flatnonzero(np.bincount(keys >> 8, minlength=1 << 16))
-            number = np.zeros(1 << 16, np.int32)
-            number[used] = np.arange(len(used))
-            n = np.bincount(number[keys >> 8] << 8 | (keys & 255))
-            at = np.flatnonzero(n)
-            held.append(((used[at >> 8] << 8 | (at & 255)).astype(np.int32), n[at]))
-            if len(held) == 16:
-                grams, counts = merged()
-                held.clear()
-        grams, counts = merged()
-        if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "n"])
-
-    parts = rows.mapInArrow(once, "gram int, n bigint").unionAll(_repeated(rows, wanted).mapInArrow(run, "gram int, n bigint"))
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
+            for t in batch.column(0).to_pylist():
+                raw = t.encode() if t else b""
+                held.append(raw)
+                size += len(raw)
+                full = chunk.add(raw)
+                if full:
+                    yield done()
+                    chunk, counter = _Chunk(), _Counter()
+                elif size >= PIECE_BYTES:
+                    counter.add(held)
+                if full or size >= PIECE_BYTES:
+                    held, size = [], 0
+        if chunk.size:
+            yield done()
+
+    return texts.select("_text").mapInArrow(run, "chunk bigint, gram bigint, n bigint")
+
+
+def _negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of texts (_text, _times) as counts below zero, for all times but one."""
+    for batch in batches:
+        for t, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counter = _Counter()
+            counter.add([t.encode()])
+            g, n = counter.merge()
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n * (1 - times))], ["gram", "n"])
+
+
+def _digests(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("_d1"), F.xxhash64(F.lit(1), text).alias("_d2")]
+
+
+def count_grams(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(gram, n)`` over the distinct texts; ``asked`` are the ``grams`` of all of them."""
+    some = texts.select("_text").where("_text <> ''")
+    marked = some.select("_text", *_digests(F.col("_text")))
+    # written, so that Spark knows the size: broadcast if small, else joined by sorting
+    many = materialize(marked.groupBy("_d1", "_d2").agg(F.count("*").alias("_times")).where("_times > 1"), "repeated")
+    copies = marked.join(many, ["_d1", "_d2"]).dropDuplicates(["_d1", "_d2"]).select("_text", "_times")
+    less = copies.mapInArrow(_negative, "gram bigint, n bigint")
+    return asked.select("gram", "n").unionAll(less).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """Interpolated modified Kneser-Ney; logarithms to base 2.
+    """Interpolated modified Kneser-Ney, as tables of one row an n-gram.
 
-    ``grams[k]`` are the sorted hashes of the (k+1)-grams, ``log_p[k]`` their
-    probabilities, ``log_backoff[k]`` the weight of the next lower order after the
-    (k+1)-gram as a context. ``log_none`` is the probability of an unseen byte.
+    ``probabilities[k]``: ``(gram, p)`` of the n-grams of k bytes; ``weights[k]``:
+    ``(context, weight)`` of the lower order after a context of k - 1 bytes.
     """
 
-    grams: list[np.ndarray]
-    log_p: list[np.ndarray]
-    log_backoff: list[np.ndarray]
-    log_none: float
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.float32)
-        todo = np.arange(len(keys))
-        for order in (2, 1, 0):
-            k = keys[todo] & ((1 << 8 * (order + 1)) - 1)
-            at, hit = _find(self.grams[order], k)
-            out[todo[hit]] += self.log_p[order][at[hit]]
-            todo, k = todo[~hit], k[~hit]
-            if not len(todo):
-                return out
-            if order:
-                at, hit = _find(self.grams[order - 1], k >> 8)
-                out[todo[hit]] += self.log_backoff[order - 1][at[hit]]
-        out[todo] += self.log_none
-        return out
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return at, table[at] == keys
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D0 = 0, D1, D2, D3+ of Chen and Goodman from the counts of counts."""
-    n = [float((counts == k).sum()) for k in (1, 2, 3, 4)]
+    probabilities: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+
+
+def discounts(times: list[int]) -> list[float]:
+    """D0 = 0, D1, D2, D3+ of Chen and Goodman from the counts of the counts 1 to 4."""
+    n = [float(x) for x in times]
     if not n[0] or not n[1]:
-        return np.array([0, 0.5, 0.5, 0.5])
+        return [0, 0.5, 0.5, 0.5]
     y = n[0] / (n[0] + 2 * n[1])
     d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 for k in (1, 2, 3)]
-    return np.array([0, *[min(max(x, 0.01), k) for k, x in enumerate(d, 1)]])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """From all trigrams, ascending, and their counts."""
-    g3, c3 = grams.astype(np.int64), counts.astype(np.float64)
-    g2, w = np.unique(g3 & 0xFFFF, return_inverse=True)
-    c2 = np.bincount(w, minlength=len(g2)).astype(np.float64)  # continuations: bytes that stand before
-    g1, w = np.unique(g2 & 0xFF, return_inverse=True)
-    c1 = np.bincount(w, minlength=len(g1)).astype(np.float64)
-    total = c1.sum() or 1.0
-    d = discounts(c1)
-    cut = d[np.minimum(c1, 3).astype(int)]
-    spare = max(cut.sum() / total, 1e-9)
-    p1 = (c1 - cut) / total + spare / 256
-    lower, table, log_p, log_b = p1, g1, [np.log2(p1)], []
-    for g, c in ((g2, c2), (g3, c3)):
-        d = discounts(c)
-        cut = d[np.minimum(c, 3).astype(int)]
-        contexts, which = np.unique(g >> 8, return_inverse=True)
-        sums = np.bincount(which, c, len(contexts))
-        weight = np.maximum(np.bincount(which, cut, len(contexts)) / np.maximum(sums, 1), 1e-9)
-        below, _ = _find(table, g & ((1 << 8 * len(log_p)) - 1))
-        p = (c - cut) / sums[which] + weight[which] * lower[below]
-        backoff = np.zeros(len(table))  # a context never seen as one hands on all its weight
-        at, hit = _find(table, contexts)
-        backoff[at[hit]] = np.log2(weight[hit])
-        log_b.append(backoff.astype(np.float32))
-        lower, table = p, g
-        log_p.append(np.log2(p))
-    return Model([g1.astype(np.int32), g2.astype(np.int32), g3.astype(np.int32)], [x.astype(np.float32) for x in log_p], log_b, float(np.log2(spare / 256)))
+    return [0, *[min(max(x, 0.01), k) for k, x in enumerate(d, 1)]]
+
+
+def kneser_ney(counts: DataFrame) -> Model:
+    """From all longest n-grams ``(gram, n)``, with positive counts."""
+    levels = {ORDER: materialize(counts.repartition("gram").sortWithinPartitions("gram"), "grams")}
+    for k in range(ORDER - 1, 0, -1):  # continuations: bytes that stand before
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
+        levels[k] = materialize(levels[k + 1].select(shorter).groupBy("gram").agg(F.count("*").alias("n")), "grams")
+    tables = [t.groupBy(F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("times")).select(F.lit(k).alias("k"), "n", "times") for k, t in levels.items()]
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionAll(t)
+    times = {(r["k"], r["n"]): r["times"] for r in every.collect()}  # five numbers an order
+    below, probabilities, weights = None, {}, {}
+    for k in range(1, ORDER + 1):
+        d = discounts([times.get((k, n), 0) for n in (1, 2, 3, 4)])
+        cut = F.element_at(F.array(*[F.lit(float(x)) for x in d[1:]]), F.least("n", F.lit(3)).cast("int"))
+        table = levels[k].select("gram", "n", cut.alias("cut"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("rest"))
+        sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare"))
+        lower = table.join(sums, "context")
+        lower = lower.withColumn("lower", F.lit(1 / 256)) if below is None else lower.join(below.select(F.col("gram").alias("rest"), F.col("p").alias("lower")), "rest")
+        below = materialize(lower.select("gram", ((F.col("n") - F.col("cut") + F.col("spare") * F.col("lower")) / F.col("total")).alias("p")), "model")
+        probabilities[k] = below
+        weights[k] = sums.select("context", (F.col("spare") / F.col("total")).alias("weight"))
+    return Model(probabilities, weights)
+
+
+def _texts(docs: DataFrame, text: str, *more: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *more)
+
+
+def _scannable(docs: DataFrame) -> DataFrame:
+    """``docs``, written first if its rows could come in another order the next time."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return materialize(docs, "documents") if "Exchange" in plan or "QueryStage" in plan else docs
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """Gathers at most 256**3 counts."""
-    table = count_trigrams(docs, text).orderBy("gram").toArrow()
-    return kneser_ney(table.column("gram").to_numpy(), table.column("n").to_numpy())
+    """The model of all distinct texts; nothing of it is gathered."""
+    rows = _texts(docs, text)
+    return kneser_ney(count_grams(rows, grams(rows)))
+
 
+def log_probabilities(wanted: DataFrame, model: Model) -> DataFrame:
+    """``(gram, bits)`` of the distinct ``gram`` of ``wanted``: minus the binary logarithm.
 
-def bits_per_byte(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Of each text; 0 for an empty one."""
-    keys, starts, sizes = _stream(texts)
-    if not len(sizes):
-        return np.zeros(0)
-    scores = np.concatenate([model.score(keys[k : k + SLICE]) for k in range(0, len(keys), SLICE)] or [np.zeros(0, np.float32)])
-    sums = np.array([scores[a : a + n].sum(dtype=np.float64) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-    return -sums / np.maximum(sizes, 1)
+    An n-gram not in the model has the probability of its shorter rest times the weight
+    of its context, if that is known.
+    """
+    todo, found = wanted.select("gram", F.lit(0.0).alias("bits")).distinct(), None
+    for k in range(ORDER, 0, -1):
+        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        known = todo.withColumn("key", key).join(model.probabilities[k].select(F.col("gram").alias("key"), "p"), "key", "left")
+        hit = known.where("p is not null").select("gram", (F.col("bits") - F.log2("p")).alias("bits"))
+        found = hit if found is None else found.unionAll(hit)
+        weights = model.weights[k].select(F.col("context").alias("key"), "weight")
+        missed = known.where("p is null").select("gram", "bits", F.shiftright("key", 8).alias("key")).join(weights, "key", "left")
+        todo = missed.select("gram", (F.col("bits") - F.log2(F.coalesce("weight", F.lit(1.0)))).alias("bits"))
+    return found.unionAll(todo.select("gram", (F.col("bits") + 8).alias("bits")))
 
 
-def _scored(docs: DataFrame, model, text: str, lang: str, wanted: list[str], base: bool) -> DataFrame:
-    """The ``wanted`` columns and what the model and, if asked for, the base rules measure."""
-    small_batches(docs.sparkSession)
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in wanted)
-    names = ["_lang", "_bytes", "_bits", *(["_words", "_chars", "_symbols", "_dup", "_repeat"] if base else [])]
-    schema = ", ".join(filter(None, [kinds, "_lang string, _bytes bigint, _bits double", "_words bigint, _chars bigint, _symbols bigint, _dup bigint, _repeat bigint" if base else ""]))
-    rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"), *[F.col(f"`{n}`") for n in wanted])
+def _packed(rows: DataFrame) -> DataFrame:
+    """``(chunk, piece)``: compressed record batches of the rows, the text first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            bits = bits_per_byte(model.value, texts)
-            sizes = [len(t.encode()) if t else 0 for t in texts]
-            columns = [batch.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.float64())]
-            if base:
-                columns += [pa.array(c, pa.int64()) for c in (zip(*[base_features(t or "") for t in texts], strict=True) if texts else [()] * 5)]
-            yield pa.RecordBatch.from_arrays([batch.column(k + 2) for k in range(len(wanted))] + columns, [*wanted, *names])
+        chunk, pieces, held, size = _Chunk(), [], [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+
+        def pack():
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table)
+            pieces.append(sink.getvalue().to_pybytes())
+            held.clear()
+
+        def done():
+            if held:
+                pack()
+            names = pa.array(np.full(len(pieces), chunk.name()))
+            return [pa.RecordBatch.from_arrays([names[k : k + 1], pa.array([x], pa.binary())], ["chunk", "piece"]) for k, x in enumerate(pieces)]
 
-    return rows.mapInArrow(run, schema)
+        for batch in batches:
+            first = 0
+            for k, t in enumerate(batch.column(0).to_pylist()):
+                raw = t.encode() if t else b""
+                size += len(raw)
+                full = chunk.add(raw)
+                if full or size >= PIECE_BYTES:
+                    held.append(batch.slice(first, k + 1 - first))
+                    first, size = k + 1, 0
+                    pack()
+                if full:
+                    yield from done()
+                    chunk, pieces = _Chunk(), []
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        yield from done()
+
+    return rows.mapInArrow(run, "chunk bigint, piece binary")
+
+
+def _lookup(hashes: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(hashes, keys)
+    at[at == len(hashes)] = 0
+    if not len(hashes) or (hashes[at] != keys).any():
+        raise RuntimeError("a chunk's n-grams are not those asked for: the table's rows came in another order; write it first")
+    return bits[at]
+
+
+def _scored(docs: DataFrame, text: str, lang: str, wanted: list[str], model: Model | None) -> DataFrame:
+    """The ``wanted`` columns, two digests of the text, and what model and base rules measure."""
+    small_batches(docs.sparkSession)
+    rows = _texts(docs, text, F.col(lang).cast("string").alias("_lang"), *[F.col(f"`{n}`") for n in wanted])
+    asked = grams(rows)
+    if model is None:
+        asked = materialize(asked, "asked")
+        table = kneser_ney(count_grams(rows, asked)).probabilities[ORDER].select("gram", (-F.log2("p")).alias("bits"))
+    else:
+        table = log_probabilities(asked, model)
+    arrays = asked.select("chunk", "gram").join(table, "gram").select("chunk", "gram", F.col("bits").cast("float").alias("bits"))
+    measured = ["_words", "_chars", "_symbols", "_dup", "_repeat"]
+    names = [*wanted, "_lang", "_d1", "_d2", "_bytes", "_bits", *measured]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, first = np.unique(right.column("gram").to_numpy(), return_index=True)
+        bits = right.column("bits").to_numpy()[first]
+        out = []
+        for piece in left.column("piece"):
+            for batch in pa.ipc.open_stream(piece.as_buffer()):
+                texts = batch.column(0).to_pylist()
+                raw = [t.encode() for t in texts]
+                made = _Bytes(raw)
+                inside, values = made.inside(), np.zeros(len(made.raw), np.float32)
+                for lo, keys in made.grams():
+                    own = np.flatnonzero(inside[lo : lo + len(keys)])
+                    values[lo + own] = _lookup(hashes, bits, keys[own]) if len(own) else 0
+                each = made.sums(values) / np.maximum(made.sizes, 1)
+                digests = [np.array([xxhash.xxh3_64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64) for seed in (0, 1)]
+                columns = [batch.column(k + 2) for k in range(len(wanted))] + [batch.column(1), *map(pa.array, digests), pa.array(made.sizes), pa.array(each)]
+                columns += [pa.array(c, pa.int64()) for c in zip(*map(base_features, texts), strict=True)]
+                out.append(pa.RecordBatch.from_arrays(columns, names))
+        if not out:
+            raise RuntimeError("n-grams were asked for by a chunk that did not come again; write the table first")
+        return pa.Table.from_batches(out)
+
+    kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in wanted]
+    schema = ", ".join([*kinds, "_lang string, _d1 bigint, _d2 bigint, _bytes bigint, _bits double", *[f"{n} bigint" for n in measured]])
+    return _packed(rows).groupBy("chunk").cogroup(arrays.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def bands(scores: DataFrame, mads: float = BAND_MADS) -> DataFrame:
@@ -292,29 +416,28 @@ def bands(scores: DataFrame, mads: float = BAND_MADS) -> DataFrame:
     )
 
 
-def _judged(docs: DataFrame, text: str, lang: str, wanted: list[str], mads: float, model: Model | None = None) -> DataFrame:
-    model = model or train(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    enough = F.size(F.split(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "^[ \\t-\\r]+|[ \\t-\\r]+$", ""), "[ \\t-\\r]+", MIN_WORDS)) >= MIN_WORDS
+def _judged(docs: DataFrame, text: str, lang: str, wanted: list[str], mads: float, model: Model | None) -> DataFrame:
+    # small beside the texts: a few numbers a row
+    scored = materialize(_scored(_scannable(docs), text, lang, wanted, model), "scored")
+    once = scored.where(F.col("_words") >= MIN_WORDS).select("_lang", "_bits", "_d1", "_d2").dropDuplicates(["_lang", "_d1", "_d2"])
     # written, so that Spark knows the size: a broadcast under its threshold, as for any
     # usual number of languages, and else a join by sorting
-    mark = f"digest_{uuid.uuid4().hex[:8]}"  # each text once a language: its score is a function of the text
-    digested = docs.where(enough).withColumn(mark, F.xxhash64(F.col(text).cast("string")))
-    scores = _scored(digested, shared, text, lang, [mark], False).select("_lang", "_bytes", "_bits", mark).distinct()
-    limits = materialize(bands(scores, mads), "bands")
-    rows = _scored(docs, shared, text, lang, wanted, True)
-    joined = rows.join(limits.withColumnRenamed("lang", "_band_lang"), F.col("_lang").eqNullSafe(F.col("_band_lang")), "left")
+    limits = materialize(bands(once, mads), "bands")
+    joined = scored.join(limits.withColumnRenamed("lang", "_band_lang"), F.col("_lang").eqNullSafe(F.col("_band_lang")), "left")
     failed = (F.col("_words") < MIN_WORDS) | (100 * F.col("_repeat") > MAX_REPEAT_PERCENT * F.col("_words"))
     wide = F.col("half") * F.sqrt(F.greatest(F.lit(1.0), LONG_BYTES / F.greatest(F.col("_bytes"), F.lit(1)).cast("double")))
     inside = F.coalesce(F.abs(F.col("_bits") - F.col("middle")) <= wide, F.lit(True))
     return joined.select(
-        *[F.col(f"`{n}`") for n in wanted], "_words", "_chars", "_symbols", "_dup", "_repeat", "_bits",
+        *[F.col(f"`{n}`") for n in wanted], "_words", "_chars", "_symbols", "_dup", "_repeat", "_bits", "_lang",
         failed.alias("_failed"), (~failed & inside).alias("_kept"), (F.col("middle") - wide).alias("_low"), (F.col("middle") + wide).alias("_high"),
     )
 
 
 def judge(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", mads: float = BAND_MADS, model: Model | None = None) -> DataFrame:
-    """Per row: the base features, the perplexity with its band, and the verdict."""
+    """Per row: the base features, the perplexity with its band, and the verdict.
+
+    Without a model, that of ``docs`` itself.
+    """
     return _judged(docs, text, lang, [ident], mads, model).select(
         ident, F.col("_words").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"),
@@ -322,10 +445,19 @@ def judge(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     )
 
 
-def keep(docs: DataFrame, text: str = "text", lang: str = "lang", mads: float = BAND_MADS) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", mads: float = BAND_MADS, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    The verdict is a function of text and language, so rows are left out by these.
+    """
     mark = uuid.uuid4().hex[:8]
     own = {n: f"{mark}_{k}" for k, n in enumerate(docs.columns)}
-    renamed = docs.toDF(*own.values())
-    passed = _judged(renamed, own[text], own[lang], list(own.values()), mads).where("_kept")
+    renamed = _scannable(docs).toDF(*own.values())
+    whole = F.coalesce(F.col(own[text]).cast("string"), F.lit(""))
+    keys = [c.alias(f"{mark}_d{k}") for k, c in enumerate(_digests(whole))]
+    judged = _judged(renamed.select("*", *keys), own[text], own[lang], [f"{mark}_d0", f"{mark}_d1"], mads, model)
+    # written, so that Spark knows the size, as above
+    out = materialize(judged.where("not _kept").select("_lang", F.col(f"{mark}_d0").alias("_r0"), F.col(f"{mark}_d1").alias("_r1")).distinct(), "rejected")
+    same = (F.col(f"{mark}_d0") == F.col("_r0")) & (F.col(f"{mark}_d1") == F.col("_r1")) & F.col(f"{mark}_lang").eqNullSafe(F.col("_lang"))
+    passed = renamed.select("*", *keys, F.col(own[lang]).cast("string").alias(f"{mark}_lang")).join(out, same, "left_anti")
     return passed.select(*[F.col(new).alias(old) for old, new in own.items()])

@@ -20,15 +20,16 @@ def brute_features(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
-def brute_bits(texts):
-    """Modified Kneser-Ney written with dictionaries, for texts that it has seen."""
+def brute_model(texts, order=quality.ORDER):
+    """Modified Kneser-Ney written with dictionaries: probabilities and context weights."""
     grams = Counter()
-    for t in texts:
-        raw = b"\0\0" + t.encode()
-        grams.update(raw[i : i + 3] for i in range(len(raw) - 2))
-    counts = {3: grams, 2: Counter(g[1:] for g in grams)}
-    counts[1] = Counter(g[1:] for g in counts[2])
-    prob = {}
+    for t in set(texts):
+        raw = b"\0" * (order - 1) + t.encode()
+        grams.update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    counts = {order: grams}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    prob, weight = {}, {}
 
     def disc(c):
         n = Counter(c.values())
@@ -37,20 +38,55 @@ def brute_bits(texts):
         y = n[1] / (n[1] + 2 * n[2])
         return [0, *[min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.5, 0.01), k) for k in (1, 2, 3)]]
 
-    for order in (1, 2, 3):
-        c, d = counts[order], disc(counts[order])
+    for k in range(1, order + 1):
+        c, d = counts[k], disc(counts[k])
         total, spare = defaultdict(float), defaultdict(float)
         for g, n in c.items():
             total[g[:-1]] += n
             spare[g[:-1]] += d[min(n, 3)]
+        for h in total:
+            weight[k, h] = spare[h] / total[h]
         for g, n in c.items():
-            h = g[:-1]
-            lower = prob[g[1:]] if order > 1 else 1 / 256
-            prob[g] = (n - d[min(n, 3)]) / total[h] + spare[h] / total[h] * lower
+            lower = prob[g[1:]] if k > 1 else 1 / 256
+            prob[g] = (n - d[min(n, 3)]) / total[g[:-1]] + weight[k, g[:-1]] * lower
+    return prob, weight
+
+
+def brute_bits(texts, model, order=quality.ORDER):
+    """Bits a byte of each text."""
+    prob, weight = model
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        return prob[g] if g in prob else weight.get((len(g), g[:-1]), 1.0) * p(g[1:])
+
     out = []
     for t in texts:
-        raw = b"\0\0" + t.encode()
-        out.append(-sum(math.log2(prob[raw[i : i + 3]]) for i in range(len(raw) - 2)) / max(1, len(raw) - 2))
+        raw = b"\0" * (order - 1) + t.encode()
+        out.append(-sum(math.log2(p(raw[i : i + order])) for i in range(len(raw) - order + 1)) / max(1, len(raw) - order + 1))
+    return out
+
+
+def brute_kept(made, mads=quality.BAND_MADS):
+    """The verdicts of rows (id, text, lang, ...) by the documented rule."""
+    texts = [r[1] or "" for r in made]
+    bits = brute_bits(texts, brute_model(texts))
+    features = list(map(brute_features, texts))
+    bands = {}
+    for r in made:
+        seen = {(r2[1] or ""): x for r2, x, f in zip(made, bits, features, strict=True) if r2[2] == r[2] and f[0] >= 50}
+        steps = sorted(math.floor(x * 1000 + 0.5) for x in seen.values())
+        if steps:
+            middle = steps[(len(steps) - 1) // 2]
+            mad = sorted(abs(x - middle) for x in steps)[(len(steps) - 1) // 2]
+            bands[r[2]] = middle / 1000, mads * max(mad / 1000, 0.01)
+    out = []
+    for r, x, f in zip(made, bits, features, strict=True):
+        base = f[0] < 50 or 100 * f[4] > 50 * f[0]
+        middle, half = bands.get(r[2], (x, 1))
+        wide = half * math.sqrt(max(1.0, 1200 / max(1, len((r[1] or "").encode()))))
+        out.append((base, not base and abs(x - middle) <= wide))
     return out
 
 
@@ -62,21 +98,59 @@ def test_features_equal_brute_force():
         assert quality.base_features(t) == brute_features(t)
 
 
-def test_model_equals_brute_force(spark):
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("abcde fé\n") for _ in range(rng.randrange(1, 90))) for _ in range(60)] + ["", "z"]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    assert np.allclose(quality.bits_per_byte(model, texts), brute_bits(texts), atol=1e-4)
+def random_texts(seed=2):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcde fé\n") for _ in range(rng.randrange(1, 90))) for _ in range(60)] + ["", "z"]
+
+
+def scored(spark, texts, model=None):
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "k int, text string, lang string").repartition(3)
+    return [r["_bits"] for r in quality._scored(quality._scannable(docs), "text", "lang", ["k"], model).orderBy("k").collect()]
+
+
+@pytest.mark.parametrize("chunk", [200, 1 << 20])
+def test_model_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(quality, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(quality, "PIECE_BYTES", 70)
+    texts = random_texts()
+    texts += [texts[3]] * 5 + [texts[9]]  # copies count once
+    assert np.allclose(scored(spark, texts), brute_bits(texts, brute_model(texts)), atol=1e-4)
+
+
+def test_a_given_model_backs_off(spark):
+    texts, others = random_texts(), [*random_texts(5), "never seen: QXZ", "abc\U0001f600"]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.allclose(scored(spark, others, model), brute_bits(others, brute_model(texts)), atol=1e-4)
+
+
+def test_model_is_a_distribution(spark):
+    model = quality.train(spark.createDataFrame([(t,) for t in random_texts()], "text string"))
+    contexts = [b"abcd", b"zzzz", b"\0\0\0\0", b"e fa"]
+    grams = [int.from_bytes(c + bytes([x])) for c in contexts for x in range(256)]
+    got = quality.log_probabilities(spark.createDataFrame([(g,) for g in grams], "gram bigint"), model).collect()
+    sums = Counter()
+    for r in got:
+        sums[r["gram"] >> 8] += 2 ** -r["bits"]
+    assert len(got) == len(set(grams)) and all(x == pytest.approx(1, abs=1e-9) for x in sums.values())
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Bands of several languages: no language, one text, two, and a tight one."""
+    rng = random.Random(12)
+    words = [a + b for a in ("the", "an", "ion", "house", "tion", "stone") for b in ("", "er", "on", "is")]
+    made = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40, 200))), rng.choice(["en", None, "de"]), "s", 0) for i in range(50)]
+    made += [(60, "lonely " + made[0][1] * 2, "fr", "s", 0), (61, made[1][1] + " x", "es", "s", 0), (62, made[2][1], "es", "s", 0)]
+    made += [(70 + k, " ".join("".join(rng.choice("qxz#0") for _ in range(5)) for _ in range(80)), "en", "s", 0) for k in range(3)]
+    made += [(80, made[0][1], "de", "s", 0), made[0], (81, None, None, None, None)]
+    got = sorted((r["doc_id"], r["base_failed"], r["kept"]) for r in quality.judge(documents(spark, made)).collect())
+    assert got == sorted((r[0], *v) for r, v in zip(made, brute_kept(made), strict=True))
+    assert 0 < sum(not x[1] and not x[2] for x in got) < len(got) // 2
 
 
-def test_model_is_a_distribution():
-    rng = random.Random(3)
-    raw = bytes(rng.choice(b"abcdefg ") for _ in range(4000))
-    grams, counts = np.unique([a << 16 | b << 8 | c for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)], return_counts=True)
-    model = quality.kneser_ney(grams.astype(np.int32), counts)
-    for context in (b"ab", b"zz", b"az", b"g "):
-        keys = np.array([context[0] << 16 | context[1] << 8 | c for c in range(256)])
-        assert np.exp2(model.score(keys).astype(float)).sum() == pytest.approx(1, abs=2e-3)
+def test_rows_in_another_order_are_an_error(spark):
+    hashes = np.array([1, 5], np.int64)
+    with pytest.raises(RuntimeError, match="another order"):
+        quality._lookup(hashes, np.zeros(2, np.float32), np.array([1, 2]))
 
 
 def corpus(spark):
