@@ -2,7 +2,7 @@
 
 Vectors are dealt into ``n`` blocks; each pair of blocks is one group, multiplied as
 matrices, so a task holds two blocks whatever the table's size. Only pairs at or over
-the threshold leave a task.
+the threshold leave a task, and for clusters only a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.operators.graph import connected_components
+from mediashoal.operators.graph import connected_components, spanning_labels
 from mediashoal.operators.ranking import ordered_index
 from mediashoal.schemas import FACE_THRESHOLD
 
@@ -22,8 +22,12 @@ BLOCK_ROWS = 4096
 LEAST_BLOCKS = 4
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(a, b, score)`` with a < b and cosine at or over the threshold (over zero)."""
+def similar_pairs(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector", block_rows: int = BLOCK_ROWS, forest: bool = False) -> DataFrame:
+    """``(a, b, score)`` with a < b and cosine at or over the threshold (over zero).
+
+    With ``forest``, of each tile a spanning forest of such pairs: each id with the least
+    one of its component there, whose own score may be lower (and is not given).
+    """
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n = max(LEAST_BLOCKS, math.ceil(rows.count() / block_rows))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
@@ -46,6 +50,12 @@ def similar_pairs(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident:
             left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
             scores = m[left] @ m[right].T
             x, y = np.nonzero((scores >= threshold) & ((length[left] > 0)[:, None] & (length[right] > 0)[None, :]))
+            if forest:
+                own, where = np.unique(np.concatenate([ids[at[left[x]]], ids[at[right[y]]]]), return_inverse=True)
+                label = spanning_labels(len(own), where[: len(x)], where[len(x) :])
+                moved = np.flatnonzero(label != np.arange(len(own)))
+                found.append((own[label[moved]], own[moved], np.full(len(moved), np.nan)))
+                continue
             a, b = ids[at[left[x]]], ids[at[right[y]]]
             keep = a < b if i == j else a != b
             found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], scores[x, y][keep]))
@@ -57,7 +67,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident:
 
 def clusters(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector") -> DataFrame:
     """``(id, component, cluster_id)``; cluster ids from 0 by first id."""
-    edges = similar_pairs(vectors, threshold, ident, vector)
+    edges = similar_pairs(vectors, threshold, ident, vector, forest=True)
     found = connected_components(edges, "a", "b")
     ids = vectors.select(F.col(ident).cast("bigint").alias("id"))
     named = ids.join(found, ids["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))

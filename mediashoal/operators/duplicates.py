@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediashoal.functions.dates import sort_ts
-from mediashoal.functions.vectors import hamming
 from mediashoal.operators.ranking import ordered_index
+from mediashoal.storage import materialize
 
-#: Largest distances of visual duplicates, and that of unreadable hashes.
-PHASH_MOST, DHASH_MOST, AHASH_MOST, UNREADABLE = 6, 8, 10, 65
+#: Largest distances of visual duplicates, whose ahashes are equal.
+PHASH_MOST, DHASH_MOST = 6, 8
 FAR = 2**63 - 1
 
 
@@ -57,48 +58,123 @@ def nested(members: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return members.groupBy(group, "keep_path").agg(F.array_sort(F.collect_list(F.struct("path", *[c for c in columns if c != "path"]))).alias("candidates"))
 
 
+READABLE = "^[0-9a-fA-F]{1,16}$"
+
+
+def print_classes(prints: DataFrame) -> DataFrame:
+    """``(ahash, p, d, first, files)`` of files with three equal, readable hashes; the
+    first path stands for all. Hashes that can't be read are near no other."""
+    value = lambda c: F.conv(c, 16, -10).cast("bigint").alias(c[0])
+    rows = prints.where(" and ".join(f"{c} rlike '{READABLE}'" for c in ("ahash", "phash", "dhash")))
+    return rows.select("path", "ahash", value("phash"), value("dhash")).groupBy("ahash", "p", "d").agg(F.min("path").alias("first"), F.count("*").alias("files"))
+
+
 def visual_pairs(prints: DataFrame) -> DataFrame:
-    """``(path_a, path_b, score)`` of files with one ahash and near other hashes."""
-    distance = lambda h: F.coalesce(hamming(F.col(f"a.{h}"), F.col(f"b.{h}")), F.lit(UNREADABLE))
-    pairs = prints.alias("a").join(prints.alias("b"), (F.col("a.ahash") == F.col("b.ahash")) & (F.col("a.path") < F.col("b.path")))
-    pairs = pairs.select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), distance("phash").alias("p"), distance("dhash").alias("d"), distance("ahash").alias("h"))
-    return pairs.where((F.col("p") <= PHASH_MOST) & (F.col("d") <= DHASH_MOST) & (F.col("h") <= AHASH_MOST)).select("path_a", "path_b", (F.col("p") + F.col("d") + F.col("h")).alias("score"))
+    """``(path_a, path_b, score)`` of the classes with one ahash and near other hashes, by
+    their first paths; ``print_classes`` has the membership.
 
+    Two phashes within PHASH_MOST bits agree on one of PHASH_MOST + 1 blocks, so classes
+    meet in buckets of (ahash, block); a pair counts in the first block it agrees on.
+    """
+    n = PHASH_MOST + 1
+    masks = [sum(1 << b for b in range(k, 64, n)) for k in range(n)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("p").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
+    dealt = print_classes(prints).select("ahash", "p", "d", "first", F.explode(blocks).alias("b")).select("ahash", "p", "d", "first", "b.k", "b.bits")
+    both = dealt.alias("a").join(dealt.alias("b"), ["ahash", "k", "bits"]).where("a.first < b.first")
+    differ = F.col("a.p").bitwiseXOR(F.col("b.p"))
+    earlier = F.lit(False)
+    for k, m in enumerate(masks[:-1]):
+        earlier = earlier | ((F.col("k") > k) & (differ.bitwiseAND(F.lit(m)) == 0))
+    near = both.where(~earlier).select(F.col("a.first").alias("path_a"), F.col("b.first").alias("path_b"), F.bit_count(differ).alias("x"), F.bit_count(F.col("a.d").bitwiseXOR(F.col("b.d"))).alias("y"))
+    return near.where((F.col("x") <= PHASH_MOST) & (F.col("y") <= DHASH_MOST)).select("path_a", "path_b", (F.col("x") + F.col("y")).alias("score"))
+
+
+def greedy(p: np.ndarray, d: np.ndarray, files: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor grouping of classes in order of path: each free class takes the free ones
+    near it. Gives indexes of taken classes and anchors, anchors' indexes, and scores:
+    the largest distance in the group. Only groups of two files or more.
+    """
+    free, taken, anchors, scores = np.arange(len(p)), [], [], []
+    while len(free):
+        i, rest = free[0], free[1:]
+        x, y = np.bitwise_count(p[rest] ^ p[i]).astype(np.int32), np.bitwise_count(d[rest] ^ d[i])
+        near = (x <= PHASH_MOST) & (y <= DHASH_MOST)
+        hit = rest[near]
+        if len(hit) or files[i] > 1:
+            taken.append(np.concatenate([[i], hit]))
+            anchors.append(np.full(len(hit) + 1, i))
+            scores.append(np.full(len(hit) + 1, (x[near] + y[near]).max(initial=0)))
+        free = rest[~near]
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (taken, anchors, scores))
 
-def _distance(a: int | None, b: int | None) -> int:
-    return UNREADABLE if a is None or b is None else (a ^ b).bit_count()
 
+#: Classes of one ahash that a task groups at once.
+BUCKET_ROWS = 1 << 16
+FOUND = "first string, anchor string, score int"
 
-def _hash(text: str) -> int | None:
-    try:
-        return int(text, 16) if 0 < len(text) <= 16 and text.isalnum() else None
-    except ValueError:
-        return None
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``greedy`` over the classes of each ahash, at most BUCKET_ROWS."""
 
-def greedy(classes: list[tuple[str, str | None, str | None, int, bool]]) -> list[tuple[str, str, int]]:
-    """Anchor grouping of one bucket: by path, each free class takes the free ones near
-    it. ``classes``: (first path, phash, dhash, files, ahash readable). Returns (first
-    path, anchor, score) of the classes in groups of two files or more.
-    """
-    classes = sorted(classes, key=lambda c: c[0])
-    codes = [(_hash(p or ""), _hash(d or "")) for _, p, d, _, _ in classes]
-    used, out = set(), []
-    for i, (anchor, *_, files, readable) in enumerate(classes):
-        if i in used:
-            continue
-        own = (0 if readable else UNREADABLE) <= AHASH_MOST and _distance(codes[i][0], codes[i][0]) <= PHASH_MOST and _distance(codes[i][1], codes[i][1]) <= DHASH_MOST
-        near, score, n = [], 0, files if own else 1
-        for j in range(i + 1, len(classes)) if readable else ():
-            if j not in used:
-                p, d = (_distance(codes[i][k], codes[j][k]) for k in (0, 1))
-                if p <= PHASH_MOST and d <= DHASH_MOST:
-                    near.append(j)
-                    score, n = max(score, p + d), n + classes[j][3]
-        if n > 1:
-            used.update([i, *near])
-            out += [(classes[k][0], anchor, score) for k in (i, *near)]
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for classes in batch.column(0):
+                own = pa.table(classes.values.flatten(), ["first", "p", "d", "files"]).sort_by("first")
+                p, d, files = (own.column(c).to_numpy() for c in ("p", "d", "files"))
+                taken, anchors, scores = greedy(p.view(np.uint64), d.view(np.uint64), files)
+                names = own.column("first").combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(taken)), names.take(pa.array(anchors)), pa.array(scores.astype(np.int32))], ["first", "anchor", "score"])
+
+    lists = rows.groupBy("ahash").agg(F.collect_list(F.struct("first", "p", "d", "files")).alias("classes"))
+    return lists.select("classes").mapInArrow(run, FOUND)
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    """``greedy`` for an ahash of any number of classes: by blocks in order of path. The
+    anchors of a block take from all later ones, in tasks of a block each, before the
+    next block is grouped."""
+    rows = ordered_index(rows, "ahash", "first", name="at")
+    first = rows.groupBy("ahash").agg(F.min("at").alias("start"))
+    rows = materialize(rows.join(first, "ahash").withColumn("block", F.floor((F.col("at") - F.col("start")) / BUCKET_ROWS).cast("int")), "hot-prints")
+    last, taken = rows.agg(F.max("block")).first()[0], None
+    for k in range(last + 1):
+        own = rows.where(F.col("block") == k)
+        own = own if taken is None else own.join(taken.select("first"), "first", "left_anti")
+
+        def run(group: pa.Table) -> pa.Table:
+            """All of the block that are free, singles too: each may be an anchor for later ones."""
+            group = group.sort_by("first")
+            p, d, files = (group.column(c).to_numpy() for c in ("p", "d", "files"))
+            took, anchors, scores = greedy(p.view(np.uint64), d.view(np.uint64), np.full(len(files), 2))
+            names = group.column("first").combine_chunks()
+            out = {"ahash": group.column("ahash").combine_chunks().take(pa.array(took)), "first": names.take(pa.array(took)), "anchor": names.take(pa.array(anchors))}
+            return pa.table(out | {n: group.column(n).combine_chunks().take(pa.array(anchors)) for n in "pd"} | {"score": pa.array(scores.astype(np.int32))})
+
+        found = materialize(own.groupBy("ahash").applyInArrow(run, "ahash string, first string, anchor string, p bigint, d bigint, score int"), "hot-anchors")
+        anchors = found.where("first = anchor").select("ahash", "anchor", "p", "d")
+        later = rows.where(F.col("block") > k)
+        later = later if taken is None else later.join(taken.select("first"), "first", "left_anti")
+        copies = anchors.join(later.select("ahash", F.col("block").alias("to")).distinct(), "ahash")
+
+        def take(group: pa.Table, by: pa.Table) -> pa.Table:
+            by = by.sort_by("anchor")
+            p, d = (group.column(c).to_numpy().view(np.uint64) for c in "pd")
+            best, score = np.full(len(p), -1), np.zeros(len(p), np.int32)
+            for i, (x, y) in enumerate(zip(*(by.column(c).to_numpy().view(np.uint64) for c in "pd"), strict=True)):
+                free = np.flatnonzero(best < 0)
+                dp, dd = np.bitwise_count(p[free] ^ x), np.bitwise_count(d[free] ^ y)
+                near = (dp <= PHASH_MOST) & (dd <= DHASH_MOST)
+                best[free[near]], score[free[near]] = i, dp[near].astype(np.int32) + dd[near]
+            hit = np.flatnonzero(best >= 0)
+            return pa.table({"first": group.column("first").combine_chunks().take(pa.array(hit)), "anchor": by.column("anchor").combine_chunks().take(pa.array(best[hit])), "score": pa.array(score[hit])})
+
+        more = later.groupBy("ahash", "block").cogroup(copies.groupBy("ahash", "to")).applyInArrow(take, FOUND)
+        step = materialize(found.select("first", "anchor", "score").unionAll(more), "hot-taken")
+        taken = step if taken is None else taken.unionAll(step)
+    scored = taken.groupBy("anchor").agg(F.max("score").alias("score"), F.count("*").alias("members"))
+    grouped = taken.select("first", "anchor").join(scored, "anchor").join(rows.select("first", "files"), "first")
+    return grouped.where("members > 1 or files > 1").select("first", "anchor", "score")
 
 
 def visual_members(prints: DataFrame) -> DataFrame:
@@ -108,18 +184,13 @@ def visual_members(prints: DataFrame) -> DataFrame:
     entry for each different pair of the other two hashes: a thousand flat images are
     one entry. The anchor is its group's first path.
     """
-    triple = ["ahash", "phash", "dhash"]
-    classes = prints.groupBy(*triple).agg(F.min("path").alias("first"), F.count("*").alias("files"))
-    ok = F.col("ahash").rlike("^[0-9a-fA-F]{1,16}$")
-    buckets = classes.where("ahash is not null").groupBy("ahash").agg(F.collect_list(F.struct("first", "phash", "dhash", "files", ok.alias("ok"))).alias("classes"), F.sum("files").alias("n")).where("n > 1")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [g for bucket in batch.column(0).to_pylist() for g in greedy([tuple(c.values()) for c in bucket])]
-            columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], ["first", "anchor", "score"])
-
-    groups = buckets.select("classes").mapInArrow(run, "first string, anchor string, score int")
-    named = classes.join(groups, "first").select(*triple, "anchor", "score")
-    same = prints["ahash"].eqNullSafe(named["ahash"]) & prints["phash"].eqNullSafe(named["phash"]) & prints["dhash"].eqNullSafe(named["dhash"])
-    return prints.join(named, same).select("path", "anchor", "score")
+    classes = materialize(print_classes(prints), "print-classes")
+    counts = materialize(classes.groupBy("ahash").agg(F.count("*").alias("n"), F.sum("files").alias("all")).where("all > 1"), "print-buckets")
+    hot = counts.where(F.col("n") > BUCKET_ROWS).select("ahash")
+    groups = _grouped(classes.join(counts.where(F.col("n") <= BUCKET_ROWS).select("ahash"), "ahash", "left_semi"))
+    if not hot.isEmpty():
+        groups = groups.unionAll(_hot(classes.join(hot, "ahash", "left_semi")))
+    named = classes.join(groups, "first").select("ahash", "p", "d", "anchor", "score")
+    value = lambda c: F.conv(F.when(F.col(c).rlike(READABLE), F.col(c)), 16, -10).cast("bigint")
+    rows = prints.select("path", "ahash", value("phash").alias("p"), value("dhash").alias("d"))
+    return rows.join(named, ["ahash", "p", "d"]).select("path", "anchor", "score")

@@ -8,12 +8,27 @@ logarithmic in the longest chain.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediashoal.storage import fresh_path, materialize, release
 
 
+def spanning_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least index of each node's component, for the edges that one task holds."""
+    label = np.arange(n)
+    while len(i):
+        old = label.copy()
+        low = np.minimum(label[i], label[j])
+        for at in (i, j, old[i], old[j]):
+            np.minimum.at(label, at, low)
+        label = label[label]
+        if (label == old).all():
+            break
+    return label
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediashoal.operators.ranking import ordered_index
+from mediashoal.storage import materialize
 
 
 def same_file(a: DataFrame, b: DataFrame) -> Column:
@@ -39,15 +40,18 @@ def upsert_media(media: DataFrame, changed: DataFrame) -> DataFrame:
     """By path: known rows keep id and ``imported_at``, everything else is overwritten
     and ``missing`` reset; new rows get the next ids by path.
     """
-    columns = [c for c in media.columns if c not in ("id", "imported_at", "missing")]
-    fresh = changed.select(*[(F.col(c) if c in changed.columns else F.lit(None)).cast(media.schema[c].dataType).alias(c) for c in columns], F.col("imported_at").alias("new_imported"))
-    keep = media.join(fresh.select("path"), "path", "left_anti").select(media.columns)
-    known = fresh.join(media.select("path", "id", "imported_at"), "path").withColumn("missing", F.lit(False)).select(media.columns)
-    new = fresh.join(media.select("path"), "path", "left_anti")
+    kept = [c for c in media.columns if c not in ("id", "imported_at", "missing", "path")]
+    fresh = changed.select("path", F.lit(True).alias("_fresh"), F.col("imported_at").alias("_imported"), *[(F.col(c) if c in changed.columns else F.lit(None)).cast(media.schema[c].dataType).alias(f"_{c}") for c in kept])
+    joined = media.withColumn("_known", F.lit(True)).join(fresh, "path", "full")
+    hit = F.coalesce("_fresh", F.lit(False))
+    both = joined.select(
+        "id", "path", "_known", F.coalesce("imported_at", "_imported").alias("imported_at"), F.when(hit, F.lit(False)).otherwise(F.col("missing")).alias("missing"),
+        *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in kept],
+    )
+    both = materialize(both, "upserted")
     top = media.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    added = ordered_index(new, "path", name="k").crossJoin(F.broadcast(top))  # one row
-    added = added.withColumn("id", F.col("top") + F.col("k") + 1).withColumn("imported_at", F.col("new_imported")).withColumn("missing", F.lit(False)).select(media.columns)
-    return keep.unionAll(known).unionAll(added)
+    added = ordered_index(both.where("_known is null"), "path", name="k").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("k") + 1)  # one row
+    return both.where("_known is not null").select(media.columns).unionAll(added.select(media.columns))
 
 
 def mark_missing(media: DataFrame, listing: DataFrame) -> DataFrame:

@@ -15,8 +15,15 @@ K_DEFAULT, K_MOST = 50, 200
 
 def top_k(vectors: DataFrame, query: list[float], k: int | None = None, ident: str = "media_item_id", vector: str = "vector") -> DataFrame:
     """``(ident, score)``, best first; ties by id. Rows of another size are skipped."""
+    return best(scores(vectors, query, ident, vector), k, ident)
+
+
+def scores(vectors: DataFrame, query: list[float], ident: str = "media_item_id", vector: str = "vector") -> DataFrame:
+    return vectors.select(ident, cosine_to(F.col(vector), query).alias("score")).where("score is not null")
+
+
+def best(scored: DataFrame, k: int | None = None, ident: str = "media_item_id") -> DataFrame:
     n = min(max(K_DEFAULT if k is None else k, 1), K_MOST)
-    scored = vectors.select(ident, cosine_to(F.col(vector), query).alias("score")).where("score is not null")
     return scored.orderBy(F.col("score").desc(), ident).limit(n)
 
 
@@ -32,7 +39,7 @@ def search_semantic(
     scope = media.where(listed()).select(F.col("id").alias("media_item_id"))
     if pre_filter is not None:
         scope = scope.join(pre_filter.select(F.col("id").alias("media_item_id")), "media_item_id", "left_semi")
-    hits = top_k(rows.join(scope, "media_item_id", "left_semi"), query, k)
+    hits = best(scores(rows, query).join(scope, "media_item_id", "left_semi"), k)  # scored first: vectors stay where they are
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "media_item_id")))  # at most K_MOST rows
     return media.join(F.broadcast(ranked), media["id"] == ranked["media_item_id"]).drop("media_item_id").orderBy("rank")
 

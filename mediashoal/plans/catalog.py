@@ -1,8 +1,8 @@
 """A catalog of snapshot tables, and the changes that its commands make.
 
-Each table is a folder of immutable Parquet snapshots; a small pointer file names the
-current one, so readers never see half a change. Commands read the current snapshots,
-build the next state as a DataFrame, and commit it. Referential actions are explicit:
+Each table is a folder of immutable Parquet snapshots; one small pointer file names the
+current one of each, so readers never see half a change, of one table or of several.
+Commands read the current snapshots, build the next state as a DataFrame, and commit it. Referential actions are explicit:
 embeddings go with their faces, faces stay when their person goes.
 """
 
@@ -20,6 +20,7 @@ from mediashoal.operators import incremental
 from mediashoal.operators import people as people_ops
 from mediashoal.operators.ranking import ordered_index
 from mediashoal.schemas import FACE_MODEL, FACE_THRESHOLD, TABLES
+from mediashoal.storage import materialize
 
 
 class CatalogError(ValueError):
@@ -31,9 +32,11 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        for name, schema in TABLES.items():
-            if self._pointer(name) is None:
-                self.commit(name, spark.createDataFrame([], schema))
+        self._seen: dict[str, str | None] = {}
+        known = self._current()
+        new = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items() if name not in known}
+        if new:
+            self.commit_all(new)
 
     # --- storage
 
@@ -41,10 +44,11 @@ class Catalog:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _pointer(self, name: str) -> dict | None:
-        fs, path = self._fs(f"{self.root}/{name}/current.json")
+    def _current(self) -> dict[str, dict]:
+        """The snapshot of each table."""
+        fs, path = self._fs(f"{self.root}/current.json")
         if not fs.exists(path):
-            return None
+            return {}
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -52,19 +56,34 @@ class Catalog:
             stream.close()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self._pointer(name)["path"])
+        path = self._current()[name]["path"]
+        self._seen[name] = path
+        return self.spark.read.schema(TABLES[name]).parquet(path)
 
     def commit(self, name: str, df: DataFrame, batch: int | None = None) -> None:
-        """Writes the next snapshot, then moves the pointer by one rename."""
-        path = f"{self.root}/{name}/snapshot-{uuid.uuid4().hex}"
-        df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.parquet(path)
-        before = self._pointer(name) or {"batch": -1}
-        fs, target = self._fs(f"{self.root}/{name}/current.json")
-        _, draft = self._fs(f"{self.root}/{name}/draft-{uuid.uuid4().hex}.json")
+        self.commit_all({name: df}, batch)
+
+    def commit_all(self, tables: dict[str, DataFrame], batch: int | None = None) -> None:
+        """Writes the next snapshots, then moves the one pointer by one rename, so all
+        tables change or none. Refused if another writer has replaced a snapshot that
+        this catalog has read; the new snapshots are then left to ``vacuum``.
+        """
+        paths = {name: f"{self.root}/{name}/snapshot-{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.parquet(paths[name])
+        current = self._current()
+        for name in tables:
+            if name in self._seen and name in current and self._seen[name] != current[name]["path"]:
+                raise CatalogError(f"{name} was changed meanwhile; read it again")
+        for name, path in paths.items():
+            current[name] = {"path": path, "batch": current.get(name, {"batch": -1})["batch"] if batch is None else batch}
+        fs, target = self._fs(f"{self.root}/current.json")
+        _, draft = self._fs(f"{self.root}/draft-{uuid.uuid4().hex}.json")
         stream = fs.create(draft)
-        stream.write(json.dumps({"path": path, "batch": before["batch"] if batch is None else batch}).encode())
+        stream.write(json.dumps(current).encode())
         stream.close()
         self._replace(draft, target)
+        self._seen |= paths
 
     def _replace(self, draft, target) -> None:
         """One atomic rename over what is there."""
@@ -75,8 +94,19 @@ class Catalog:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
 
+    def vacuum(self, older_than: float = 7 * 86400) -> int:
+        """Deletes snapshots that no table points to, if so many seconds old; how many."""
+        used = {entry["path"].rstrip("/").rpartition("/")[2] for entry in self._current().values()}
+        gone, limit = 0, (time.time() - older_than) * 1000
+        for name in TABLES:
+            fs, folder = self._fs(f"{self.root}/{name}")
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                if status.getPath().getName() not in used and status.getModificationTime() <= limit:
+                    gone += bool(fs.delete(status.getPath(), True))
+        return gone
+
     def last_batch(self, name: str = "media_items") -> int:
-        return self._pointer(name)["batch"]
+        return self._current()[name]["batch"]
 
     def drop(self) -> None:
         """The catalog's own folder only, never a media file."""
@@ -101,9 +131,10 @@ class Catalog:
             raise CatalogError(f"not a folder: {path}")
         self._add_folders([found])
 
-    def _add_folders(self, paths: list[str]) -> None:
+    def _add_folders(self, paths: list[str], keep: bool = True) -> None:
         rows = self.spark.createDataFrame([(p,) for p in paths], "path string").select(clean_path(F.col("path")).alias("path")).distinct()
         known = self.read("library_folders")
+        known = known if keep else known.limit(0)
         new = self._next_ids("library_folders", rows.join(known.select("path"), "path", "left_anti"), "path")
         self.commit("library_folders", known.unionByName(new.select("id", "path", F.lit(int(time.time())).cast("bigint").alias("created_at"))))
 
@@ -111,10 +142,8 @@ class Catalog:
         self.commit("library_folders", self.read("library_folders").where(F.col("path") != path))
 
     def update_settings(self, paths: list[str]) -> None:
-        """Replaces all folders."""
-        self.commit("library_folders", self.read("library_folders").limit(0))
-        if paths:
-            self._add_folders(paths)
+        """Replaces all folders, at once."""
+        self._add_folders(paths, keep=False)
 
     def get_settings(self) -> list[str]:
         return [r["path"] for r in self.list_library_folders().collect()]
@@ -144,8 +173,8 @@ class Catalog:
         people = self.read("people")
         if people.where(F.col("id") == person).isEmpty():
             raise CatalogError(f"no person {person}")
-        self.commit("faces", self.read("faces").withColumn("person_id", F.when(F.col("person_id") != person, F.col("person_id"))))
-        self.commit("people", people.where(F.col("id") != person))
+        faces = self.read("faces").withColumn("person_id", F.when(F.col("person_id") != person, F.col("person_id")))
+        self.commit_all({"faces": faces, "people": people.where(F.col("id") != person)})
 
     def name_face(self, face: int, name: str, threshold: float = FACE_THRESHOLD) -> int:
         """Names a face and the unnamed faces of other media that are like it; returns
@@ -186,9 +215,8 @@ class Catalog:
         added = ordered_index(made.select(F.col("id").alias("face_id"), "vector"), "face_id", name="k").select(
             (F.col("k") + top + 1).alias("id"), F.lit(None).cast("bigint").alias("media_item_id"), "face_id", F.lit(model).alias("model"), "vector", F.lit(now).cast("bigint").alias("created_at")
         )
-        self.commit("faces", kept_faces.unionByName(made.select(faces.columns)))
-        self.commit("embeddings", kept_vectors.unionByName(added))
-        self.commit("media_processing_cache", incremental.mark_processed(cache, media, media_ids, "faces", model, now))
+        processed = incremental.mark_processed(cache, media, media_ids, "faces", model, now)
+        self.commit_all({"faces": kept_faces.unionByName(made.select(faces.columns)), "embeddings": kept_vectors.unionByName(added), "media_processing_cache": processed})
 
     def replace_embeddings(self, made: DataFrame, now: int | None = None) -> None:
         """One vector for each (media_item_id, model) of ``made``; others stay."""
@@ -196,23 +224,65 @@ class Catalog:
         vectors, cache, media = self.read("embeddings"), self.read("media_processing_cache"), self.read("media_items")
         keep = vectors.join(made.select("media_item_id", "model"), ["media_item_id", "model"], "left_anti").select(vectors.columns)
         rows = self._next_ids("embeddings", made, "media_item_id", "model").select("id", "media_item_id", F.lit(None).cast("bigint").alias("face_id"), "model", "vector", F.lit(now).cast("bigint").alias("created_at"))
-        self.commit("embeddings", keep.unionByName(rows))
         keys = ["media_item_id", "processor", "model"]
         done = made.select("media_item_id", "model").distinct().join(media.select(F.col("id").alias("media_item_id"), "size_bytes", "modified_at"), "media_item_id")
         done = done.withColumn("processor", F.lit("embeddings")).withColumn("processed_at", F.lit(now).cast("bigint"))
-        self.commit("media_processing_cache", cache.join(done.select(keys), keys, "left_anti").select(cache.columns).unionByName(done))
+        processed = cache.join(done.select(keys), keys, "left_anti").select(cache.columns).unionByName(done)
+        self.commit_all({"embeddings": keep.unionByName(rows), "media_processing_cache": processed})
+
+    def update_faces(self, contents: DataFrame, make, model: str = FACE_MODEL, threshold: float = FACE_THRESHOLD, now: int | None = None) -> DataFrame:
+        """Finds faces in the images that need it and makes them anew, but for files with
+        errors, which stay as they are and are tried again the next time. ``contents``
+        (path, content), ``make`` a FaceModel. Returns ``(media_item_id, error)``.
+        """
+        from mediashoal.plans.filters import processing_scope
+        from mediashoal.sources.kernels import detect_faces
+
+        images = processing_scope(self.read("media_items"), images_only=True)
+        todo = incremental.needs_processing(images, self.read("media_processing_cache"), "faces", model).select("id", "path")
+        files = todo.join(contents.select("path", "content"), "path").select("id", "content")
+        found, errors = detect_faces(files, make)
+        done = materialize(files.select("id").join(errors, files["id"] == errors["media_item_id"], "left_anti").distinct(), "with-faces")
+        self.replace_faces(done, found, model, threshold, now)
+        return errors
+
+    def update_embeddings(self, contents: DataFrame, make, chunk: int = 256, now: int | None = None) -> dict[str, int | str | None]:
+        """Embeds the files that need it by chunks in order of id, one commit a chunk, and
+        ends at the first chunk that fails. ``contents`` (path, content). Items that the
+        provider can't take are skipped, and come again the next time. Returns
+        ``embedded, skipped, error``. On a cluster a chunk is a job: make it large.
+        """
+        from mediashoal.plans.filters import processing_scope
+        from mediashoal.sources.kernels import canonical_model, embed_files, embedding_counters
+
+        model = canonical_model(make().model)
+        scope = processing_scope(self.read("media_items"))
+        todo = incremental.needs_processing(scope, self.read("media_processing_cache"), "embeddings", model).select("id", "path")
+        files = ordered_index(todo.join(contents.select("path", "content"), "path").select("id", "content"), "id", name="k")
+        total = files.count()
+        out: dict[str, int | str | None] = {"embedded": 0, "skipped": 0, "error": None}
+        for first in range(0, total, chunk):
+            own = files.where((F.col("k") >= first) & (F.col("k") < first + chunk))
+            try:
+                made = materialize(embed_files(own, make), "embedded")
+                self.replace_embeddings(made.where("vector is not null").select(F.col("id").alias("media_item_id"), "model", "vector"), now)
+            except Exception as e:  # noqa: BLE001  what went wrong is the result; earlier chunks stay
+                out["error"] = f"{type(e).__name__}: {e}"
+                break
+            counted = embedding_counters(made).first()
+            out["embedded"] += counted["embedded"]
+            out["skipped"] += counted["skipped"]
+        return out
 
     # --- media and caches
 
     def scan(self, listing: DataFrame, errors: int = 0) -> DataFrame:
         """Upserts what is new or changed, marks what is gone, returns the counters."""
         media = self.read("media_items")
-        diff = incremental.scan_diff(listing, media)
-        after = incremental.upsert_media(media, diff.where("action <> 'unchanged'"))
-        marked = incremental.mark_missing(after, listing)
-        now_missing = marked.where("missing").join(after.where("not missing").select("id"), "id", "left_semi").count()
+        diff = materialize(incremental.scan_diff(listing, media), "diff")
+        now_missing = media.where("not missing").join(listing.select("path"), "path", "left_anti").count()
         summary = incremental.scan_summary(diff, now_missing, errors).first().asDict()
-        self.commit("media_items", marked)
+        self.commit("media_items", incremental.mark_missing(incremental.upsert_media(media, diff.where("action <> 'unchanged'")), listing))
         return self.spark.createDataFrame([summary], "scanned bigint, imported bigint, skipped bigint, missing bigint, errors bigint")
 
     def mark_missing(self, listing: DataFrame) -> None:
@@ -231,9 +301,9 @@ class Catalog:
         return n
 
     def compact_vectors(self, legacy: DataFrame) -> None:
-        """Stores vectors that were text, ``(id, json)``, as arrays."""
-        from mediashoal.functions.vectors import legacy_vector
+        """Stores vectors that were text or bytes, ``(id, json)`` or ``(id, blob)``, as arrays."""
+        from mediashoal.functions.vectors import legacy_vector, parse_blob
 
         vectors = self.read("embeddings")
-        new = legacy.select("id", legacy_vector(F.col("json")).alias("parsed"))
+        new = legacy.select("id", (legacy_vector(F.col("json")) if "json" in legacy.columns else parse_blob(F.col("blob"))).alias("parsed"))
         self.commit("embeddings", vectors.join(new, "id", "left").withColumn("vector", F.coalesce("parsed", "vector")).select(vectors.columns))

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from mediashoal.operators import duplicates
 from mediashoal.operators.incremental import fresh_entries
 from mediashoal.plans.catalog import CatalogError
 from mediashoal.plans.filters import cleanup_scope
+from mediashoal.storage import materialize
 
 
 @dataclass
@@ -104,19 +107,59 @@ def apply_plan(plan: CleanupPlan | None, remove: DataFrame, folders: DataFrame,
     return files.unionByName(rows).withColumn("depth", F.size(F.split("path", "/"))).orderBy(F.col("action"), F.col("depth").desc(), "path")
 
 
+OUTCOME = "path string, action string, accepted boolean, reason string, size_bytes bigint, depth int, done boolean, error string"
+
+
 def execute(manifest: DataFrame, really: bool = False) -> DataFrame:
-    """With ``done`` and ``error``; deletes only if told to. Plans are user-sized."""
-    out = []
-    for r in manifest.collect():
-        done, error = False, None
-        if really and r["accepted"]:
-            try:
-                (os.remove if r["action"] == "delete-file" else os.rmdir)(r["path"])
-                done = True
-            except OSError as e:
-                error = f"failed to permanently delete {r['path']}: {e}"
-        out.append((r["path"], r["action"], r["accepted"], r["reason"], r["size_bytes"], done, error))
-    return manifest.sparkSession.createDataFrame(out, "path string, action string, accepted boolean, reason string, size_bytes bigint, done boolean, error string")
+    """With ``done`` and ``error``; deletes only if told to.
+
+    Executors delete, on a file system that they share: files first, then folders, the
+    deepest first. What was done is written before the next level, so a task that runs
+    again finds its file gone and counts that as done.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, errors = [], []
+            for r in batch.to_pylist():
+                error = None
+                if really and r["accepted"]:
+                    try:
+                        (os.remove if r["action"] == "delete-file" else os.rmdir)(r["path"])
+                    except OSError as e:
+                        error = f"failed to permanently delete {r['path']}: {e}"
+                done.append(really and r["accepted"] and error is None)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.bool_()), pa.array(errors, pa.string())], [*batch.schema.names, "done", "error"])
+
+    rows = materialize(manifest.select("path", "action", "accepted", "reason", "size_bytes", "depth"), "manifest")
+    folders = F.col("action") == "delete-folder"
+    out = materialize(rows.where(~folders).mapInArrow(run, OUTCOME), "deleted")
+    depths = sorted((r["depth"] for r in rows.where(folders).select("depth").distinct().collect()), reverse=True)  # as many as folders are deep
+    for depth in depths:
+        out = out.unionAll(materialize(rows.where(folders & (F.col("depth") == depth)).mapInArrow(run, OUTCOME), "deleted"))
+    return out
+
+
+class PlanBook:
+    """Plans that wait to be applied or cancelled, by id."""
+
+    def __init__(self):
+        self.plans: dict[str, CleanupPlan] = {}
+
+    def add(self, plan: CleanupPlan) -> str:
+        self.plans[plan.plan_id] = plan
+        return plan.plan_id
+
+    def get(self, plan_id: str) -> CleanupPlan | None:
+        return self.plans.get(plan_id)
+
+    def cancel(self, plan_id: str) -> bool:
+        """Whether there was such a plan; it can't be applied any more."""
+        return self.plans.pop(plan_id, None) is not None
+
+    def apply(self, plan_id: str, remove: DataFrame, folders: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+        return apply_plan(self.get(plan_id), remove, folders, listing)
 
 
 def mark_removed(media: DataFrame, outcome: DataFrame) -> DataFrame:

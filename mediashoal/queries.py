@@ -161,10 +161,10 @@ def _(v):
     """SELECT id, person_id, round(score, 6) AS score FROM (
         SELECT n.id, f.person_id, list_cosine_similarity(n.vector::DOUBLE[], f.vector::DOUBLE[]) AS score,
                row_number() OVER (PARTITION BY n.id ORDER BY list_cosine_similarity(n.vector::DOUBLE[], f.vector::DOUBLE[]) DESC, f.id) AS rn
-        FROM faces n JOIN faces f ON f.person_id IS NOT NULL WHERE n.person_id IS NULL AND n.id % 5 = 0) WHERE rn = 1 AND score >= 0.42""",
+        FROM faces n JOIN faces f ON f.person_id IS NOT NULL WHERE n.person_id IS NULL) WHERE rn = 1 AND score >= 0.42""",
 )
 def _(v):
-    new = v.faces.where("person_id is null and id % 5 = 0")
+    new = v.faces.where("person_id is null")
     return people.best_person(new, people.named_faces(v.faces)).withColumn("score", F.round("score", 6))
 
 
@@ -228,12 +228,37 @@ def _(v):
 _HAM = lambda c: f"bit_count(xor(('0x' || a.{c})::UBIGINT, ('0x' || b.{c})::UBIGINT))"
 
 
-@query("visual_pairs", f"SELECT a.path AS path_a, b.path AS path_b, CAST({_HAM('phash')} + {_HAM('dhash')} AS INTEGER) AS score FROM prints a JOIN prints b ON a.ahash = b.ahash AND a.path < b.path WHERE {_HAM('phash')} <= 6 AND {_HAM('dhash')} <= 8")
+_CLASSES = "SELECT ahash, phash, dhash, min(path) AS path, count(*) AS files FROM prints GROUP BY ahash, phash, dhash"
+
+
+@query("visual_pairs", f"SELECT a.path AS path_a, b.path AS path_b, CAST({_HAM('phash')} + {_HAM('dhash')} AS INTEGER) AS score FROM ({_CLASSES}) a JOIN ({_CLASSES}) b ON a.ahash = b.ahash AND a.path < b.path WHERE {_HAM('phash')} <= 6 AND {_HAM('dhash')} <= 8")
 def _(v):
     return duplicates.visual_pairs(v.prints)
 
 
-@query("visual_groups")
+_BITS = lambda a, b: f"bit_count(xor({a}, {b}))"
+_TAKES = f"list_filter(g.anchors, lambda x: {_BITS('x.p', 'c.p')} <= 6 AND {_BITS('x.d', 'c.d')} <= 8)"
+
+
+@query("visual_class_members", "SELECT p.path, c.path AS first FROM prints p JOIN (SELECT ahash, phash, dhash, min(path) AS path FROM prints GROUP BY ahash, phash, dhash) c ON c.ahash = p.ahash AND c.phash = p.phash AND c.dhash = p.dhash")
+def _(v):
+    classes = duplicates.print_classes(v.prints).select("ahash", "p", "d", "first")
+    value = lambda c: F.conv(c, 16, -10).cast("bigint")
+    return v.prints.select("path", "ahash", value("phash").alias("p"), value("dhash").alias("d")).join(classes, ["ahash", "p", "d"]).select("path", "first")
+
+
+# the anchor rule, a class after the other in order of path, with the anchors so far in a list
+@query(
+    "visual_groups",
+    f"""WITH c AS MATERIALIZED (SELECT ahash, path, files, p, d, row_number() OVER (PARTITION BY ahash ORDER BY path) AS rn FROM (SELECT ahash, ('0x' || phash)::UBIGINT AS p, ('0x' || dhash)::UBIGINT AS d, path, files FROM ({_CLASSES}))),
+    g AS (SELECT ahash, rn, [{{'path': path, 'p': p, 'd': d}}] AS anchors, path AS anchor, path, 0 AS score, files FROM c WHERE rn = 1
+        UNION ALL SELECT c.ahash, c.rn, CASE WHEN len({_TAKES}) = 0 THEN list_append(g.anchors, {{'path': c.path, 'p': c.p, 'd': c.d}}) ELSE g.anchors END,
+            CASE WHEN len({_TAKES}) = 0 THEN c.path ELSE {_TAKES}[1].path END, c.path, CASE WHEN len({_TAKES}) = 0 THEN 0 ELSE {_BITS(_TAKES + '[1].p', 'c.p')} + {_BITS(_TAKES + '[1].d', 'c.d')} END, c.files
+        FROM g JOIN c ON c.ahash = g.ahash AND c.rn = g.rn + 1),
+    s AS (SELECT ahash, anchor, max(score) AS score FROM g GROUP BY ahash, anchor HAVING sum(files) > 1),
+    q AS (SELECT g.path, g.anchor, s.score, c.ahash, c.p, c.d FROM g JOIN s ON s.ahash = g.ahash AND s.anchor = g.anchor JOIN c ON c.ahash = g.ahash AND c.path = g.path)
+    SELECT f.path, q.anchor, CAST(q.score AS INTEGER) AS score FROM prints f JOIN q ON q.ahash = f.ahash AND q.p = ('0x' || f.phash)::UBIGINT AND q.d = ('0x' || f.dhash)::UBIGINT""",
+)
 def _(v):
     return duplicates.visual_members(v.prints)
 
@@ -315,10 +340,3 @@ def _(v):
 def _(v):
     rows = v.media.where("id % 23 = 0").unionAll(v.media.where("id % 29 = 0")).select("path", "size_bytes").distinct()
     return rows.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
-
-
-@query("stream_progress", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS last_id FROM events GROUP BY event_type")
-def _(v):
-    from mediashoal.streaming.ingest import progress_counts
-
-    return progress_counts(v.table("events"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 # Tag numbers, and bytes of each TIFF field type.
-MAKE, MODEL, EXIF_IFD, GPS_IFD, TAKEN, LENS = 0x010F, 0x0110, 0x8769, 0x8825, 0x9003, 0xA434
+MAKE, MODEL, ORIENTATION, EXIF_IFD, GPS_IFD, TAKEN, LENS = 0x010F, 0x0110, 0x0112, 0x8769, 0x8825, 0x9003, 0xA434
 GPS_LAT_REF, GPS_LAT, GPS_LNG_REF, GPS_LNG = 1, 2, 3, 4
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
@@ -45,6 +45,19 @@ def _fields(block: bytes, order: str, at: int) -> dict[int, object]:
     return out
 
 
+def orientation(data: bytes) -> int:
+    """1 to 8; 1 (upright) where the tag is absent, odd or damaged."""
+    try:
+        block = _tiff_block(bytes(data))
+        if block is None:
+            return 1
+        order = "<" if block[:2] == b"II" else ">"
+        found = _fields(block, order, struct.unpack_from(order + "I", block, 4)[0]).get(ORIENTATION)
+    except (struct.error, TypeError, UnicodeDecodeError):
+        return 1
+    return found if isinstance(found, int) and 1 <= found <= 8 else 1
+
+
 def read_exif(data: bytes) -> dict[str, object]:
     """Known tags under plain names; empty if there is none or it is damaged."""
     try:

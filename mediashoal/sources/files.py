@@ -1,15 +1,14 @@
 """File sources: discovery, ignored files, empty folders, digests, EXIF, vectors.
 
-``listing`` walks folders inside executors: top-level folders are the tasks, each of
-which walks on its own, so listing a large tree doesn't pass through the driver. Folder
-errors are rows with ``error`` set. Rules are applied to the part of a path below its
+``listing`` reads folders inside executors, a level of the tree at a time, so listing a
+large tree doesn't pass through the driver. Folder errors are rows with ``error`` set. Rules are applied to the part of a path below its
 root, as columns.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mediashoal.functions import dates, rules
 from mediashoal.sources.exif import read_exif
+from mediashoal.storage import materialize, small_batches
 
 ENTRY = "root string, path string, parent string, is_dir boolean, size_bytes bigint, created_at bigint, modified_at bigint, error string"
 
@@ -26,53 +26,49 @@ def canonical_folder(path: str) -> str | None:
     return os.path.realpath(path) if os.path.isdir(path) else None
 
 
-def _walk(root: str, start: str, deep: bool) -> Iterator[tuple]:
-    todo = [start]
-    while todo:
-        here = todo.pop()
+def _entries(root: str, here: str) -> Iterator[tuple]:
+    """What a folder holds directly."""
+    try:
+        entries = sorted(os.scandir(here), key=lambda e: e.name)
+    except OSError as e:
+        yield root, here, os.path.dirname(here), True, None, None, None, f"{here}: {e.strerror}"
+        return
+    for e in entries:
         try:
-            entries = sorted(os.scandir(here), key=lambda e: e.name)
-        except OSError as e:
-            yield root, here, os.path.dirname(here), True, None, None, None, f"{here}: {e.strerror}"
-            continue
-        for e in entries:
-            try:
-                is_dir, is_file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
-                if not (is_dir or is_file):
-                    continue
+            is_dir, is_file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
+            if is_dir or is_file:
                 s = e.stat(follow_symlinks=False)
                 yield root, e.path, here, is_dir, s.st_size if is_file else None, int(getattr(s, "st_birthtime", s.st_ctime)), int(s.st_mtime), None
-                if is_dir and deep:
-                    todo.append(e.path)
-            except OSError as err:
-                yield root, e.path, here, False, None, None, None, f"{e.path}: {err.strerror}"
+        except OSError as err:
+            yield root, e.path, here, False, None, None, None, f"{e.path}: {err.strerror}"
 
 
-def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+def listing(spark: SparkSession, roots: list[str], skip_excluded: bool = False) -> DataFrame:
     """Every file and folder below the roots; a root that is no folder is an error row.
-    A path under two roots comes once, below the shorter one."""
-    first, tops = [], []
+    A path under two roots comes once, below the shorter one.
+
+    Folders are read level by level: those of a level are dealt over the executors, and
+    the rows are written, so neither driver nor one task walks a tree. With
+    ``skip_excluded``, folders that the rules leave out are not gone into.
+    """
+    first, level = [], []
     for root in dict.fromkeys(r.rstrip("/") or "/" for r in roots):
-        if not os.path.isdir(root):
+        if os.path.isdir(root):
+            level.append((root, root))
+        else:
             kind = "not a folder" if os.path.exists(root) else "no such folder"
             first.append((root, root, os.path.dirname(root), True, None, None, None, f"{root}: {kind}"))
-            continue
-        for row in _walk(root, root, deep=False):
-            first.append(row)
-            if row[3] and row[7] is None:
-                tops.append((root, row[1]))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in ENTRY.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             rows: list[tuple] = []
-            for root, top in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in _walk(root, top, deep=True):
+            for root, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in _entries(root, folder):
                     rows.append(row)
                     if len(rows) == 4096:
                         yield packed(rows)
@@ -80,9 +76,16 @@ def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
             if rows:
                 yield packed(rows)
 
-    near = spark.createDataFrame(first, ENTRY)
-    far = spark.createDataFrame(tops, "root string, top string").repartition(max(1, len(tops)), "top").mapInArrow(walk, ENTRY)
-    both = near.unionAll(far)
+    both = spark.createDataFrame(first, ENTRY)
+    folders, below = spark.createDataFrame(level, "root string, path string"), bool(level)
+    tasks = spark.sparkContext.defaultParallelism
+    while below:
+        found = materialize(folders.repartition(tasks, "path").mapInArrow(read, ENTRY), "listing")
+        both = both.unionAll(found)
+        folders = found.where("is_dir and error is null").select("root", "path")
+        if skip_excluded:
+            folders = folders.where(~rules.is_excluded(_below()))
+        below = not folders.isEmpty()
     rest = [c for c in both.columns if c not in ("path", "error")]
     once = both.groupBy("path", "error").agg(F.min_by(F.struct(*rest), F.struct(F.length("root"), "root")).alias("e"))
     return once.select("e.root", "path", *[f"e.{c}" for c in rest[1:]], "error")
@@ -149,7 +152,7 @@ def with_exif(files: DataFrame) -> DataFrame:
             parts = [pa.array([f.get(k) for f in found], pa.list_(pa.float64())) for k in ("lat", "lng")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *text, *parts], ["path", "make", "model", "lens", "taken", "lat_ref", "lng_ref", "lat", "lng"])
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    small_batches(files.sparkSession)
     rows = files.select("path", "content").mapInArrow(tags, "path string, make string, model string, lens string, taken string, lat_ref string, lng_ref string, lat array<double>, lng array<double>")
     made = rows.select(
         "path", F.col("make").alias("camera_make"), F.col("model").alias("camera_model"), F.col("lens").alias("lens_model"), dates.exif_seconds(F.col("taken")).alias("captured_at"),
@@ -165,6 +168,50 @@ def display_paths(media: DataFrame, conversions: DataFrame) -> DataFrame:
     return media.join(made, "path", "left").withColumn("display_path", F.when(~F.col("missing"), F.col("converted"))).drop("converted")
 
 
+def shown_paths(media: DataFrame, conversions: DataFrame) -> DataFrame:
+    """``display_path``: the file as converted, or else itself, missing or not."""
+    made = conversions.select("path", "converted")
+    return media.join(made, "path", "left").withColumn("display_path", F.coalesce("converted", "path")).drop("converted")
+
+
+#: Formats that viewers can't show.
+CONVERTED = ("heic", "heif")
+
+
+def convert(files: DataFrame, folder: str, encode: Callable[[bytes], bytes]) -> DataFrame:
+    """``(path, converted, error)`` of ``(path, extension, size_bytes, modified_ns, content)``.
+
+    Files of the CONVERTED formats are written to ``folder``, which executors share, as
+    ``<key>.jpg``, once: a key names content, so what is there stays. ``encode`` gives
+    the JPEG bytes, turned upright. Other files stand for themselves.
+    """
+    folder = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            paths, errors = [], []
+            for key, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                target, error = f"{folder}/{key}.jpg", None
+                try:
+                    if not os.path.exists(target):
+                        made, draft = encode(bytes(content or b"")), f"{target}.{os.getpid()}.part"
+                        with open(draft, "wb") as out:
+                            out.write(made)
+                        os.replace(draft, target)
+                except Exception as e:  # noqa: BLE001  any encoder's error belongs to its file
+                    target, error = None, f"{type(e).__name__}: {e}"
+                paths.append(target)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(errors, pa.string())], ["path", "converted", "error"])
+
+    small_batches(files.sparkSession)
+    wanted = F.lower(F.coalesce("extension", F.lit(""))).isin(*CONVERTED)
+    made = files.where(wanted).select("path", conversion_key(F.col("path"), F.col("size_bytes"), F.col("modified_ns")).alias("key"), "content")
+    own = files.where(~wanted).select("path", F.col("path").alias("converted"), F.lit(None).cast("string").alias("error"))
+    return made.mapInArrow(run, "path string, converted string, error string").unionAll(own)
+
+
 def conversion_key(path: Column, size: Column, modified_ns: Column) -> Column:
     """Name of a cached conversion."""
     return F.sha2(F.concat_ws("|", path, size.cast("string"), modified_ns.cast("string")).cast("binary"), 256)

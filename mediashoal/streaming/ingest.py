@@ -11,13 +11,33 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from mediashoal.operators.incremental import scan_diff, upsert_media
+from mediashoal.storage import fresh_path
 
 
 def progress_counts(events: DataFrame) -> DataFrame:
-    """Progress rows by type; the same for a batch and, per update, for a stream."""
+    """Progress rows by type, of a table."""
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.max("event_id").alias("last_id"))
 
 
+def stream_progress(spark: SparkSession, source: str, schema: StructType, checkpoint: str) -> DataFrame:
+    """``progress_counts`` of a stream of event files, kept up by micro-batch: the state has
+    a row for each type and user, and each batch writes the table anew."""
+    state = fresh_path(spark, "progress")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state}/{number}")
+        done.append(number)
+
+    done: list[int] = []
+    events = spark.readStream.schema(schema).parquet(source)
+    users = events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+    users.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return progress_counts(spark.createDataFrame([], schema))
+    last = spark.read.parquet(f"{state}/{done[-1]}")
+    return last.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"), F.max("last_id").alias("last_id"))
+
+
 def ingest_listings(catalog, source: str, schema: StructType, checkpoint: str, on_batch: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Upserts each new file of listings under ``source`` into ``catalog`` and ends when
     there is none left. A batch that is run again after a failure is known by its

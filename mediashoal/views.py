@@ -55,8 +55,16 @@ SELECT path, file_name, media_type, CASE WHEN id % 11 = 0 THEN size_bytes + 5 EL
 UNION ALL
 SELECT concat(path, '.new.jpg'), concat(file_name, '.new.jpg'), 'image', size_bytes, modified_at, created_at, captured_at, CAST(1800000000 AS BIGINT) FROM media WHERE id % 19 = 0"""
 
+#: What reading the folders below /lib would give: files, their folders, hollow ones, an error.
+ENTRIES = """
+SELECT '/lib' AS root, path, regexp_replace(path, '/[^/]*$', '') AS parent, false AS is_dir, size_bytes, created_at, modified_at, CAST(NULL AS STRING) AS error FROM media
+UNION ALL SELECT DISTINCT '/lib', regexp_replace(path, '/[^/]*$', ''), regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/[^/]*$', ''), true, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS STRING) FROM media
+UNION ALL SELECT DISTINCT '/lib', concat('/lib/hollow/', file_name, '/in'), concat('/lib/hollow/', file_name), true, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS STRING) FROM media WHERE missing
+UNION ALL SELECT DISTINCT '/lib', concat('/lib/hollow/', file_name), '/lib/hollow', true, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS STRING) FROM media WHERE missing
+UNION ALL SELECT '/lib', '/lib/closed', '/lib', true, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), '/lib/closed: Permission denied'"""
+
 _TABLES = ("documents", "embeddings", "labels", "nation", "pages", "events")
-_VIEWS = {"media": MEDIA, "faces": FACES, "people": PEOPLE, "vectors": VECTORS, "processing": PROCESSING, "cleanup": CLEANUP, "prints": PRINTS, "listing": LISTING}
+_VIEWS = {"media": MEDIA, "faces": FACES, "people": PEOPLE, "vectors": VECTORS, "processing": PROCESSING, "cleanup": CLEANUP, "prints": PRINTS, "listing": LISTING, "entries": ENTRIES}
 
 
 class Views:

@@ -4,9 +4,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from mediashoal import storage
 from mediashoal.plans import cleanup
 from mediashoal.plans.catalog import Catalog, CatalogError
 from mediashoal.schemas import CLEANUP_CACHE, EMBEDDINGS, FACES, MEDIA, TABLES
+from mediashoal.sources.kernels import HashEmbedder
 from mediashoal.streaming.ingest import ProgressTable, ingest_listings, progress_counts
 
 
@@ -135,6 +137,77 @@ def test_stream_equals_batch(spark, catalog, tmp_path):
     assert progress_counts(events).where("event_type = 'a'").first()["users"] == 1
 
 
+def test_writers_do_not_overwrite_each_other(spark, catalog, tmp_path):
+    other = Catalog(spark, catalog.root)
+    catalog.person("Ann")
+    stale = other.read("people")
+    assert catalog.person("Bob") == 2
+    with pytest.raises(CatalogError, match="meanwhile"):
+        other.commit_all({"people": stale.limit(0), "faces": other.read("faces")})
+    assert [r["name"] for r in catalog.list_people().collect()] == ["Ann", "Bob"]
+    assert catalog.vacuum(older_than=3600) == 0
+    assert catalog.vacuum(older_than=-5) == 4  # two old tables of people, and two refused
+    assert [r["name"] for r in Catalog(spark, catalog.root).list_people().collect()] == ["Ann", "Bob"]
+
+
+class Faces:
+    """A face for each byte; a file of x is an error."""
+
+    def faces(self, content):
+        if content == b"x":
+            raise ValueError("no image")
+        return [(float(k), 0.0, 1.0, 1.0, 0.9, [1.0, float(b)]) for k, b in enumerate(content)]
+
+
+def test_faces_are_updated_where_needed(spark, catalog):
+    catalog.commit("media_items", media_rows(spark, {}, {}, {"media_type": "video"}, {"missing": True}, {}))
+    contents = spark.createDataFrame([(f"/m/{k}.jpg", bytearray(c)) for k, c in ((1, b"ab"), (2, b"x"), (3, b"a"), (4, b"a"), (5, b""))], "path string, content binary")
+    assert [tuple(r) for r in catalog.update_faces(contents, Faces, now=5).collect()] == [(2, "no image")]
+    assert sorted(r["media_item_id"] for r in catalog.read("faces").collect()) == [1, 1]
+    assert sorted(r["media_item_id"] for r in catalog.read("media_processing_cache").collect()) == [1, 5]
+    assert [r["media_item_id"] for r in catalog.update_faces(contents, Faces, now=6).collect()] == [2]
+    assert catalog.read("faces").count() == 2 and catalog.read("embeddings").where("model <> 'x'").count() == 2
+
+
+def test_embeddings_are_committed_by_chunks(spark, catalog):
+    catalog.commit("media_items", media_rows(spark, *[{}] * 5))
+    contents = spark.createDataFrame([(f"/m/{k}.jpg", bytearray(b"" if k == 2 else b"abc")) for k in range(1, 6)], "path string, content binary")
+    good, calls = catalog.replace_embeddings, []
+
+    def failing(made, now=None):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("full")
+        good(made, now)
+
+    catalog.replace_embeddings = failing
+    assert catalog.update_embeddings(contents, HashEmbedder, chunk=2) == {"embedded": 1, "skipped": 1, "error": "OSError: full"}
+    assert [r["media_item_id"] for r in catalog.read("embeddings").collect()] == [1]
+    catalog.replace_embeddings = good
+    assert catalog.update_embeddings(contents, HashEmbedder, chunk=2) == {"embedded": 3, "skipped": 1, "error": None}
+    assert sorted(r["media_item_id"] for r in catalog.read("embeddings").collect()) == [1, 3, 4, 5]
+
+
+def test_plans_can_be_cancelled(spark, tmp_path):
+    _, plan = plan_for(spark, tmp_path)
+    book, none = cleanup.PlanBook(), spark.createDataFrame([], "path string")
+    number = book.add(plan)
+    assert book.apply(number, none, none).count() == 0
+    assert book.cancel(number) and not book.cancel(number)
+    with pytest.raises(CatalogError, match="expired"):
+        book.apply(number, none, none)
+
+
+def test_intermediate_tables_go_with_their_scope(spark):
+    before = storage.materialize(spark.range(3), "kept")
+    with storage.scope(spark):
+        inside = storage.materialize(spark.range(4), "gone")
+        assert inside.count() == 4
+    assert before.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(inside.inputFiles()[0])
+
+
 def plan_for(spark, tmp_path):
     media = media_rows(spark, *[{"path": f"{tmp_path}/{n}", "file_name": n, "size_bytes": 10, "captured_at": k} for k, n in enumerate(["a.jpg", "b.jpg", "c.jpg", "v1.jpg", "v2.jpg", "far.jpg"], 1)])
     cache = spark.createDataFrame([(f"{tmp_path}/a.jpg", 10, None, "h", None, None, None, None, None, 0)], CLEANUP_CACHE)

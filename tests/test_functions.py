@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -22,6 +23,20 @@ def test_excluded_paths(spark, path, expected):
     assert one(spark, rules.is_excluded(F.col("p")), p=path) is expected
 
 
+def test_binary_vectors(spark):
+    rng = random.Random(8)
+    numbers = [0.0, 1.0, -1.0, 0.1, 3.4028234663852886e38, 1.401298464324817e-45, -1.1754943508222875e-38, 2.0**-126, 1 - 2.0**-24, 2.0**24, float("inf"), -float("inf")]
+    numbers += [struct.unpack("<f", rng.randbytes(4))[0] for _ in range(300)]
+    numbers = [x for x in numbers if x == x]
+    blob = struct.pack(f"<{len(numbers)}f", *numbers)
+    df = spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(b"[1, 2.5]")), (3, bytearray(b"[12]")), (4, bytearray(b"abcde")), (5, bytearray(b"")), (6, None)], "id int, b binary")
+    got = {r["id"]: r["v"] for r in df.select("id", vectors.parse_blob(F.col("b")).alias("v")).collect()}
+    assert got[1] == list(struct.unpack(f"<{len(numbers)}f", blob)) and got[2] == [1.0, 2.5] and got[3] == [12.0]
+    assert got[4] is None and got[5] == [] and got[6] is None
+    back = df.where("id = 1").select(vectors.vector_blob(vectors.parse_blob(F.col("b"))).alias("x")).first()["x"]
+    assert bytes(back) == blob
+
+
 @pytest.mark.parametrize("ext,kind", [("JPG", "image"), ("..png", "image"), ("m2ts", "video"), ("txt", None), ("", None), (None, None)])
 def test_media_type(spark, ext, kind):
     assert one(spark, rules.media_type(F.col("e")), e=ext) == kind

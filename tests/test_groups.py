@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,43 @@ def test_visual_groups_equal_brute_force(spark):
     assert sorted(map(tuple, got)) == brute_greedy(rows)
 
 
+def test_hot_buckets_are_grouped_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BUCKET_ROWS", 7)
+    rng = random.Random(5)
+    rows = [(f"/p/{k:03}", rng.choice(["00ff", "00ff", "00ff", "aa"]), f"{rng.getrandbits(6) << rng.randrange(8):04x}", rng.choice(["000f", "00ff", "0fff", "ffff"])) for k in range(120)]
+    got = duplicates.visual_members(spark.createDataFrame(rows, "path string, ahash string, phash string, dhash string")).collect()
+    assert sorted(map(tuple, got)) == brute_greedy(rows)
+
+
+def test_a_large_bucket_runs():
+    rng = np.random.default_rng(9)
+    p, d = rng.integers(0, 2**63, 20_000, np.uint64), rng.integers(0, 2**63, 20_000, np.uint64)
+    p[1::2], d[1::2] = p[::2] ^ np.uint64(5), d[::2] ^ np.uint64(9)
+    taken, anchors, scores = duplicates.greedy(p, d, np.ones(len(p), np.int64))
+    assert sorted(taken.tolist()) == list(range(len(p))) and set(scores.tolist()) == {4} and len(set(anchors.tolist())) == len(p) // 2
+
+
+def brute_pairs(rows):
+    """Pairs of the first paths of equal hash triples."""
+    first = {}
+    for path, *key in sorted(rows):
+        first.setdefault(tuple(int(x, 16) if k else x for k, x in enumerate(key)), path)
+    out = []
+    for (a, p, d), x in first.items():
+        for (b, q, e), y in first.items():
+            if x < y and a == b and (p ^ q).bit_count() <= 6 and (d ^ e).bit_count() <= 8:
+                out.append((x, y, (p ^ q).bit_count() + (d ^ e).bit_count()))
+    return sorted(out)
+
+
+def test_visual_pairs_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(f"/p/{k:03}", rng.choice(["00ff", "ff00"]), f"{rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64):016x}", rng.choice(["000f", "00ff", "0fff", "8" + "0" * 15])) for k in range(150)]
+    rows += [(r[0] + "x", *r[1:]) for r in rows[:20]] + [("/bad", "00ff", "zz", "0")]
+    got = duplicates.visual_pairs(spark.createDataFrame(rows, "path string, ahash string, phash string, dhash string")).collect()
+    assert sorted(map(tuple, got)) == brute_pairs(rows[:-1]) and len(got) > 50
+
+
 def test_visual_chain_is_not_transitive(spark):
     rows = [("a", "0", "0", "0"), ("b", "0", "3f", "0"), ("c", "0", "fff", "0")]
     got = duplicates.visual_members(spark.createDataFrame(rows, "path string, ahash string, phash string, dhash string"))

@@ -1,13 +1,15 @@
 import hashlib
 import json
+import math
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mediashoal.sources import files, kernels
-from mediashoal.sources.exif import read_exif
+from mediashoal.sources.exif import orientation, read_exif
 
 
 def tiff(order="<", make="Canon", taken="2020:01:02 03:04:05", gps=True):
@@ -128,6 +130,60 @@ def test_vectors_and_paths(spark, tmp_path):
     assert key == hashlib.sha256(b"/a|5|7").hexdigest()
 
 
+def lanczos(rows, m, along):
+    """Resampling of rows (or columns) cell by cell."""
+    lines = rows if along else list(map(list, zip(*rows, strict=True)))
+    n, out = len(lines[0]), []
+    scale = n / m
+    wide = max(1.0, scale)
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    for line in lines:
+        made = []
+        for k in range(m):
+            centre = (k + 0.5) * scale
+            cells = range(max(0, int(centre - 3 * wide + 0.5)), min(n, int(centre + 3 * wide + 0.5)))
+            x = [(c + 0.5 - centre) / wide for c in cells]
+            w = [sinc(v) * sinc(v / 3) if abs(v) < 3 else 0.0 for v in x]
+            made.append(min(255, max(0, math.floor(sum(a * line[c] for a, c in zip(w, cells, strict=True)) / sum(w) + 0.5))))
+        out.append(made if n != m else line)
+    return out if along else list(map(list, zip(*out, strict=True)))
+
+
+def png(rows, channels, kind, filters=(0,), palette=None):
+    """A PNG with lines filtered in turn by the given filters."""
+    step = channels
+    above, raw = [0] * len(rows[0]), b""
+    for y, line in enumerate(rows):
+        f, coded = filters[y % len(filters)], []
+        for k, v in enumerate(line):
+            left, up, corner = line[k - step] if k >= step else 0, above[k], above[k - step] if k >= step else 0
+            p = left + up - corner
+            paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+            coded.append((v - (0, left, up, (left + up) // 2, paeth)[f]) & 255)
+        raw, above = raw + bytes([f, *coded]), line
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", len(rows[0]) // channels, len(rows), 8, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + (part(b"PLTE", palette) if palette else b"") + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_png():
+    rng = np.random.default_rng(6)
+    for channels, kind in ((1, 0), (2, 4), (3, 2), (4, 6)):
+        pixels = rng.integers(0, 256, (9, 7, channels), np.uint8)
+        got = kernels.read_image(png(pixels.reshape(9, -1).tolist(), channels, kind, (0, 1, 2, 3, 4)))
+        assert np.array_equal(got, kernels.grey_of(pixels) if channels >= 3 else pixels[..., 0])
+    palette = rng.integers(0, 256, (4, 3), np.uint8)
+    index = rng.integers(0, 4, (3, 5), np.uint8)
+    assert np.array_equal(kernels.read_image(png(index.tolist(), 1, 3, (4,), palette.tobytes())), kernels.grey_of(palette[index]))
+    white = np.full((1, 1, 3), 255, np.uint8)
+    assert kernels.grey_of(white)[0, 0] == 255
+    with pytest.raises(ValueError):
+        kernels.read_image(b"GIF89a")
+    grey = np.tile(np.arange(40, dtype=np.uint8), (20, 1))
+    assert kernels.bounded_width(grey, 10).shape == (5, 10) and kernels.bounded_width(grey, 40) is grey and kernels.bounded_width(grey, None) is grey
+    assert np.array_equal(kernels.read_pgm(kernels.write_pgm(grey)), grey)
+
+
 def test_hashes():
     flat = np.full((40, 50), 7, np.uint8)
     assert kernels.average_hash(flat) == "f" * 16 and kernels.difference_hash(flat) == "0" * 16
@@ -137,7 +193,10 @@ def test_hashes():
     basis = kernels._dct(32)
     assert np.allclose(basis @ basis.T, np.eye(32))
     assert len(kernels.frequency_hash(ramp)) == 16 and kernels.hex_bits(np.array([1, 0, 0, 0, 1])) == "11"
-    assert np.allclose(kernels.resize(np.arange(16.0).reshape(4, 4), 2, 2), [[2.5, 4.5], [10.5, 12.5]])
+    rng = np.random.default_rng(5)
+    for shape, size in (((4, 4), (2, 2)), ((41, 70), (8, 9)), ((7, 5), (32, 32)), ((64, 8), (8, 8))):
+        grey = rng.integers(0, 256, shape)
+        assert np.array_equal(kernels.resize(grey, *size), lanczos(lanczos(grey.tolist(), size[1], True), size[0], False))
     grid = np.arange(6).reshape(2, 3)
     assert [kernels.turned(grid, k).tolist() for k in (3, 6, 8)] == [np.rot90(grid, 2).tolist(), np.rot90(grid, -1).tolist(), np.rot90(grid).tolist()]
 
@@ -149,6 +208,81 @@ def test_fingerprints_keep_errors_by_file(spark):
     assert got == {"a": (8, True), "b": (None, False), "c": (None, False)}
 
 
+class Sideways:
+    """Reads the grey image that stands behind a file's EXIF block."""
+
+    def __call__(self, content):
+        return kernels.read_pgm(content[content.index(b"P5") :])
+
+
+def test_fingerprints_are_of_the_upright_image(spark):
+    grey = np.random.default_rng(7).integers(0, 256, (12, 20)).astype(np.uint8)
+    block = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0) + struct.pack("<I", 0)
+    content = jpeg(block) + kernels.write_pgm(grey)
+    assert orientation(content) == 6 and orientation(b"") == orientation(b"II*") == 1
+    row = kernels.fingerprints(spark.createDataFrame([("a", bytearray(content))], "path string, content binary"), Sideways()).first()
+    upright = np.rot90(grey, -1)
+    assert (row["width"], row["height"], row["dhash"], row["phash"]) == (12, 20, kernels.difference_hash(upright), kernels.frequency_hash(upright))
+
+
+def test_conversions(spark, tmp_path):
+    rows = [("/a.HEIC", "HEIC", 3, 5, bytearray(b"one")), ("/b.heif", "heif", 3, 5, bytearray(b"bad")), ("/c.png", "png", 1, 1, None), ("/d", None, 1, 1, None)]
+    df = spark.createDataFrame(rows, "path string, extension string, size_bytes bigint, modified_ns bigint, content binary")
+
+    def encode(data):
+        if data == b"bad":
+            raise ValueError("broken")
+        return b"jpeg " + data
+
+    for _ in range(2):  # the second time the file is there
+        got = {r["path"]: (r["converted"], r["error"]) for r in files.convert(df, f"{tmp_path}/cache/", encode).collect()}
+        target = f"{tmp_path}/cache/{hashlib.sha256(b'/a.HEIC|3|5').hexdigest()}.jpg"
+        assert got == {"/a.HEIC": (target, None), "/b.heif": (None, "ValueError: broken"), "/c.png": ("/c.png", None), "/d": ("/d", None)}
+        assert open(target, "rb").read() == b"jpeg one" and len(list((tmp_path / "cache").iterdir())) == 1
+    media = spark.createDataFrame([("/a.HEIC", True), ("/x", False)], "path string, missing boolean")
+    shown = files.shown_paths(media, files.convert(df, f"{tmp_path}/cache", encode))
+    assert {r["path"]: r["display_path"] for r in shown.collect()} == {"/a.HEIC": target, "/x": "/x"}
+
+
+def test_models_refuse_what_they_do_not_take(spark):
+    kernels.register_provider("far", kernels.HashEmbedder, {"words": ("text",), "eyes": ("image", "application/pdf")})
+    try:
+        assert ("far", "eyes") in kernels.list_models("FAR ")
+        assert "text only" in kernels.refusal("far", "words", "image/png") and kernels.refusal("far", "eyes", "application/pdf") is None
+        assert "unknown" in kernels.refusal("far", "eyes", None) and "video/mp4" in kernels.refusal("far", "eyes", "video/mp4") and "no model" in kernels.refusal("far", "x", None)
+    finally:
+        kernels.PROVIDERS.pop("far")
+        kernels.MODELS.pop("far")
+    df = spark.createDataFrame([(k, bytearray(b"abc"), m) for k, m in enumerate(["image/png", "audio/x", None])], "id bigint, content binary, mime string")
+    made = {r["id"]: r["error"] for r in kernels.embed_files(df, kernels.provider("local"), batch=1).collect()}
+    assert made[0] is None and made[1].startswith("unsupported: audio/x") and made[2].startswith("unsupported")
+
+
+def test_face_models_may_go_on_without_a_device(spark):
+    class Plain:
+        def faces(self, content):
+            if content == b"bad":
+                raise ValueError("really")
+            return [(0.0, 0.0, 2.0, 2.0, 1.0, [1.0])]
+
+    class OnDevice:
+        def faces(self, content):
+            raise RuntimeError("device lost")
+
+        def without_device(self):
+            return Plain()
+
+    df = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"bad"))], "id bigint, content binary").coalesce(1)
+    found, errors = kernels.detect_faces(df, OnDevice)
+    assert [r["media_item_id"] for r in found.collect()] == [1] and [r["error"] for r in errors.collect()] == ["really"]
+
+
+def test_skipping_excluded_folders(spark, tree):
+    entries = files.listing(spark, [str(tree)], skip_excluded=True)
+    assert not any("/.trash/" in r["path"] or "/Backup/" in r["path"] for r in entries.collect())
+    assert names(files.media_files(entries, 5), tree) == ["a.jpg", "b/c.PNG", "dup1.jpg", "dup2.jpg"]
+
+
 def test_bisecting_isolates_bad_items():
     calls = []
 
