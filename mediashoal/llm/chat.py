@@ -1,111 +1,202 @@
 """Preference formatting: one prompt and two masked completions for each pair.
 
-The turns of the chosen and of the rejected conversation of a pair are aligned by turn
-number. The longest common prefix of turns (same role and text) is rendered once, as
-the prompt; what follows it on either side is that side's completion, with a mask: the
-spans, in code points of the completion, of the assistant's texts and end marks.
-
-The work is done turn by turn: the first turn that differs is a minimum by pair,
-combined before the shuffle. Rows are assembled for ``CHUNK`` turn numbers at a time
-(``part`` counts them, zero for any usual conversation), so that a pair that holds a
-third of all turns is no group in one task.
+The turns of the chosen and of the rejected conversation of a pair are in order of turn
+number, role and text. The longest common prefix of turns is rendered once, as the prompt;
+what follows it on either side is that side's completion, with a mask: the spans, in code
+points of the completion, of the assistant's texts and end marks.
+
+Turns of both sides are dealt by ranges of (pair, turn, role, first characters) and sorted,
+so a text moves once, equal turns of two sides stand beside each other, and the common
+prefix ends at the first turn that one side lacks. Each range is read as a stream. A pair
+that goes on in the next range, as one that holds a third of all turns, leaves a part in
+each; these parts, as many as ranges, are put together with their masks moved on by the
+lengths before them. So no pair is sorted or searched in one task; only its finished row,
+which holds its text, is in one place.
 
 Nulls: a null pair id is left out, a null turn number comes first, a null role is
 ``unknown``, a null text is empty. A row repeated in one conversation counts once;
 different rows with one turn number are ordered by role and text. A pair with one side
 missing has no common prefix and an empty completion there; equal sides give a prompt
-and two empty completions. Markers inside texts are broken up, so none can be forged.
-Other columns are not used, whatever their names. Empty tables give no rows.
+and two empty completions. Very long texts are whole; a pair is one row, however many
+turns it has. Markers inside texts are broken up, so none can be forged. Other columns
+are not used, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+from mediashoal.storage import small_batches
 
-CHUNK = 4096
 LEARNED = "assistant"
 END = "<|end|>\n"
-
-
-def _turns(side: DataFrame, pair: str, turn: str, role: str, text: str) -> DataFrame:
-    """Distinct turns with a rank among those of one number."""
-    rows = side.where(F.col(pair).isNotNull()).select(
+#: Bits of ``sides``.
+CHOSEN, REJECTED = 1, 2
+#: Code points of a text that ranges look at.
+HEAD = 64
+SPANS = "array<struct<start:int,end:int>>"
+MADE = f"prompt string, chosen string, rejected string, chosen_mask {SPANS}, rejected_mask {SPANS}, n_common int"
+PARTS = f"part int, differs boolean, common_mask {SPANS}, {MADE}"
+#: Rows and characters of an output batch.
+OUT_ROWS, OUT_CHARS = 256, 4 << 20
+
+
+class _Text:
+    """Rendered turns with the spans to learn."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.spans: list[dict[str, int]] = []
+        self.size = 0
+
+    def add(self, head: str, body: str, learned: bool) -> None:
+        self.append(head + body, [{"start": len(head), "end": len(head) + len(body) - 1}] if learned else [])
+
+    def append(self, text: str, spans: list[dict[str, int]]) -> None:
+        self.spans += [{k: v + self.size for k, v in s.items()} for s in spans]
+        self.texts.append(text)
+        self.size += len(text)
+
+    def text(self) -> str:
+        return "".join(self.texts)
+
+
+class _Pair:
+    """What is known of a pair, or of its part in a range."""
+
+    def __init__(self):
+        self.common, self.chosen, self.rejected = _Text(), _Text(), _Text()
+        self.differs, self.n = False, 0
+
+    def turn(self, role: str, text: str, sides: int) -> None:
+        if not sides:
+            return
+        head, body, learned = f"<|{role.replace('<|', '< |')}|>\n", text.replace("<|", "< |") + END, role == LEARNED
+        self.differs = self.differs or sides != CHOSEN | REJECTED
+        if not self.differs:
+            self.common.add(head, body, learned)
+            self.n += 1
+            return
+        if sides & CHOSEN:
+            self.chosen.add(head, body, learned)
+        if sides & REJECTED:
+            self.rejected.add(head, body, learned)
+
+    def go_on(self, part: dict) -> None:
+        """Take up the part of the next range."""
+        if self.differs:
+            self.chosen.append(part["prompt"], part["common_mask"])
+            self.rejected.append(part["prompt"], part["common_mask"])
+        else:
+            self.common.append(part["prompt"], part["common_mask"])
+            self.n += part["n_common"]
+        self.chosen.append(part["chosen"], part["chosen_mask"])
+        self.rejected.append(part["rejected"], part["rejected_mask"])
+        self.differs = self.differs or part["differs"]
+
+    def made(self) -> tuple:
+        return self.common.text(), self.chosen.text(), self.rejected.text(), self.chosen.spans, self.rejected.spans, self.n
+
+
+def _pairs(open_ones: bool, pair: str, schema: str):
+    """Rows of the pairs of a sorted range: those that may go on in another one, or the rest."""
+
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(f"{schema}, {PARTS}").fields]
+    names = [pair, *[f.name for f in StructType.fromDDL(PARTS).fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, out, size, first = TaskContext.get().partitionId(), [], 0, True
+        key = own = entry = None
+        adds = takes = 0
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        def row():
+            return (key, part, own.differs, own.common.spans, *own.made())
+
+        for batch in batches:
+            for k, turn, role, text, sides, without in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own is not None and entry != (k, turn, role, text):
+                    own.turn(entry[2], entry[3], adds & ~takes)
+                    if k != key and first == open_ones:
+                        size += own.common.size + own.chosen.size + own.rejected.size
+                        out.append(row())
+                        if len(out) >= OUT_ROWS or size >= OUT_CHARS:
+                            yield batch_of(out)
+                            out, size = [], 0
+                    first = first and k == key
+                if own is None or k != key:
+                    key, own = k, _Pair()
+                if entry != (k, turn, role, text):
+                    entry, adds, takes = (k, turn, role, text), 0, 0
+                adds |= sides
+                takes |= without
+        if own is not None:
+            own.turn(entry[2], entry[3], adds & ~takes)
+            if open_ones:
+                out.append(row())
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
+def turns(side: DataFrame, sides: int, pair: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text", without: int = 0) -> DataFrame:
+    """``(pair, turn, role, text, sides, without)``: the sides that have the turns, or lose them."""
+    return side.where(F.col(pair).isNotNull()).select(
         F.col(pair).alias("pair"),
         F.coalesce(F.col(turn).cast("bigint"), F.lit(-(2**63))).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.lit(sides).alias("sides"),
+        F.lit(without).alias("without"),
     )
-    ties = Window.partitionBy("pair", "turn").orderBy("role", "text")
-    return rows.distinct().withColumn("tie", F.row_number().over(ties))
-
 
-def _plain(c: Column) -> Column:
-    return F.replace(c, F.lit("<|"), F.lit("< |"))
 
+def format_turns(rows: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """``(pair, prompt, chosen, rejected, chosen_mask, rejected_mask, n_common)`` of ``turns``.
 
-def segments(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(pair, turn, tie, side, head, body, learned)``: each turn once or, after the
-    common prefix, once for each side that has it. ``side``: prompt, chosen, rejected.
-    """
-    a, b = (_turns(x, pair, turn, role, text) for x in (chosen, rejected))
-    keys = ["pair", "turn", "tie"]
-    both = a.select(*keys, F.struct("role", "text").alias("a")).join(b.select(*keys, F.struct("role", "text").alias("b")), keys, "full")
-    first = both.where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("pair").agg(F.min(F.struct("turn", "tie")).alias("first"))
-    marked = both.join(first, "pair", "left").withColumn("common", F.col("first").isNull() | (F.struct("turn", "tie") < F.col("first")))
-    sides = F.when(F.col("common"), F.array(F.struct(F.lit("prompt").alias("side"), F.col("a").alias("m")))).otherwise(
-        F.array(F.struct(F.lit("chosen").alias("side"), F.col("a").alias("m")), F.struct(F.lit("rejected").alias("side"), F.col("b").alias("m")))
-    )
-    rows = marked.select(*keys, F.explode(sides).alias("s")).where("s.m is not null")
-    return rows.select(
-        *keys,
-        "s.side",
-        F.concat(F.lit("<|"), _plain(F.col("s.m.role")), F.lit("|>\n")).alias("head"),
-        F.concat(_plain(F.col("s.m.text")), F.lit(END)).alias("body"),
-        (F.col("s.m.role") == LEARNED).alias("learned"),
-    )
-
-
-def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(pair, part, prompt, chosen, rejected, chosen_mask, rejected_mask, n_common)``.
-
+    A turn belongs to the sides that any of its rows gives it and none takes from it.
     Masks are arrays of ``struct<start, end>``; ``n_common`` counts the prompt's turns.
     """
-    rows = segments(chosen, rejected, pair, turn, role, text)
-    rows = rows.withColumn("part", F.greatest(F.floor(F.col("turn") / CHUNK), F.lit(0)))
-    own = F.struct("turn", "tie", "head", "body", "learned")
-    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, own))).alias(side)  # noqa: E731  at most CHUNK turn numbers
-    lists = rows.groupBy("pair", "part").agg(of("prompt"), of("chosen"), of("rejected"))
-
-    def joined(c: str) -> Column:
-        return F.array_join(F.transform(c, lambda x: F.concat(x["head"], x["body"])), "")
+    small_batches(rows.sparkSession)
+    kind = f"`{pair}` {rows.schema['pair'].dataType.simpleString()}"
+    dealt = rows.repartitionByRange("pair", "turn", "role", F.substring("text", 1, HEAD)).sortWithinPartitions("pair", "turn", "role", "text")
+    whole, parts = (dealt.mapInArrow(_pairs(x, pair, kind), f"{kind}, {PARTS}") for x in (False, True))
+    wanted = [f.name for f in StructType.fromDDL(f"{kind}, {MADE}").fields]
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(f"{kind}, {MADE}").fields]
 
-    def mask(c: str) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    def together(key: tuple, group: pa.Table) -> pa.Table:
+        own = _Pair()
+        for part in group.sort_by("part").to_pylist():
+            own.go_on(part)
+        return pa.table([pa.array([x], t) for x, t in zip((key[0].as_py(), *own.made()), types, strict=True)], wanted)
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["head"])
-            end = begin + F.length(x["body"])
-            span = F.array(F.struct(begin.alias("start"), (end - 1).alias("end")))
-            return F.struct(end.alias("at"), F.when(x["learned"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    joined = parts.groupBy(pair).applyInArrow(together, f"{kind}, {MADE}")
+    return whole.select(wanted).unionAll(joined)
 
-        return F.aggregate(c, start, step)["spans"]
 
-    return lists.select(
-        F.col("pair").alias(pair), "part", joined("prompt").alias("prompt"), joined("chosen").alias("chosen"), joined("rejected").alias("rejected"),
-        mask("chosen").alias("chosen_mask"), mask("rejected").alias("rejected_mask"), F.size("prompt").alias("n_common"),
-    )
+def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``format_turns`` of two tables of turns."""
+    return format_turns(turns(chosen, CHOSEN, pair, turn, role, text).unionAll(turns(rejected, REJECTED, pair, turn, role, text)), pair)
 
 
-def pairs_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def turns_of(conversations: DataFrame) -> DataFrame:
     """Pairs for a table without preferences: each conversation is chosen; rejected is
     the same with its last turn answered by the text that ends its neighbour (ids 2k
-    and 2k + 1), where there is one.
+    and 2k + 1), where there is one. Only last turns meet in a join.
     """
-    rows = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where("pair_id is not null")
-    ends = rows.groupBy("pair_id").agg(F.max(F.struct("turn", "role", "text")).alias("end"))
-    other = ends.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("end.text").alias("reply"))
-    last = ends.join(other, "pair_id", "left").select("pair_id", F.col("end.turn").alias("last"), "end", F.coalesce("reply", F.col("end.text")).alias("reply"))
-    swapped = last.select("pair_id", F.col("end.turn").alias("turn"), F.col("end.role").alias("role"), F.col("reply").alias("text"))
-    rest = rows.join(last.select("pair_id", "last"), "pair_id").where(~F.col("turn").eqNullSafe(F.col("last"))).select("pair_id", "turn", "role", "text")
-    return rows, rest.unionAll(swapped)
+    rows = turns(conversations, CHOSEN | REJECTED, "conv_id")
+    ends = rows.groupBy("pair").agg(F.max(F.struct("turn", "role", "text")).alias("end"))
+    other = ends.select(F.col("pair").bitwiseXOR(F.lit(1)).alias("pair"), F.col("end.text").alias("reply"))
+    swapped = ends.join(other, "pair").where("end.text <> reply").select("pair", "end.turn", "end.role", F.col("end.text").alias("own"), "reply")
+    gone = turns(swapped, 0, "pair", text="own", without=REJECTED)
+    return rows.unionAll(gone).unionAll(turns(swapped, REJECTED, "pair", text="reply"))

@@ -50,28 +50,42 @@ def test_equals_brute_force(spark):
     assert result(chat.format_preferences(a, b)) == brute(chosen, rejected)
 
 
-def test_long_conversations_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(chat, "CHUNK", 4)
-    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(10)]
-    other = [(p, t, r, x + "!" if t == 7 else x) for p, t, r, x in rows]
-    got = sorted(chat.format_preferences(spark.createDataFrame(rows, KIND), spark.createDataFrame(other, KIND)).collect(), key=lambda r: r["part"])
-    assert [r["part"] for r in got] == [0, 1, 2]
-    prompt, a, _, b, _, n = brute(rows, other)[1]
-    assert "".join(r["prompt"] for r in got) == prompt and sum(r["n_common"] for r in got) == n
-    assert "".join(r["chosen"] for r in got) == a and "".join(r["rejected"] for r in got) == b
+def test_a_pair_is_one_row_over_many_ranges(spark):
+    """One pair has most turns, others stand at the ends of ranges."""
+    rng = random.Random(5)
+    chosen = [(p, t * 5000, "assistant" if t % 2 else "user", f"t{rng.randrange(9)}") for p, n in ((1, 3), (2, 900), (3, 2), (4, 700), (5, 1)) for t in range(n)]
+    rejected = [(p, t, r, x + "!" if (p, t) in ((2, 400 * 5000), (4, 5000), (5, 0)) else x) for p, t, r, x in chosen]
+    a, b = (spark.createDataFrame(x, KIND).repartition(5) for x in (chosen, rejected))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chat.format_preferences(a, b)
+        assert got.count() == 5 and result(got) == brute(chosen, rejected)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_far_turn_numbers_and_many_rows_of_one(spark):
+    rows = [(1, 1, "user", "a"), (1, 5000, "assistant", "b")]
+    other = [(1, 1, "user", "a"), (1, 5000, "assistant", "c")]
+    one = spark.range(100_000).selectExpr("7L AS pair_id", "cast(null AS bigint) AS turn", "'user' AS role", "concat('t', id % 50000) AS text")
+    a, b = (spark.createDataFrame(x, KIND).unionAll(one) for x in (rows, other))
+    got = {r["pair_id"]: r for r in chat.format_preferences(a, b).collect()}
+    assert (got[1]["prompt"], got[1]["n_common"], len(got)) == (render([(1, "user", "a")])[0], 1, 2)
+    assert got[7]["n_common"] == 50_000 and got[7]["chosen"] == ""
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None)]])
 def test_empty_tables(spark, rows):
     df = spark.createDataFrame(rows, KIND)
     assert chat.format_preferences(df, df).count() == 0
-    a, b = chat.pairs_of(spark.createDataFrame(rows, KIND).withColumnRenamed("pair_id", "conv_id"))
-    assert chat.format_preferences(a, b).count() == 0
+    assert chat.format_turns(chat.turns_of(df.withColumnRenamed("pair_id", "conv_id"))).count() == 0
 
 
 def test_pairs_share_all_but_the_last_turn(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t}") for c in (4, 5, 8) for t in range(4)]
-    a, b = chat.pairs_of(spark.createDataFrame(rows, KIND.replace("pair_id", "conv_id")))
-    got = {r["pair_id"]: r for r in chat.format_preferences(a, b).collect()}
+    made = chat.turns_of(spark.createDataFrame(rows, KIND.replace("pair_id", "conv_id")))
+    got = {r["pair_id"]: r for r in chat.format_turns(made).collect()}
     assert got[4]["n_common"] == 3 and "5 3" in got[4]["rejected"] and "4 3" in got[4]["chosen"]
     assert got[8]["n_common"] == 4 and got[8]["chosen"] == got[8]["rejected"] == ""
