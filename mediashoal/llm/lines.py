@@ -2,16 +2,18 @@
 
 The exact side is a reference table, one row ``(h1, h2, doc)`` for each document and
 each of its long line keys (two 64-bit halves of XXH3-128), in the shared folder.
-``counts`` sums it up: documents and largest id of each key. Inserting documents adds
-rows, deleting takes them out, so deleting what was inserted restores the state and
-each verdict with it.
+``counts`` sums it up: documents and largest id of each key. Inserting documents adds a
+segment of rows, deleting adds a list of ids that older segments lose; only the keys
+that a change touches are counted again. Deleting what was inserted restores the state
+and each verdict with it. Many segments are put together now and then.
 
 Keys found in ``min_docs`` documents and more are put into cuckoo filters, one for each
-shard of the key space. The filters are small and go to every executor, if under
-``FILTER_BYTES`` in all (beyond, every long line is looked up exactly). A line whose key
-misses its filter stays, without a shuffle. Those that hit are looked up in the exact
-counts, so a false hit costs a look-up and changes nothing. Filters support deletion:
-a key that falls under ``min_docs`` is taken out of its filter.
+shard of the key space, of ``SHARD_KEYS`` keys or so; their number grows with the keys.
+Filters support deletion: a key that falls under ``min_docs`` is taken out of its filter.
+All lines go through the filters. If these take ``FILTER_BYTES`` at most they go to every
+executor; else keys go to the filter of their shard, 24 bytes each, salted so that no
+shard's lines are one group. A line whose key misses its filter stays. Those that hit are
+looked up in the exact counts, so a false hit costs a look-up and changes nothing.
 
 A line's key is the line without blanks at both ends, A-Z in lower case. Keys of
 ``min_chars`` code points and more, in ``min_docs`` documents and more, lose all their
@@ -19,8 +21,9 @@ lines except in the largest id that holds them.
 
 Nulls: a null or empty text is one empty line. Documents without an id are not counted
 and keep all lines. Rows with one id are one document: a key counts once for it. Lines
-repeated inside the document that keeps them stay. Columns besides id and text are
-carried by ``dedup`` whatever their names. An empty table gives no rows.
+repeated inside the document that keeps them stay. Very long texts are whole. Columns
+besides id and text are carried by ``dedup`` whatever their names. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,19 +34,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.llm.arrow import BLANKS, small_batches
-from mediashoal.storage import materialize
+from mediashoal.llm.arrow import BLANKS
+from mediashoal.storage import materialize, small_batches
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARDS = 64
-#: All shards' filters together; 2 bytes and a bit for each shared key.
+#: Keys of a shard, from half of it to twice as many.
+SHARD_KEYS = 1 << 17
+#: All shards' filters together, if they are broadcast; 2 bytes and a bit for each shared key.
 FILTER_BYTES = 64 << 20
+#: Lines that meet a copy of a shard's filter, if they are not.
+SHARD_LINES = 1 << 20
 SLOTS = 4
 KICKS = 500
+#: Segments and lists of deleted ids before references are written anew.
+SEGMENTS = 16
 
 
 class CuckooFilter:
@@ -75,36 +83,57 @@ class CuckooFilter:
         tag, a, b = self._places(h1, h2)
         return (self.tags[a] == tag[:, None]).any(1) | (self.tags[b] == tag[:, None]).any(1)
 
+    def _place(self, tags: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Put tags into free slots of their buckets; indexes of those left over."""
+        order = np.argsort(buckets, kind="stable")
+        own = buckets[order]
+        first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+        turn = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+        free = np.cumsum(self.tags[own] == 0, axis=1)
+        fits = turn < free[:, -1]
+        slots = (free == turn[:, None] + 1).argmax(1)
+        self.tags[own[fits], slots[fits]] = tags[order[fits]]
+        return order[~fits]
+
     def insert(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        for tag, a, b in zip(*self._places(h1, h2), strict=True):
-            for bucket in (a, b):
-                free = np.flatnonzero(self.tags[bucket] == 0)
-                if len(free):
-                    self.tags[bucket, free[0]] = tag
-                    break
-            else:
-                bucket = a
-                for k in range(KICKS):
-                    slot = k % SLOTS
-                    tag, self.tags[bucket, slot] = self.tags[bucket, slot].copy(), tag
-                    bucket = self._other(bucket, tag)
-                    free = np.flatnonzero(self.tags[bucket] == 0)
-                    if len(free):
-                        self.tags[bucket, free[0]] = tag
-                        break
-                else:
-                    self.full = True
+        """All keys at once; in each round, one key of a full bucket turns a tag out."""
+        tag, a, b = self._places(h1, h2)
+        left = self._place(tag, a)
+        tag, at = tag[left], b[left]
+        left = self._place(tag, at)
+        tag, at = tag[left], at[left]
+        for k in range(KICKS):
+            if not len(tag):
+                return
+            full, first = np.unique(at, return_index=True)
+            out = self.tags[full, k % SLOTS].copy()
+            self.tags[full, k % SLOTS] = tag[first]
+            wait = np.delete(np.arange(len(tag)), first)
+            other = self._other(full, out)
+            left = self._place(out, other)
+            tag, at = np.concatenate([tag[wait], out[left]]), np.concatenate([at[wait], other[left]])
+        self.full = self.full or len(tag) > 0
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
         """Only of keys that were inserted."""
         if self.full:
             return
-        for tag, a, b in zip(*self._places(h1, h2), strict=True):
-            for bucket in (a, b):
-                at = np.flatnonzero(self.tags[bucket] == tag)
-                if len(at):
-                    self.tags[bucket, at[0]] = 0
-                    break
+        tag, a, b = self._places(h1, h2)
+        left = self._take(tag, a)
+        self._take(tag[left], b[left])
+
+    def _take(self, tags: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Take tags out of their buckets; indexes of those that were not there."""
+        todo, missed = np.arange(len(tags)), []
+        while len(todo):  # equal tags of one bucket leave one after the other
+            _, first = np.unique(buckets[todo] << np.uint64(16) | tags[todo], return_index=True)
+            now = todo[first]
+            same = self.tags[buckets[now]] == tags[now, None]
+            hit = same.any(1)
+            self.tags[buckets[now[hit]], same[hit].argmax(1)] = 0
+            missed.append(now[~hit])
+            todo = np.delete(todo, first)
+        return np.concatenate(missed) if missed else todo
 
     def to_bytes(self) -> bytes:
         return (b"\1" if self.full else b"\0") + self.tags.tobytes()
@@ -152,7 +181,11 @@ def counts(refs: DataFrame) -> DataFrame:
     return once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last"))
 
 
-def build_filters(keys: DataFrame, shards: int = SHARDS) -> DataFrame:
+def _shard(shards: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("h1", 40), F.lit(shards)).cast("int").alias("shard")
+
+
+def build_filters(keys: DataFrame, shards: int) -> DataFrame:
     """``(shard, filter)`` of the keys ``(h1, h2)``; each shard is built on its own."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -161,46 +194,77 @@ def build_filters(keys: DataFrame, shards: int = SHARDS) -> DataFrame:
         made.insert(h1, h2)
         return pa.table({"shard": group.column("shard")[:1], "filter": pa.array([made.to_bytes()], pa.binary())})
 
-    sharded = keys.select(F.pmod(F.shiftrightunsigned("h1", 40), F.lit(shards)).cast("int").alias("shard"), "h1", "h2")
-    return sharded.groupBy("shard").applyInArrow(run, "shard int, filter binary")
+    return keys.select(_shard(shards), "h1", "h2").groupBy("shard").applyInArrow(run, "shard int, filter binary")
 
 
 class LineIndex:
-    """References and filters of a growing and shrinking set of documents."""
+    """References and filters of a growing and shrinking set of documents.
 
-    def __init__(self, refs: DataFrame, filters: DataFrame | None, min_chars: int, min_docs: int, shards: int):
-        self.refs, self.filters = refs, filters
-        self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
+    Immutable: changes give another index, and the old one stays as it was.
+    """
+
+    def __init__(self, spark, kind: str, min_chars: int, min_docs: int):
+        self.spark, self.kind, self.min_chars, self.min_docs = spark, kind, min_chars, min_docs
+        #: references with True, ids that older references lose with False
+        self.log: list[tuple[bool, DataFrame]] = []
+        self.shared: DataFrame | None = None
+        self.filters: DataFrame | None = None
+        self.shards = 1
 
     @classmethod
-    def empty(cls, spark, kind: str = "bigint", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
-        return cls(spark.createDataFrame([], f"h1 bigint, h2 bigint, doc {kind}"), None, min_chars, min_docs, shards)
+    def empty(cls, spark, kind: str = "bigint", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+        return cls(spark, kind, min_chars, min_docs)
+
+    @property
+    def refs(self) -> DataFrame:
+        """``(h1, h2, doc)`` as of now."""
+        found = self.spark.createDataFrame([], f"h1 bigint, h2 bigint, doc {self.kind}")
+        for added, table in self.log:
+            found = found.unionAll(table) if added else found.join(table, "doc", "left_anti").select("h1", "h2", "doc")
+        return found
 
     def insert(self, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> LineIndex:
         added = references(docs, ident, text, self.min_chars)
-        return self._with(added if self.filters is None else self.refs.unionByName(added).distinct())
+        if not self.log:
+            added = materialize(added, "line-refs")
+            return self._with([(True, added)], None)
+        added = materialize(added.distinct(), "line-refs")
+        known = self.refs.join(added.select("doc").distinct(), "doc", "left_semi")
+        fresh = materialize(added.join(known, ["h1", "h2", "doc"], "left_anti"), "line-refs")
+        return self._with([*self.log, (True, fresh)], fresh.select("h1", "h2").distinct())
 
     def delete(self, ids: DataFrame, ident: str = "doc_id") -> LineIndex:
         """Without the documents of these ids."""
-        gone = ids.select(F.col(ident).alias("doc")).distinct()
-        return self._with(self.refs.join(gone, "doc", "left_anti").select("h1", "h2", "doc"))
-
-    def _with(self, refs: DataFrame) -> LineIndex:
-        refs = materialize(refs, "line-refs")
-        new = LineIndex(refs, None, self.min_chars, self.min_docs, self.shards)
-        new.shared = materialize(counts(refs).where(F.col("n_docs") >= self.min_docs), "line-counts")
-        new.filters = self._changed(new.shared)
+        gone = materialize(ids.select(F.col(ident).alias("doc")).where("doc is not null").distinct(), "line-gone")
+        if not self.log:
+            return self
+        keys = materialize(self.refs.join(gone, "doc", "left_semi").select("h1", "h2").distinct(), "line-keys")
+        return self._with([*self.log, (False, gone)], keys)
+
+    def _with(self, log: list[tuple[bool, DataFrame]], keys: DataFrame | None) -> LineIndex:
+        """After a change that touched ``keys``; None: all."""
+        new = LineIndex(self.spark, self.kind, self.min_chars, self.min_docs)
+        new.log = log
+        if len(log) > SEGMENTS:
+            new.log = [(True, materialize(new.refs, "line-refs"))]
+        if keys is None:
+            shared = counts(new.refs).where(F.col("n_docs") >= self.min_docs)
+        else:
+            touched = counts(new.refs.join(keys, ["h1", "h2"], "left_semi")).where(F.col("n_docs") >= self.min_docs)
+            shared = self.shared.join(keys, ["h1", "h2"], "left_anti").unionByName(touched)
+        new.shared = materialize(shared, "line-counts")
+        wanted = 1 << max(0, (new.shared.count() // SHARD_KEYS).bit_length())
+        new.shards = self.shards if self.filters is not None and self.shards in (wanted // 2, wanted, wanted * 2) else wanted
+        keys = new.shared.select("h1", "h2")
+        new.filters = materialize(build_filters(keys, new.shards) if self.filters is None or new.shards != self.shards else self._moved(keys), "line-filters")
         return new
 
-    def _changed(self, shared: DataFrame) -> DataFrame:
-        """The filters after keys came and went; from scratch if there were none."""
-        keys = shared.select("h1", "h2")
-        if self.filters is None:
-            return materialize(build_filters(keys, self.shards), "line-filters")
+    def _moved(self, keys: DataFrame) -> DataFrame:
+        """The filters after keys came and went."""
         old = self.shared.select("h1", "h2")
         moves = keys.join(old, ["h1", "h2"], "left_anti").withColumn("gone", F.lit(False)).unionAll(old.join(keys, ["h1", "h2"], "left_anti").withColumn("gone", F.lit(True)))
-        moves = moves.select(F.pmod(F.shiftrightunsigned("h1", 40), F.lit(self.shards)).cast("int").alias("shard"), "h1", "h2", "gone")
-        sizes = keys.groupBy(F.pmod(F.shiftrightunsigned("h1", 40), F.lit(self.shards)).cast("int").alias("shard")).count()
+        moves = moves.select(_shard(self.shards), "h1", "h2", "gone")
+        sizes = keys.groupBy(_shard(self.shards)).count()
         fit = self.filters.join(sizes, "shard").where((F.length("filter") - 1) / 2 * 0.9 >= F.col("count")).select("shard", "filter")
 
         def run(moved: pa.Table, before: pa.Table) -> pa.Table:
@@ -214,57 +278,68 @@ class LineIndex:
         updated = moves.join(fit.select("shard"), "shard", "left_semi").groupBy("shard").cogroup(fit.groupBy("shard"))
         touched = updated.applyInArrow(lambda m, b: run(m, b) if m.num_rows else b.select(["shard", "filter"]), "shard int, filter binary")
         # shards without a filter yet, or that outgrew it, are built anew
-        rest = build_filters(keys.join(fit.select("shard"), F.pmod(F.shiftrightunsigned("h1", 40), F.lit(self.shards)).cast("int") == F.col("shard"), "left_anti"), self.shards)
-        return materialize(touched.unionAll(rest), "line-filters")
+        rest = build_filters(keys.join(fit.select("shard"), _shard(self.shards) == F.col("shard"), "left_anti"), self.shards)
+        return touched.unionAll(rest)
+
+    def suspects(self, keys: DataFrame) -> DataFrame:
+        """Those of ``keys`` (doc, h1, h2) that their shard's filter holds."""
+        size, shards = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0, self.shards
+        names = keys.columns
+
+        if size <= FILTER_BYTES:  # a size that was just measured
+            sent = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
+
+            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                filters = {s: CuckooFilter.from_bytes(b) for s, b in sent.value.items()}
+                for batch in batches:
+                    h1, h2 = (batch.column(n).to_numpy().view(np.uint64) for n in ("h1", "h2"))
+                    shard = (h1 >> np.uint64(40)).astype(np.int64) % shards
+                    hit = np.zeros(len(h1), bool)
+                    for s in np.unique(shard):
+                        if s in filters:
+                            at = np.flatnonzero(shard == s)
+                            hit[at] = filters[s].contains(h1[at], h2[at])
+                    yield batch.filter(pa.array(hit))
 
-    def _probe(self):
-        """One broadcast of all filters, or None if they are too large for it."""
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > FILTER_BYTES:
-            return None
-        found = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
-        return self.refs.sparkSession.sparkContext.broadcast(found)
+            return keys.mapInArrow(probe, keys.schema)
+
+        salts = max(1, keys.count() // (shards * SHARD_LINES))
+        dealt = keys.select(_shard(shards), F.pmod(F.xxhash64("doc", "h2"), F.lit(salts)).alias("salt"), *names)
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "filter")
+
+        def of_shard(group: pa.Table, own: pa.Table) -> pa.Table:
+            if not own.num_rows or not group.num_rows:
+                return group.select(names).slice(0, 0)
+            h1, h2 = (group.column(n).to_numpy().view(np.uint64) for n in ("h1", "h2"))
+            return group.select(names).filter(pa.array(CuckooFilter.from_bytes(own.column("filter")[0].as_py()).contains(h1, h2)))
+
+        return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(of_shard, keys.schema)
 
     def dedup(self, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
         """``docs`` with the text's remaining lines, and ``n_lines, n_dropped`` appended.
 
-        The two counts are named so even where ``docs`` has such columns: select by
-        position there.
+        Where ``docs`` has columns of these names, the new ones get underscores behind
+        theirs until they are free.
         """
         small_batches(docs.sparkSession)
         mark = uuid.uuid4().hex[:8]
         own = {n: f"{mark}_{k}" for k, n in enumerate(docs.columns)}
+        taken, added = {n.lower() for n in docs.columns}, []
+        for name in ("n_lines", "n_dropped"):
+            while name in taken:
+                name += "_"
+            added.append(name)
         renamed, ident, text = docs.toDF(*own.values()), own[ident], own[text]
-        probe, shards, min_chars = self._probe(), self.shards, self.min_chars
-
-        def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter.from_bytes(b) for s, b in probe.value.items()} if probe else None
-            for batch in batches:
-                digests, rows = [], []
-                for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                    if i is not None and t is not None and len(t) >= min_chars:
-                        mine = {d for line in t.split("\n") if (d := line_key(line, min_chars))}
-                        digests += mine
-                        rows += [k] * len(mine)
-                h, row = _halves(digests), np.array(rows, np.int64)
-                if filters is not None and len(h):
-                    shard = (h[:, 0] >> np.uint64(40)).astype(np.int64) % shards
-                    hit = np.zeros(len(h), bool)
-                    for s in np.unique(shard):
-                        if s in filters:
-                            at = np.flatnonzero(shard == s)
-                            hit[at] = filters[s].contains(h[at, 0], h[at, 1])
-                    h, row = h[hit], row[hit]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(h[:, 0].view(np.int64) if len(h) else [], pa.int64()), pa.array(h[:, 1].view(np.int64) if len(h) else [], pa.int64())], ["doc", "h1", "h2"])
-
-        kind = renamed.schema[ident].dataType.simpleString()
-        found = renamed.select(F.col(ident).alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(suspects, f"doc {kind}, h1 bigint, h2 bigint")
-        gone = found.join(self.shared, ["h1", "h2"]).where("doc <> last")
+        min_chars = self.min_chars
+        found = self.suspects(references(renamed, ident, text, min_chars)) if self.filters is not None else self.refs
+        shared = self.shared if self.shared is not None else counts(self.refs)
+        gone = found.join(shared, ["h1", "h2"]).where("doc <> last")
         # a document's dropped keys, at most as many as it has lines
         lists = gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc", f"{mark}_doc")
         lists = materialize(lists, "line-drops")
         # lists grow with the documents: always by sorting, never by broadcast, at any size
         joined = renamed.join(lists.hint("merge"), F.col(ident) == F.col(f"{mark}_doc"), "left")
+        counted = [f"{mark}_lines", f"{mark}_dropped"]
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -283,12 +358,11 @@ class LineIndex:
                         texts.append(t or "")
                 columns = batch.columns[:-1]
                 columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*own.values(), *counted])
 
-        names = [*own.values(), "n_lines", "n_dropped"]
         schema = ", ".join(f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in renamed.schema.fields)
-        out = joined.select(*own.values(), "gone").mapInArrow(drop, f"{schema}, n_lines bigint, n_dropped bigint")
-        return out.select(*[F.col(new).alias(old) for old, new in own.items()], "n_lines", "n_dropped")
+        out = joined.select(*own.values(), "gone").mapInArrow(drop, f"{schema}, {counted[0]} bigint, {counted[1]} bigint")
+        return out.select(*[F.col(new).alias(old) for old, new in [*own.items(), *zip(added, counted, strict=True)]])
 
 
 def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from mediashoal.llm import lines
 from tests.llm.docs import LINE, clashing, documents, rows
@@ -58,23 +59,57 @@ def test_equals_brute_force(spark):
     assert result(got) == brute(made)
 
 
-def test_too_large_filters_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(lines, "FILTER_BYTES", 1)
-    assert result(lines.dedup_lines(documents(spark, made_up()))) == brute(made_up())
-
-
-def test_insert_and_delete_are_reversible(spark):
+def test_crowded_filter_turns_tags_out():
+    rng = np.random.default_rng(2)
+    h1, h2 = rng.integers(0, 2**64, 1550, np.uint64), rng.integers(0, 2**64, 1550, np.uint64)
+    made = lines.CuckooFilter(1600)  # 2048 places
+    for k in range(0, 1550, 50):
+        made.insert(h1[k : k + 50], h2[k : k + 50])
+    assert not made.full and made.contains(h1, h2).all() and (made.tags > 0).sum() == 1550
+    made.insert(np.repeat(h1[:1], 9), np.repeat(h2[:1], 9))  # two buckets hold eight at most
+    assert made.full and made.contains(h2, h1).all()
+
+
+def test_large_filters_are_met_by_shard(spark, monkeypatch):
+    """Beyond a broadcast, keys still go through the filters, a shard's in several groups."""
+    monkeypatch.setattr(lines, "FILTER_BYTES", 0)
+    monkeypatch.setattr(lines, "SHARD_LINES", 3)
+    monkeypatch.setattr(lines, "SHARD_KEYS", 2)
+    docs = documents(spark, made_up())
+    assert result(lines.dedup_lines(docs)) == brute(made_up())
+    index = lines.LineIndex.empty(spark).insert(docs)
+    assert index.shards > 1
+    keys = lines.references(docs)
+    found = index.suspects(keys)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    shared = keys.join(index.shared, ["h1", "h2"]).count()
+    assert shared <= found.count() < keys.count()
+
+
+@pytest.mark.parametrize("segments", [1, 16])
+def test_insert_and_delete_are_reversible(spark, monkeypatch, segments):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 4)
+    monkeypatch.setattr(lines, "SEGMENTS", segments)
     made = made_up()
     docs = documents(spark, made)
-    first = lines.LineIndex.empty(spark, shards=4).insert(docs.where("doc_id < 25"))
-    both = first.insert(docs.where("doc_id >= 25"))
+    first = lines.LineIndex.empty(spark).insert(docs.where("doc_id < 25"))
+    both = first.insert(docs.where("doc_id >= 20"))  # some come again
     assert result(both.dedup(docs)) == brute(made)
     back = both.delete(docs.where("doc_id >= 25"))
     early = docs.where("doc_id < 25")
     assert result(back.dedup(early)) == result(first.dedup(early)) == brute(made[:25])
+    again = back.insert(docs.where("doc_id >= 25"))
+    assert result(again.dedup(docs)) == brute(made)
     some = both.delete(docs.where("doc_id % 3 = 0"))
     assert result(some.dedup(docs.where("doc_id % 3 <> 0"))) == brute([r for r in made if r[0] % 3])
 
 
+def test_counts_find_free_names(spark):
+    docs = clashing(documents(spark, made_up()), "n_lines", "N_dropped")
+    got = lines.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines_", "n_dropped_"]
+    assert sorted(str((r["doc_id"], r["text"], r["n_lines_"], r["n_dropped_"])) for r in got.collect()) == brute(made_up())
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
