@@ -4,8 +4,8 @@ All of a URL's treatment is DataFrame functions: host and path are cut out by re
 expressions, the rule with the longest match wins, and where none matches, the n-grams
 of host and path (3 to 5 characters, marked with ``^`` and ``$``, each side on its own)
 are hashed by MD5 into ``BUCKETS`` weights and summed. The weights come from a small
-labelled table, at most ``MAX_LABELLED`` rows, fitted by full-batch gradient descent on
-the driver; they are rounded to multiples of 2**-16 and kept as integers, so sums are
+labelled table, at most ``MAX_LABELLED`` rows (one of the user's, or ``generated``),
+fitted by full-batch gradient descent on the driver; they are rounded to multiples of 2**-16 and kept as integers, so sums are
 exact in any order. The weights, a constant array of ``BUCKETS``, are all that is sent.
 
 A URL is blocked if its score is over zero. Nulls: a null URL and one without ``://``
@@ -18,8 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +30,48 @@ BUCKETS = 4096
 SIZES = (3, 4, 5)
 SCALE = 1 << 16
 MAX_LABELLED = 10_000
-ROUNDS = 300
-RATE = 0.5
-DECAY = 1e-3
+ROUNDS = 1500
+RATE = 8.0
+DECAY = 1e-4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: (host, path, verdict) of the rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: The labelled table, invented: URL, and 1 where it is to be blocked.
-LABELLED = [
-    *[(f"http://{h}/{p}", 1) for h in ("cheap-pills.example.info", "win-casino.example.biz", "ads.tracker.example.com", "adult-cam.example.org") for p in ("click?id=7", "banner/728x90", "free-bonus", "buy/now.php?aff=3", "xxx/1")],
-    *[(f"https://{h}/{p}", 1) for h in ("popads.example.com", "track.clickbait.example.com", "spam-offers.example.com") for p in ("redirect?u=1", "popup/9", "pixel.gif", "promo/win")],
-    *[(f"https://{h}/{p}", 0) for h in ("www.example.com", "blog.writer.example.com", "m.news.example.org", "docs.library.example.org", "en.wiki.example.com") for p in ("en/671", "fr/12.html", "es/853/", "article/2020/05", "about", "de/44?page=2", "en/910#top")],
-    *[(f"http://{h}.example.com/{p}", 0) for h in ("reading", "theory", "garden", "history") for p in ("en/474.html", "fr/825?page=2", "es/7", "en/100?utm_source=feed")],
-]
+#: Words of the labelled table: those of sites that block lists commonly hold, of plain
+#: sites, and parts that either has.
+UNWANTED = (
+    "adult", "porn", "sex", "xxx", "cam", "escort", "dating", "casino", "poker", "bet", "bets", "lotto", "slots", "jackpot", "pills", "viagra", "drug", "diet", "spam", "scam",
+    "phish", "malware", "crack", "warez", "torrent", "keygen", "ads", "banner", "popup", "track", "click", "promo", "cheap", "free", "win", "bonus", "loan", "replica",
+)
+PLAIN = (
+    "news", "library", "garden", "history", "theory", "reading", "school", "museum", "weather", "travel", "music", "recipe", "science", "nature", "market", "village", "writer", "kitchen",
+    "bridge", "forest", "harbour", "journal", "gazette", "atlas", "wiki", "forum", "docs", "support", "studio", "college",
+)
+NEUTRAL = ("", "", "er", "ing", "tion", "est", "on", "ly", "x", "hub", "zone", "farm", "online", "24", "world")
+ENDS = ("com", "org", "net", "info")
+
+
+def generated(n: int = 900, seed: int = 11) -> list[tuple[str, int]]:
+    """An invented labelled table: URL, and 1 where it is to be blocked, as is every third.
+    Both kinds have the same prefixes, endings and pages, so words make the difference;
+    plain names are words, or any letters, as often as English has them, or pairs of these.
+    """
+    rng, out = random.Random(seed), []
+    letters = "eeeeeeetttttaaaaooooiiiinnnnsssshhhhrrrddlluucmwfgypbvkjxqz"
+    any_name = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(4, 9)))
+    paired = lambda: "".join(rng.choice(("th", "sh", "st", "er", "on", "ti", "en", "re", "nd", "an", "ou", "le", "ha", "in", "ea", "or")) for _ in range(rng.randrange(2, 5)))
+    for k in range(n):
+        unwanted = k % 3 == 0
+        first = rng.choice(UNWANTED) if unwanted else rng.choice((rng.choice(PLAIN), any_name(), paired()))
+        second = rng.choice(NEUTRAL + UNWANTED) if unwanted else rng.choice(NEUTRAL + PLAIN + (any_name(), paired()))
+        name = rng.choice(("-", "-", "")).join(x for x in ((first, second) if rng.random() < 0.7 else (second, first)) if x)
+        host = rng.choice(("", "", "www.", "m.", "blog.")) + name + rng.choice((".example.", ".")) + rng.choice(ENDS)
+        page = rng.choice(("en", "de", "fr", "es", "article", "item", "p")) + "/" + str(rng.randrange(10_000))
+        if rng.random() < 0.25:
+            page = (rng.choice(UNWANTED) if unwanted else rng.choice(PLAIN)) + "/" + page
+        out.append((f"http{rng.choice(('', 's'))}://{host}/{page}{rng.choice(('', '/', '.html', '?page=2', '#top'))}", int(unwanted)))
+    return out
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -66,20 +96,26 @@ def buckets(host: str, path: str) -> Counter:
 
 def fit(labelled: list[tuple[str, int]]) -> tuple[list[int], int]:
     """Integer weights and bias from (URL, 0 or 1) rows."""
-    rows = [({b: n / math.sqrt(sum(c.values())) for b, n in c.items()}, y) for u, y in labelled[:MAX_LABELLED] for c in [buckets(*split_url(u))]]
-    weights, bias = [0.0] * BUCKETS, 0.0
-    for _ in range(ROUNDS if rows else 0):
-        slope, lift = Counter(), 0.0
-        for x, y in rows:
-            z = bias + sum(weights[b] * v for b, v in x.items())
-            error = 1 / (1 + math.exp(-z)) - y
-            lift += error
-            for b, v in x.items():
-                slope[b] += error * v
-        bias -= RATE * lift / len(rows)
-        for b, g in slope.items():
-            weights[b] -= RATE * (g / len(rows) + DECAY * weights[b])
-    return [round(w * SCALE) for w in weights], round(bias * SCALE)
+    labelled = labelled[:MAX_LABELLED]
+    if not labelled:
+        return [0] * BUCKETS, 0
+    counts = [buckets(*split_url(u)) for u, _ in labelled]
+    row = np.repeat(np.arange(len(counts)), list(map(len, counts)))
+    at = np.array([b for c in counts for b in sorted(c)], np.int64)
+    values = np.array([c[b] / math.sqrt(sum(c.values())) for c in counts for b in sorted(c)])
+    wanted, weights, bias = np.array([y for _, y in labelled], np.float64), np.zeros(BUCKETS), 0.0
+    for _ in range(ROUNDS):
+        z = bias + np.bincount(row, weights[at] * values, len(counts))
+        error = 1 / (1 + np.exp(-z)) - wanted
+        bias -= RATE * error.mean()
+        weights -= RATE * (np.bincount(at, error[row] * values, BUCKETS) / len(counts) + DECAY * weights)
+    return np.rint(weights * SCALE).astype(int).tolist(), round(float(bias) * SCALE)
+
+
+@lru_cache(maxsize=1)
+def fitted() -> tuple[list[int], int]:
+    """From the generated table."""
+    return fit(generated())
 
 
 def labelled_rows(table: DataFrame, url: str = "url", label: str = "label") -> list[tuple[str, int]]:
@@ -119,7 +155,7 @@ def score(host: Column, path: Column, weights: list[int], bias: int) -> Column:
 
 def judge(pages: DataFrame, ident: str = "page_id", url: str = "url", rules=RULES, weights: tuple[list[int], int] | None = None) -> DataFrame:
     """``(ident, host, path, rule, verdict, score)`` per row."""
-    weights = weights or fit(LABELLED)
+    weights = weights or fitted()
     host, path = host_path(F.col(url).cast("string"))
     rows = pages.select(F.col(ident), host.alias("host"), path.alias("path"))
     best, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")

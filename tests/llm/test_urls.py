@@ -20,7 +20,7 @@ def brute(url, weights, bias):
 def test_equals_brute_force(spark):
     rng = random.Random(1)
     made = URLS + ["http://" + "".join(rng.choice("aé.net/?#:ENorg") for _ in range(rng.randrange(30))) for _ in range(200)] + URLS[4:6]
-    weights = urls.fit(urls.LABELLED)
+    weights = urls.fitted()
     df = clashing(spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string"), "host", "rule", "score")
     got = {r["page_id"]: tuple(r)[1:] for r in urls.judge(df, weights=weights).collect()}
     assert got == {i: brute(u, *weights) for i, u in enumerate(made)}
@@ -32,16 +32,28 @@ def test_no_python_in_the_plan(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def blocked(url, weights, bias):
+    counts = urls.buckets(*urls.split_url(url))
+    return sum(weights[b] * n for b, n in counts.items()) + bias * int(sum(counts.values()) ** 0.5) > 0
+
+
 def test_held_out_accuracy():
-    rows = list(urls.LABELLED)
-    random.Random(2).shuffle(rows)
-    right = 0
-    for k in range(4):
-        weights, bias = urls.fit([r for n, r in enumerate(rows) if n % 4 != k])
-        for u, y in rows[k::4]:
-            counts = urls.buckets(*urls.split_url(u))
-            right += (sum(weights[b] * n for b, n in counts.items()) + bias * int(sum(counts.values()) ** 0.5) > 0) == bool(y)
-    assert right / len(rows) > 0.9
+    """Hosts of the test are no hosts of the training; another seed makes other plain names."""
+    train, test = urls.generated(), urls.generated(400, seed=12)
+    hosts = {urls.split_url(u)[0] for u, _ in train}
+    test = [(u, y) for u, y in test if urls.split_url(u)[0] not in hosts]
+    right = [blocked(u, *urls.fitted()) == bool(y) for u, y in test]
+    assert len(test) > 300 and sum(right) / len(right) > 0.93
+
+
+def test_unwanted_words_that_training_did_not_have():
+    """Without all rows that hold a word, sites of that word with another unwanted one."""
+    right = n = 0
+    for word in ("casino", "pills", "adult", "spam", "track"):
+        weights = urls.fit([r for r in urls.generated() if word not in r[0]])
+        made = [f"http://www.{word}-{w}.example.com/en/{k}" for k, w in enumerate(urls.UNWANTED) if w != word]
+        right, n = right + sum(blocked(u, *weights) for u in made), n + len(made)
+    assert right / n > 0.75
 
 
 def test_labelled_table_and_empty_tables(spark):
