@@ -6,13 +6,14 @@ or addresses with ``(at)``. It segments a text's tokens: candidate spans of up t
 ``MAX_TOKENS`` tokens are scored as a whole for each kind, all other tokens are outside
 on their own, labels of neighbouring segments have transition weights, and dynamic
 programming over segments of bounded length chooses boundaries and kinds together.
-Candidates hold seven digits and no letters, or an ``@`` or ``(at)`` between the parts of
-an address, so tokens further than MAX_TOKENS from
+Candidates hold seven digits and no letters, or are a dotted quad, or hold an ``@`` or
+``(at)`` between the parts of an address, so tokens further than MAX_TOKENS from
 any of these are outside under every segmentation and need no work: the whole text is
-covered exactly. It is trained here by its exact likelihood on ``SENTENCES`` generated,
+covered exactly. MAX_TOKENS is the longest form of an address with all marks spelled out. It is trained here by its exact likelihood on ``SENTENCES`` generated,
 labelled sentences (seeded; a documented bound), once in the driver.
 
-Added spans never overlap a base span. Spans are in code points, end exclusive. A null
+Added spans never overlap a base span. Of segmentations with one score, the one whose last
+label comes later in the order of kinds is taken, then the one with the earlier start. Spans are in code points, end exclusive. A null
 text counts as empty. Long texts are taken whole: running state is one number and one
 back pointer a label and token near a trigger. Columns besides id and text are not
 used, whatever their names; repeated rows and null ids come back as they are; an empty
@@ -32,7 +33,7 @@ from mediashoal.llm.arrow import map_text
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 20
+MAX_TOKENS = 24
 MAX_CHARS = 120
 SENTENCES = 240
 EPOCHS = 12
@@ -46,6 +47,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[(\[] ?[aA][tT] ?[)\]]")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|\n|.", re.DOTALL)
+QUAD = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}")
 AT = re.compile(r" ?[(\[] ?at ?[)\]] ?", re.IGNORECASE)
 DOT = re.compile(r" ?[(\[] ?dot ?[)\]] ?", re.IGNORECASE)
 PLAIN = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -137,7 +139,7 @@ class Lattice:
             head = text[a]
             if not (head.isascii() and head.isalnum()) and head not in "+(":
                 continue
-            digits = at = 0
+            digits = groups = at = 0
             letters = head_letters = head.isalpha()
             for j in range(i, min(self.n, i + MAX_TOKENS)):
                 b = self.ends[j]
@@ -146,6 +148,7 @@ class Lattice:
                     break
                 if "0" <= c <= "9":
                     digits += b - self.starts[j]
+                    groups += 1
                 elif c.isalpha():
                     letters = True
                     if text[self.starts[j] : b].lower() == "at" and text[self.starts[j] - 1] in "([ ":
@@ -156,7 +159,8 @@ class Lattice:
                     break
                 if not (c.isascii() and c.isalnum()):
                     continue
-                if not letters and not at and digits >= 7 or at == 1 and PLAIN.fullmatch(clear(text[a:b])):
+                quad = groups == 4 and digits < 7 and not letters and not at and QUAD.fullmatch(text, a, b)
+                if not letters and not at and digits >= 7 or quad or at == 1 and PLAIN.fullmatch(clear(text[a:b])):
                     out.append((i, j + 1))
         return out
 
@@ -325,7 +329,7 @@ def sentences(n: int, seed: int = 1) -> list[tuple[str, list[tuple[int, int, int
 
 
 def _usable(made: list) -> list:
-    """Without sentences of which a gold span is no candidate (an unlucky name)."""
+    """Without sentences of which a gold span is no candidate (a name that is ``at``)."""
     out = []
     for text, gold in made:
         lattice = Lattice(text, 0, len(text))
@@ -340,14 +344,24 @@ def trained() -> SemiCRF:
     return SemiCRF().train(_usable(sentences(SENTENCES)))
 
 
+def _run(c: str) -> str:
+    """The kind of token that a character makes with its like."""
+    return "a" if c.isascii() and c.isalpha() else "0" if "0" <= c <= "9" else " " if c != "\n" and c.isspace() else ""
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Where a candidate may lie: around each trigger, at most MAX_CHARS to either side,
-    and never over a line end. Each lies in whole runs of letters, digits or blanks."""
+    and never over a line end. A run of letters, digits or blanks that a side would cut
+    is left out there, as it reaches further than a candidate can."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         if out and m.end() <= out[-1][1] - MAX_CHARS:
             continue
         lo, hi = max(0, m.start() - MAX_CHARS), min(len(text), m.end() + MAX_CHARS)
+        while 0 < lo < m.start() and _run(text[lo]) and _run(text[lo]) == _run(text[lo - 1]):
+            lo += 1
+        while m.end() < hi < len(text) and _run(text[hi]) and _run(text[hi]) == _run(text[hi - 1]):
+            hi -= 1
         lo = text.rfind("\n", lo, m.start()) + 1 or lo
         cut = text.find("\n", m.end(), hi)
         hi = hi if cut < 0 else cut
@@ -381,7 +395,8 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_all(docs: DataFrame, ident: str = "doc_id", text: str = "text", model: SemiCRF | None = None) -> DataFrame:
-    """``(ident, n_email, n_ip, n_card, n_phone, base, spans)``; spans as strings."""
+    """``(ident, n_email, n_ip, n_card, n_phone, base, spans, n_spans, n_added)``; spans as
+    strings. The first four count base spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
     def kernel():
@@ -390,8 +405,8 @@ def find_all(docs: DataFrame, ident: str = "doc_id", text: str = "text", model:
         def one(t: str) -> tuple:
             base, spans = find(t, fixed)
             counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
-            return (*counts, spelled(base), spelled(spans))
+            return (*counts, spelled(base), spelled(spans), len(spans), len(spans) - len(base))
 
         return one
 
-    return map_text(docs, ident, text, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string", kernel)
+    return map_text(docs, ident, text, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string, n_spans bigint, n_added bigint", kernel)
