@@ -14,7 +14,8 @@
 
 Nothing is random: reruns agree. Nulls: a null text has no words; a null source is one
 source, ordered last. Rows with one id and size are documents of their own. An empty
-table, or one without a word, gives targets of zero. The number of sources is that of
+table, or one without a word, gives targets of zero. Slots behind the schedule are
+ordered by rank, then source. Very long texts are counted and cut whole. The number of sources is that of
 their small table: ranking and shares use one window over it; documents and slots never
 meet in one task. Columns besides id, text and source are not used by ``mix``;
 ``apply_mix`` returns the input's own columns, whatever their names.
@@ -41,7 +42,8 @@ LEAST_BLOCKS = 64
 BUCKETS, CELLS, CHUNK = 4096, 4096, 1 << 16
 #: 2**32 divided by the golden ratio, odd.
 GOLDEN = 2654435769
-#: The schedule runs on for this much, so that every source's quota is filled.
+#: The schedule runs on for this much, which fills nearly all quotas; the rest of a quota
+#: gets slots behind it.
 EXTRA = 1.02
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,11 +101,16 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(2**31)) * F.lit(GOLDEN), F.lit(2**32)).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / width))
     owned = points.join(cells, "cell").where("point >= lo and point < hi").select("slot", "sid", "blocks", "quota", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    sums = owned.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
+    counts = owned.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    sums = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = owned.withColumn("place", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot"))).join(sums, ["sid", "chunk"])
-    ranked = ranked.withColumn("rank", F.col("offset") + F.col("place") - 1).where("rank < quota")
+    ranked = ranked.withColumn("rank", F.col("offset") + F.col("place") - 1).where("rank < quota").select("slot", "sid", "blocks", "rank")
+    got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
+    short = spans.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
+    late = short.select("sid", "blocks", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("rank"))  # a few a source
+    late = late.select((F.col("rank") + slots).alias("slot"), "sid", "blocks", "rank")
+    ranked = ranked.unionAll(late)
     return ranked.select("slot", "sid", F.pmod("rank", "blocks").alias("block_no"), F.floor(F.col("rank") / F.col("blocks")).alias("repeat"))
 
 

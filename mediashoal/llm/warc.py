@@ -12,7 +12,7 @@ grouped: a payload that a third of all pages share is moved once for each task.
 
 Nulls: a null html is an empty payload; a null url leaves the target field out; a null
 page id is lower than any other. Rows repeated with the largest page id are all
-responses. Line ends in a url are percent-encoded. Other columns are not used, whatever
+responses. Very long payloads are whole. Line ends in a url are percent-encoded. Other columns are not used, whatever
 their names. An empty table makes an empty archive.
 """
 
@@ -63,7 +63,9 @@ def write(pages: DataFrame, path: str | None = None) -> str:
     hashed.groupBy("digest").agg(F.any_value("payload").alias("payload")).write.parquet(f"{path}/payloads", compression="zstd")
     narrow = hashed.select("page_id", "url", "size", "sha1", "digest")
     owners = narrow.where(F.col("size") >= MIN_BYTES).groupBy("digest").agg(F.max("page_id").alias("owner"))
-    typed = narrow.join(owners, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
+    # small payloads have no owner, so the empty page that many share joins nothing
+    large = narrow.where(F.col("size") >= MIN_BYTES).join(owners, "digest").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))).drop("owner")
+    typed = large.unionByName(narrow.where(F.col("size") < MIN_BYTES).withColumn("refers_to", F.lit(None).cast(owners.schema["owner"].dataType)))
     typed.select("page_id", _header(F.col("size")).alias("header"), "digest").write.parquet(f"{path}/headers", compression="zstd")
     return path
 
