@@ -229,13 +229,34 @@ def _(v):
     return kernels.fingerprints(_images(v, 9)).select("path", "dhash")
 
 
+_SQUARE = "list_transform(range(0, 1024), lambda k: CAST(least(greatest(floor(CAST(embedding[((k // 32) * 7 + (k % 32) * 3) % 64 + 1] AS DOUBLE) * 300 + 100) + ((k // 32) * (k // 32) * 13 + (k % 32) * 11) % 50, 0), 255) AS DOUBLE))"
+_WAVES = "list_transform(range(0, 256), lambda k: cos((2 * (k % 32) + 1) * (k // 32) * pi() / 64) * CASE WHEN k < 32 THEN sqrt(1 / 32) ELSE sqrt(2 / 32) END)"
+
+
+@query(
+    "frequency_hashes",
+    f"""WITH w AS (SELECT {_WAVES} AS w), i AS (SELECT vec_id, {_SQUARE} AS px FROM embeddings),
+    c AS (SELECT vec_id, list_transform(range(0, 64), lambda q: list_sum(list_transform(range(0, 1024), lambda k: px[k + 1] * w[(q // 8) * 32 + k // 32 + 1] * w[(q % 8) * 32 + k % 32 + 1]))) AS c FROM i, w)
+    SELECT CAST(vec_id AS VARCHAR) AS path, lower(lpad(to_hex(CAST(list_reduce(list_transform(c, lambda x: CAST(x >= list_sort(c[2:64])[32] AS HUGEINT)), lambda a, b: a * 2 + b) AS UBIGINT)), 16, '0')) AS phash FROM c""",
+)
+def _(v):
+    k = F.col("k")
+    row, column = F.floor(k / 32).cast("int"), k % 32
+    cell = F.floor(F.element_at("embedding", (row * 7 + column * 3) % 64 + 1).cast("double") * 300 + 100) + (row * row * 13 + column * 11) % 50
+    byte = F.struct(k.alias("k"), F.lpad(F.hex(F.least(F.greatest(cell, F.lit(0)), F.lit(255)).cast("int")), 2, "0").alias("x"))
+    cells = v.table("embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("k")).select("vec_id", byte.alias("b"))
+    grey = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["x"]), "")  # 1024 cells an image
+    made = cells.groupBy("vec_id").agg(grey.alias("grey")).select(F.col("vec_id").cast("string").alias("path"), F.unhex(F.concat(F.hex(F.lit("P5 32 32 255\n")), "grey")).alias("content"))
+    return kernels.fingerprints(made).select("path", "phash")
+
+
 def _hash_of(content: bytes) -> np.ndarray:
     return kernels.bounded_width(kernels.read_image(content), 6)
 
 
 @query("fingerprints")
 def _(v):
-    """Frequency hashes and narrowed images; tested against definitions written cell by cell."""
+    """All three hashes of narrowed images; tested against definitions written cell by cell."""
     return kernels.fingerprints(_images(v, 9), _hash_of).select("path", "width", "height", "ahash", "dhash", "phash")
 
 

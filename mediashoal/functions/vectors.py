@@ -78,10 +78,12 @@ def little_endian_vector(blob: Column) -> Column:
 
 
 def parse_blob(blob: Column) -> Column:
-    """A stored vector: JSON text if it begins with a bracket or four bytes don't go in
-    evenly, else little-endian single-precision numbers. Text that is no list gives null."""
+    """A stored vector: a JSON list if it begins with a bracket or four bytes don't go in
+    evenly, else little-endian single-precision numbers, which is also what bytes are that
+    only begin like a list. Text that is no list gives null."""
     text = blob.cast("string")
-    return F.when((F.substring(text, 1, 1) == "[") | (F.length(blob) % 4 != 0), legacy_vector(text)).otherwise(little_endian_vector(blob))
+    numbers = little_endian_vector(blob)
+    return F.when((F.substring(text, 1, 1) == "[") | (F.length(blob) % 4 != 0), F.coalesce(legacy_vector(text), numbers)).otherwise(numbers)
 
 
 def vector_blob(v: Column) -> Column:

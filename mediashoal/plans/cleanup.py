@@ -49,7 +49,8 @@ class CleanupPlan:
 def generate(media: DataFrame, cache: DataFrame, ignored: DataFrame, empty_folders: DataFrame, roots: list[str] | None = None, hashes: DataFrame | None = None, prints: DataFrame | None = None) -> CleanupPlan:
     """From the media in scope; digests and fingerprints come from the cache where it is
     fresh, else from ``hashes`` (path, sha256) and ``prints`` (path, width, height,
-    ahash, dhash, phash) made in this run. Exact duplicates leave the visual pass.
+    ahash, dhash, phash) made in this run. Exact duplicates leave the visual pass. The
+    plan is written, so what is shown is what can be applied.
     """
     items = cleanup_scope(media)
     if roots:
@@ -74,7 +75,7 @@ def generate(media: DataFrame, cache: DataFrame, ignored: DataFrame, empty_folde
     groups = duplicates.numbered(duplicates.keepers(seen, "anchor"), "visual").select("anchor", "group_id", "keep_path")
     visual = seen.join(groups, "anchor").select("group_id", F.lit("visual-image").alias("kind"), "path", "size_bytes", "keep_path", "score")
     members = exact_rows.unionByName(visual).withColumn("is_keeper", F.col("path") == F.col("keep_path"))
-    return CleanupPlan(ignored, empty_folders, members)
+    return CleanupPlan(materialize(ignored, "plan"), materialize(empty_folders, "plan"), materialize(members, "plan"))
 
 
 def apply_plan(plan: CleanupPlan | None, remove: DataFrame, folders: DataFrame, listing: DataFrame | None = None) -> DataFrame:

@@ -29,10 +29,11 @@ def test_binary_vectors(spark):
     numbers += [struct.unpack("<f", rng.randbytes(4))[0] for _ in range(300)]
     numbers = [x for x in numbers if x == x]
     blob = struct.pack(f"<{len(numbers)}f", *numbers)
-    df = spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(b"[1, 2.5]")), (3, bytearray(b"[12]")), (4, bytearray(b"abcde")), (5, bytearray(b"")), (6, None)], "id int, b binary")
+    df = spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(b"[1, 2.5]")), (3, bytearray(b"[12]")), (4, bytearray(b"abcde")), (5, bytearray(b"")), (6, None), (7, bytearray(b"[\x01\xeb\xbd"))], "id int, b binary")
     got = {r["id"]: r["v"] for r in df.select("id", vectors.parse_blob(F.col("b")).alias("v")).collect()}
     assert got[1] == list(struct.unpack(f"<{len(numbers)}f", blob)) and got[2] == [1.0, 2.5] and got[3] == [12.0]
     assert got[4] is None and got[5] == [] and got[6] is None
+    assert got[7] == list(struct.unpack("<f", b"[\x01\xeb\xbd"))  # begins like a list, but is none
     back = df.where("id = 1").select(vectors.vector_blob(vectors.parse_blob(F.col("b"))).alias("x")).first()["x"]
     assert bytes(back) == blob
 
