@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediashoal.storage import small_batches
+
 #: The six characters that separate words in every contract here.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Most rows and bytes of an Arrow batch; with whole texts in a row, 10,000 rows would
-#: be too many.
-BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_text(df: DataFrame, ident: str, text: str, schema: str, kernel: Callable[[], Callable[[str], tuple]]) -> DataFrame:

@@ -31,12 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.llm.arrow import small_batches
+from mediashoal.llm.arrow import give_back
+from mediashoal.storage import small_batches
 
 #: Bytes of each of the two generations of a Python worker's cache, and what an entry's
 #: objects and its place in the table take.
-CACHE_BYTES = 80 << 20
-ENTRY = 240
+CACHE_BYTES = 96 << 20
+ENTRY = 260
 #: Longer pre-tokens are not kept.
 CACHE_LENGTH = 64
 
@@ -210,44 +211,75 @@ def _decoder(data: bytes) -> Decoder:
     return Decoder(data)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(ident, tokens array<int>)`` per row. ``ranks_path`` is read on the driver."""
+def _encoded(tokenizer: Tokenizer, texts: list[str | None]) -> pa.ListArray:
+    raw = [tokenizer.encode(t) if t else b"" for t in texts]
+    offsets = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+
+
+def _mapped(rows: DataFrame, ranks_path: str, made, schema: str) -> DataFrame:
+    """``made(file)`` gives a function from a batch's second column to further columns."""
     with open(ranks_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the input
-    small_batches(docs.sparkSession)
+        shared = rows.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the input
+    small_batches(rows.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _tokenizer(shared.value, pattern).encode
+        columns = made(shared.value)
         for batch in batches:
-            raw = [one(t) if t else b"" for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(raw), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], [ident, "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(batch.column(1))], names)
+        give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, ident: str, text: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(ident).alias("_id"), F.col(text).cast("string").alias("_text")), docs.schema[ident].dataType.simpleString()
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(ident, tokens array<int>)`` per row. ``ranks_path`` is read on the driver."""
 
-    rows = docs.select(F.col(ident).alias("_id"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"{ident} {docs.schema[ident].dataType.simpleString()}, tokens array<int>")
+    def made(data: bytes):
+        tokenizer = _tokenizer(data, pattern)
+        return lambda texts: [_encoded(tokenizer, texts.to_pylist())]
+
+    rows, kind = _texts(docs, ident, text)
+    return _mapped(rows, ranks_path, made, f"{ident} {kind}, tokens array<int>")
 
 
 def decode(tokens: DataFrame, ranks_path: str, ident: str = "doc_id") -> DataFrame:
     """``(ident, tokens, decoded binary)`` per row of ``encode``."""
-    with open(ranks_path, "rb") as f:
-        shared = tokens.sparkSession.sparkContext.broadcast(f.read())
-    small_batches(tokens.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _decoder(shared.value).decode
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made(batch.column(1))], [ident, "tokens", "decoded"])
+    def made(data: bytes):
+        decoder = _decoder(data)
+        return lambda lists: [lists, decoder.decode(lists)]
 
     kind = tokens.schema[ident].dataType.simpleString()
-    return tokens.select(ident, "tokens").mapInArrow(run, f"{ident} {kind}, tokens array<int>, decoded binary")
+    return _mapped(tokens.select(ident, "tokens"), ranks_path, made, f"{ident} {kind}, tokens array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, in one Python worker instead of two that stand behind
+    each other."""
+
+    def made(data: bytes):
+        tokenizer, decoder = _tokenizer(data, pattern), _decoder(data)
+
+        def columns(texts: pa.Array) -> list[pa.Array]:
+            lists = _encoded(tokenizer, texts.to_pylist())
+            return [lists, decoder.decode(lists)]
+
+        return columns
+
+    rows, kind = _texts(docs, ident, text)
+    return _mapped(rows, ranks_path, made, f"{ident} {kind}, tokens array<int>, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode, and digest both: the rows of the op4 query."""
-    both = decode(encode(docs, ranks_path, pattern, ident, text), ranks_path, ident)
-    return both.select(
+    return round_trip(docs, ranks_path, pattern, ident, text).select(
         ident,
         F.size("tokens").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

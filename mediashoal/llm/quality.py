@@ -17,7 +17,7 @@ with the corpus, are made by Spark, and stay distributed:
 A document's perplexity is given as bits a byte. For each language, the median and the
 median absolute deviation (MAD) of all distinct texts with enough words make a lower and an
 upper limit; a short text's limits are wider by the noise of a mean. Medians are exact
-over thousandths of a bit, from a histogram, so reruns agree.
+over thousandths of a bit, so reruns agree.
 
 Nulls: a null text counts as empty (no words, base_failed); a null language is a
 language of its own. A language with one text has that text in the middle of its band; a
@@ -36,17 +36,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.llm.arrow import BLANKS, small_batches
-from mediashoal.storage import materialize
+from mediashoal.llm.arrow import BLANKS, give_back
+from mediashoal.storage import materialize, small_batches
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Bytes of the longest n-grams; at most 7, so that a packed one is a positive integer.
 ORDER = 5
+#: N-grams of so many bytes are few, 16.8 million at most; their tables are made as needed.
+SMALL = 3
 #: Bytes of text whose n-grams are asked for together; those that travel in one piece.
 CHUNK_BYTES = 32 << 20
 PIECE_BYTES = 2 << 20
@@ -57,7 +59,7 @@ LONG_BYTES = 1200
 LEAST_MAD = 0.01
 STEPS = 1000
 #: Positions of texts that are worked on at once.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 def base_features(text: str) -> tuple[int, int, int, int, int]:
@@ -137,7 +139,7 @@ class _Counter:
         inside = made.inside()
         for lo, keys in made.grams():
             self.held.append(np.unique(keys[inside[lo : lo + len(keys)]], return_counts=True))
-            if len(self.held) == 16:
+            if len(self.held) == 32:
                 self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +197,7 @@ def grams(texts: DataFrame) -> DataFrame:
                     held, size = [], 0
         if chunk.size:
             yield done()
+        give_back()
 
     return texts.select("_text").mapInArrow(run, "chunk bigint, gram bigint, n bigint")
 
@@ -251,7 +254,9 @@ def kneser_ney(counts: DataFrame) -> Model:
     levels = {ORDER: materialize(counts.repartition("gram").sortWithinPartitions("gram"), "grams")}
     for k in range(ORDER - 1, 0, -1):  # continuations: bytes that stand before
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
-        levels[k] = materialize(levels[k + 1].select(shorter).groupBy("gram").agg(F.count("*").alias("n")), "grams")
+        levels[k] = levels[k + 1].select(shorter).groupBy("gram").agg(F.count("*").alias("n"))
+        if k > SMALL:
+            levels[k] = materialize(levels[k], "grams")
     tables = [t.groupBy(F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("times")).select(F.lit(k).alias("k"), "n", "times") for k, t in levels.items()]
     every = tables[0]
     for t in tables[1:]:
@@ -265,7 +270,9 @@ def kneser_ney(counts: DataFrame) -> Model:
         sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare"))
         lower = table.join(sums, "context")
         lower = lower.withColumn("lower", F.lit(1 / 256)) if below is None else lower.join(below.select(F.col("gram").alias("rest"), F.col("p").alias("lower")), "rest")
-        below = materialize(lower.select("gram", ((F.col("n") - F.col("cut") + F.col("spare") * F.col("lower")) / F.col("total")).alias("p")), "model")
+        below = lower.select("gram", ((F.col("n") - F.col("cut") + F.col("spare") * F.col("lower")) / F.col("total")).alias("p"))
+        if k == SMALL:
+            below = materialize(below, "model")
         probabilities[k] = below
         weights[k] = sums.select("context", (F.col("spare") / F.col("total")).alias("weight"))
     return Model(probabilities, weights)
@@ -342,16 +349,36 @@ def _packed(rows: DataFrame) -> DataFrame:
             if first < batch.num_rows:
                 held.append(batch.slice(first))
         yield from done()
+        give_back()
 
     return rows.mapInArrow(run, "chunk bigint, piece binary")
 
 
-def _lookup(hashes: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(hashes, keys)
-    at[at == len(hashes)] = 0
-    if not len(hashes) or (hashes[at] != keys).any():
-        raise RuntimeError("a chunk's n-grams are not those asked for: the table's rows came in another order; write it first")
-    return bits[at]
+class _Lookup:
+    """Values of n-grams in arrays sorted by hash; the hash's top bits give the place to
+    start from, a few steps at most before the n-gram itself."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        bits = max(1, int(2 * len(grams)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        grams, first = np.unique(grams, return_index=True)
+        slot = self._slot(grams)
+        order = np.argsort(slot, kind="stable")
+        self.grams, self.values = np.append(grams[order], -1), np.append(values[first][order], np.float32(0))
+        self.starts = np.searchsorted(slot[order], np.arange(1 << bits)).astype(np.int32)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.starts[self._slot(keys)]
+        todo = np.flatnonzero(self.grams[at] != keys)
+        while len(todo):
+            at[todo] += 1
+            if at[todo].max() >= len(self.grams):
+                raise RuntimeError("a chunk's n-grams are not those asked for: the table's rows came in another order; write it first")
+            todo = todo[self.grams[at[todo]] != keys[todo]]
+        return self.values[at]
 
 
 def _scored(docs: DataFrame, text: str, lang: str, wanted: list[str], model: Model | None) -> DataFrame:
@@ -369,8 +396,7 @@ def _scored(docs: DataFrame, text: str, lang: str, wanted: list[str], model: Mod
     names = [*wanted, "_lang", "_d1", "_d2", "_bytes", "_bits", *measured]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes, first = np.unique(right.column("gram").to_numpy(), return_index=True)
-        bits = right.column("bits").to_numpy()[first]
+        bits_of = _Lookup(right.column("gram").to_numpy(), right.column("bits").to_numpy())
         out = []
         for piece in left.column("piece"):
             for batch in pa.ipc.open_stream(piece.as_buffer()):
@@ -380,7 +406,7 @@ def _scored(docs: DataFrame, text: str, lang: str, wanted: list[str], model: Mod
                 inside, values = made.inside(), np.zeros(len(made.raw), np.float32)
                 for lo, keys in made.grams():
                     own = np.flatnonzero(inside[lo : lo + len(keys)])
-                    values[lo + own] = _lookup(hashes, bits, keys[own]) if len(own) else 0
+                    values[lo + own] = bits_of(keys[own])
                 each = made.sums(values) / np.maximum(made.sizes, 1)
                 digests = [np.array([xxhash.xxh3_64_intdigest(x, seed) for x in raw], np.uint64).view(np.int64) for seed in (0, 1)]
                 columns = [batch.column(k + 2) for k in range(len(wanted))] + [batch.column(1), *map(pa.array, digests), pa.array(made.sizes), pa.array(each)]
@@ -388,6 +414,7 @@ def _scored(docs: DataFrame, text: str, lang: str, wanted: list[str], model: Mod
                 out.append(pa.RecordBatch.from_arrays(columns, names))
         if not out:
             raise RuntimeError("n-grams were asked for by a chunk that did not come again; write the table first")
+        give_back()
         return pa.Table.from_batches(out)
 
     kinds = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in wanted]
@@ -396,24 +423,18 @@ def _scored(docs: DataFrame, text: str, lang: str, wanted: list[str], model: Mod
 
 
 def bands(scores: DataFrame, mads: float = BAND_MADS) -> DataFrame:
-    """``(lang, middle, half)`` from rows of ``_lang, _bits``: median and band, in bits a byte."""
-
-    def median(hist: DataFrame, value: str, name: str) -> DataFrame:
-        order = Window.partitionBy("_lang").orderBy(value)
-        at = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        marked = hist.withColumn("upto", at).withColumn("total", F.sum("n").over(Window.partitionBy("_lang")))
-        return marked.where("2 * upto >= total").groupBy("_lang").agg(F.min(value).alias(name))
-
-    hist = scores.groupBy("_lang", F.round(F.col("_bits") * STEPS).cast("bigint").alias("step")).agg(F.count("*").alias("n"))
-    middle = median(hist, "step", "middle")
-    centre = middle.withColumnRenamed("_lang", "_l")
-    away = hist.join(centre, F.col("_lang").eqNullSafe(F.col("_l"))).select("_lang", F.abs(F.col("step") - F.col("middle")).alias("away"), "n")
-    away = away.groupBy("_lang", "away").agg(F.sum("n").alias("n"))
-    spread = median(away, "away", "mad").withColumnRenamed("_lang", "_l")
-    both = middle.join(spread, F.col("_lang").eqNullSafe(F.col("_l")))
-    return both.select(
-        F.col("_lang").alias("lang"), (F.col("middle") / STEPS).alias("middle"), (mads * F.greatest(F.col("mad") / STEPS, F.lit(LEAST_MAD))).alias("half")
-    )
+    """``(lang, middle, half)`` from rows of ``_lang, _bits``: median and band, in bits a byte.
+
+    Each task counts the steps of its rows, so a language with most rows is a few
+    thousand counts a task.
+    """
+    median = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").cast("bigint")
+    steps = scores.select("_lang", F.round(F.col("_bits") * STEPS).cast("bigint").alias("step"))
+    # written, so that Spark knows the size, as below
+    middle = materialize(steps.groupBy(F.col("_lang").alias("lang")).agg(median("step").alias("middle")), "middles")
+    away = steps.join(middle, F.col("_lang").eqNullSafe(F.col("lang"))).select("lang", "middle", F.abs(F.col("step") - F.col("middle")).alias("away"))
+    both = away.groupBy("lang", "middle").agg(median("away").alias("mad"))
+    return both.select("lang", (F.col("middle") / STEPS).alias("middle"), (mads * F.greatest(F.col("mad") / STEPS, F.lit(LEAST_MAD))).alias("half"))
 
 
 def _judged(docs: DataFrame, text: str, lang: str, wanted: list[str], mads: float, model: Model | None) -> DataFrame:

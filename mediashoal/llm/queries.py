@@ -16,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chat.format_preferences(*chat.pairs_of(_table(spark, sf_dir, "conversations")))
+    made = chat.format_turns(chat.turns_of(_table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(c)
-    return made.select("pair_id", F.col("part").cast("bigint").alias("part"), "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), F.col("n_common").cast("bigint").alias("n_common"))
+    return made.select("pair_id", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), F.col("n_common").cast("bigint").alias("n_common"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_all(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans", "n_added")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT *, coalesce(sum(length(head || ta)) FILTER (diff) OVER w, 0) + length(head) AS sa,
                      coalesce(sum(length(head || tb)) FILTER (diff) OVER w, 0) + length(head) AS sb
               FROM s WINDOW w AS (PARTITION BY pair_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-        SELECT pair_id, CAST(0 AS BIGINT) AS part, coalesce(string_agg(head || ta, '' ORDER BY turn) FILTER (NOT diff), '') AS prompt,
+        SELECT pair_id, coalesce(string_agg(head || ta, '' ORDER BY turn) FILTER (NOT diff), '') AS prompt,
                coalesce(string_agg(head || ta, '' ORDER BY turn) FILTER (diff), '') AS chosen,
                coalesce(string_agg(head || tb, '' ORDER BY turn) FILTER (diff), '') AS rejected,
                coalesce(string_agg(sa || ':' || (sa + length(ta) - 1), ',' ORDER BY turn) FILTER (diff AND role = 'assistant'), '') AS chosen_mask,
@@ -134,4 +134,4 @@ ORACLE_SQL: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     """With the SQL that holds fitted weights, which takes a second to make."""
-    return ORACLE_SQL | {"op7_url_filter": urls.oracle(urls.fit(urls.LABELLED))}
+    return ORACLE_SQL | {"op7_url_filter": urls.oracle(urls.fitted())}

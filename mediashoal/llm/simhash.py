@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.llm.arrow import map_text, small_batches
-from mediashoal.operators.graph import connected_components
-from mediashoal.storage import materialize
+from mediashoal.llm.arrow import map_text
+from mediashoal.operators.graph import connected_components, spanning_labels
+from mediashoal.storage import materialize, small_batches
 
 #: Largest bucket that one trie join takes before it is dealt anew.
 BUCKET_ROWS = 4096
@@ -80,8 +80,9 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", wid
 def join_trie(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) within ``budget`` differing bits, inside each [start, end).
 
-    ``values``: uint64, ascending and distinct in each range: its binary trie, as a
-    node is the range of values with one prefix. All ranges go down level by level.
+    ``values``: uint64, ascending in each range: its binary trie, as a node is the range
+    of values with one prefix. All ranges go down level by level; what is left below the
+    last bit are repeats.
     """
     a_lo, a_hi, left = starts.astype(np.int64), ends.astype(np.int64), np.full(len(starts), budget, np.int8)
     b_lo, b_hi = a_lo, a_hi
@@ -110,27 +111,14 @@ def join_trie(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget:
             found.append((np.minimum(i, j)[near], np.maximum(i, j)[near]))
             alive &= ~leaves
         a_lo, a_hi, b_lo, b_hi, left = a_lo[alive], a_hi[alive], b_lo[alive], b_hi[alive], left[alive]
+    for lo, hi, low, high in zip(*(x.tolist() for x in (a_lo, a_hi, b_lo, b_hi)), strict=True):
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, hi), np.arange(low, high), indexing="ij"))
+        found.append((np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]) if lo != low else (i[i < j], j[i < j]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least index of each node's component."""
-    label = np.arange(n)
-    while len(i):
-        old = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, old[i], low)
-        np.minimum.at(label, old[j], low)
-        label = label[label]
-        if (label == old).all():
-            break
-    return label
-
-
 @lru_cache
 def block_masks(budget: int) -> list[list[int]]:
     """For each level, budget + 1 disjoint masks that cover all 64 bits."""
@@ -177,7 +165,7 @@ def _joined(budget: int):
                 base = ends[lo] - sizes[lo]
                 part = values[base : ends[hi - 1]]
                 i, j = join_trie(part, ends[lo:hi] - sizes[lo:hi] - base, ends[lo:hi] - base, budget)
-                label = forest(len(part), i, j)
+                label = spanning_labels(len(part), i, j)
                 moved = np.flatnonzero(label != np.arange(len(part)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[moved].view(np.int64)), pa.array(part[label[moved]].view(np.int64))], ["a", "b"]

@@ -82,5 +82,12 @@ def test_decoding_null_and_empty_lists(spark):
     assert [None if r["decoded"] is None else bytes(r["decoded"]) for r in got] == [None if x is None else b"".join(back[k] for k in x) for _, x in rows]
 
 
+def test_round_trip_is_decoding_of_encoding(spark):
+    docs = documents(spark).where("doc_id is not null").coalesce(1)
+    one = bpe.round_trip(docs, PATH, public_tokenizers.PATTERN).collect()
+    two = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
+    assert one == two
+
+
 def test_empty_table(spark):
     assert bpe.round_trip_digests(documents(spark, []), PATH, public_tokenizers.PATTERN).count() == 0

@@ -147,10 +147,16 @@ def test_verdicts_equal_brute_force(spark):
     assert 0 < sum(not x[1] and not x[2] for x in got) < len(got) // 2
 
 
-def test_rows_in_another_order_are_an_error(spark):
-    hashes = np.array([1, 5], np.int64)
+def test_lookup_in_sorted_hashes():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 50, 30_000):
+        grams = rng.integers(0, 1 << 40, n)
+        found = quality._Lookup(np.append(grams, grams), np.append(grams, grams).astype(np.float32))
+        assert np.array_equal(found(grams), grams.astype(np.float32))
     with pytest.raises(RuntimeError, match="another order"):
-        quality._lookup(hashes, np.zeros(2, np.float32), np.array([1, 2]))
+        found(np.array([1 << 39, 77, *grams[:3]]))
+    with pytest.raises(RuntimeError, match="another order"):
+        quality._Lookup(np.zeros(0, np.int64), np.zeros(0, np.float32))(np.array([1]))
 
 
 def corpus(spark):
