@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from mediashoal.llm import mixing
 from tests.llm.docs import clashing, documents, rows
@@ -86,3 +87,14 @@ def test_empty_table(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert mixing.apply_mix(documents(spark, [])).count() == 0
     assert [r["target"] for r in mixing.mix(documents(spark, [(1, None, None, "a", 0)])).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_quota_is_filled(spark, seed):
+    """Quotas of a few slots among large ones, in several arrangements."""
+    quotas = [5, 10, 20, 3, 40_000, 7, 90_000, 1, 0, 33]
+    random.Random(seed).shuffle(quotas)
+    shares = spark.createDataFrame([(k, max(1, q // 2), q) for k, q in enumerate(quotas, 1)], "sid bigint, blocks bigint, quota bigint")
+    plan = mixing.schedule(shares, int(sum(quotas) * mixing.EXTRA) + 64)
+    got = {r["sid"]: (r["n"], r["slots"], r["blocks"]) for r in plan.groupBy("sid").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.count_distinct("block_no").alias("blocks")).collect()}
+    assert got == {k: (q, q, min(q, max(1, q // 2))) for k, q in enumerate(quotas, 1) if q}
