@@ -15,8 +15,16 @@ from mediashoal.storage import small_batches
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def give_back() -> None:
-    """Return freed memory to the system, as Python workers live on after a task."""
+#: What operators keep from task to task, by operator: how to drop it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def give_back(own: str = "") -> None:
+    """Drop what other operators keep, and return freed memory to the system, as Python
+    workers live on after a task."""
+    for name, drop in kept.items():
+        if name != own:
+            drop()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -31,13 +31,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediashoal.llm.arrow import give_back
+from mediashoal.llm.arrow import give_back, kept
 from mediashoal.storage import small_batches
 
 #: Bytes of each of the two generations of a Python worker's cache, and what an entry's
 #: objects and its place in the table take.
 CACHE_BYTES = 96 << 20
 ENTRY = 260
+#: The neighbours of each position at first, for pre-tokens of up to SHORT bytes.
+SHORT = 64
+AFTER, BEFORE = list(range(1, SHORT + 1)), list(range(-1, SHORT - 1))
 #: Longer pre-tokens are not kept.
 CACHE_LENGTH = 64
 
@@ -68,14 +71,19 @@ class Encoder:
         an entry of the queue is stale if it differs. A bucket is a position, or a heap.
         """
         pair, words, starts = self.pairs.get, self.words, self.starts
-        ids = [self.single[b] for b in piece]
+        ids = list(map(self.single.__getitem__, piece))
         n = len(ids)
-        rank_at = [starts[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
-        rank_at.append(-1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        if n <= SHORT:
+            after, before = AFTER[:n], BEFORE[:n]
+        else:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         buckets: dict[int, int | list[int]] = {}
-        summary = 0
-        for i, rank in enumerate(rank_at):
+        rank_at: list[int] = []
+        summary = i = 0
+        left = piece[0]
+        for right in piece[1:]:
+            rank = starts[left << 8 | right]
+            rank_at.append(rank)
             if rank >= 0:
                 if rank not in buckets:
                     buckets[rank] = i
@@ -86,20 +94,24 @@ class Encoder:
                     buckets[rank] = [bucket, i]  # ascending, so a heap
                 else:
                     bucket.append(i)
+            left = right
+            i += 1
+        rank_at.append(-1)
         while summary:
             word = (summary & -summary).bit_length() - 1
             bits = words[word]
-            rank = word << 6 | (bits & -bits).bit_length() - 1
+            low = bits & -bits
+            rank = word << 6 | low.bit_length() - 1
             i = buckets[rank]
-            if isinstance(i, int) or not (bucket := i)[1:]:
+            if i.__class__ is int or len(i) == 1:
                 del buckets[rank]
-                words[word] = bits = bits & bits - 1
+                words[word] = bits = bits ^ low
                 if not bits:
                     summary ^= 1 << word
-                if not isinstance(i, int):
-                    i = bucket[0]
+                if i.__class__ is not int:
+                    i = i[0]
             else:
-                i = heappop(bucket)
+                i = heappop(i)
             if rank_at[i] != rank:
                 continue
             j = after[i]
@@ -211,6 +223,9 @@ def _decoder(data: bytes) -> Decoder:
     return Decoder(data)
 
 
+kept["bpe"] = lambda: (_tokenizer.cache_clear(), _decoder.cache_clear())
+
+
 def _encoded(tokenizer: Tokenizer, texts: list[str | None]) -> pa.ListArray:
     raw = [tokenizer.encode(t) if t else b"" for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int32)
@@ -229,7 +244,7 @@ def _mapped(rows: DataFrame, ranks_path: str, made, schema: str) -> DataFrame:
         columns = made(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns(batch.column(1))], names)
-        give_back()
+        give_back("bpe")
 
     return rows.mapInArrow(run, schema)
 

@@ -175,6 +175,7 @@ def grams(texts: DataFrame) -> DataFrame:
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         chunk, counter, held, size = _Chunk(), _Counter(), [], 0
 
         def done():
@@ -316,6 +317,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     """``(chunk, piece)``: compressed record batches of the rows, the text first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         chunk, pieces, held, size = _Chunk(), [], [], 0
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 

@@ -46,8 +46,8 @@ TILE = 256
 #: Sets that a task remembers to have taken up.
 SEEN = 1 << 16
 #: Rows whose tries go down together, and sketches' words that are compared at once.
-TOGETHER = 1024
-WORDS = 1 << 20
+TOGETHER = 512
+WORDS = 1 << 18
 #: Most bits of a sketch; a smaller one than a set deserves rules out less.
 SKETCH_BITS = 1 << 15
 
@@ -117,6 +117,7 @@ def prints(docs: DataFrame, ident: str, text: str, width: int, seed: int) -> Dat
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         seen: set[int] = set()
         for batch in batches:
             made = []
@@ -185,6 +186,7 @@ def _near(nearest: bool):
                     i, j = i[kept], j[kept]
                 a, b = fp[base + i], fp[base + j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        give_back()
 
     return run
 
