@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashoal.llm import bpe, chat, lines, media, mixing, pii, quality, simhash, urls, warc
+from mediashoal.llm import bpe, chat, lines, media, mixing, pii, quality, repair, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def repaired_digests(conversations: DataFrame) -> DataFrame:
+    made = repair.repair(repair.damage(conversations), copies="copies")
+    lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    return made.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preferences": op1_preferences,
     "op2_simhash": op2_simhash,
@@ -88,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_mix_sources": op10_mix_sources,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,6 +143,52 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
+def _repair_sql() -> str:
+    """From each conversation's last row to its first, for each of four states (before
+    everything, after a turn of the system, user, assistant) the least of texts of a cost
+    (12 digits), an audit, chr(1) and the repaired lines, each after a line feed."""
+    add = lambda c, letter, line, x: (
+        f"lpad((left({x}, 12)::BIGINT + {c})::VARCHAR, 12, '0') || '{letter}' || substr({x}, 13, strpos({x}, chr(1)) - 12) || {line} || substr({x}, strpos({x}, chr(1)) + 1)"
+    )
+    nexts, asked = (3, 3, 4, 3), ("user", "user", "assistant", "user")
+    rows = []
+    for q, (to, role) in enumerate(zip(nexts, asked, strict=True), 1):
+        cut, own = "CASE fault WHEN 'truncated' THEN 3 ELSE 0 END", "chr(10) || role || ':' || text"
+        keep = f"CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN ini = '{role[0]}' THEN {add(cut, 'K', own, f'v[{to}]')}"
+        keep += f" WHEN ini = 's' THEN {add(cut, 'K', own, 'v[2]')} END" if q == 1 else " END"
+        rerole = f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {add(f'3 + {cut}', 'R', f"chr(10) || '{role}:' || text", f'v[{to}]')} END"
+        rows.append(f"least({add(4, 'D', "''", f'v[{q}]')}, {keep}, {rerole})")
+    user, assistant = (f"least(v[{q}], {add(3, 'I', f"chr(10) || '{asked[q - 1]}:'", f'v[{nexts[q - 1]}]')})" for q in (3, 4))
+    first, system = (f"least(v[{q}], {add(3, 'I', "chr(10) || 'user:'", 'u')})" for q in (1, 2))
+    done = "'000000000000' || chr(1)"
+    bit = "xor(xor(c, CASE WHEN j % 8 = 0 THEN ascii(substr(t, j // 8 + 1, 1)) ELSE 0 END) >> 1, CASE WHEN xor(c, CASE WHEN j % 8 = 0 THEN ascii(substr(t, j // 8 + 1, 1)) ELSE 0 END) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"""
+        WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS t FROM conversations),
+        c AS (SELECT *, xor(list_reduce(range(8 * length(t)), lambda c, j: {bit}, 4294967295::BIGINT), 4294967295) % 20 AS k FROM b),
+        d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                     CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+        f AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS ini,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                     row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair
+              FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+        g AS MATERIALIZED (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+        n AS MATERIALIZED (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n_rows, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+              FROM g GROUP BY conv_id),
+        r(conv_id, i, v) AS (
+            SELECT conv_id, n_rows, [{done}, '000000000006II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:', '000000000003I' || chr(1) || chr(10) || 'assistant:', {done}] FROM n
+            UNION ALL SELECT conv_id, i, [{first}, {system}, u, {assistant}] FROM (SELECT *, {user} AS u FROM (
+                SELECT r.conv_id, r.i - 1 AS i, [{", ".join(rows)}] AS v FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i))),
+        o AS (SELECT conv_id, v[1] AS x, strpos(v[1], chr(1)) AS at FROM r WHERE i = 0)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(left(x, 12)::BIGINT, 0) AS cost, coalesce(substr(x, 13, at - 13), '') AS audit,
+               sha256(coalesce(substr(x, at + 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+ORACLE_SQL["op13_conversation_repair"] = _repair_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """With the SQL that holds fitted weights, which takes a second to make."""
     return ORACLE_SQL | {"op7_url_filter": urls.oracle(urls.fitted())}
