@@ -179,10 +179,10 @@ def _repair_sql() -> str:
             SELECT conv_id, n_rows, [{done}, '000000000006II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:', '000000000003I' || chr(1) || chr(10) || 'assistant:', {done}] FROM n
             UNION ALL SELECT conv_id, i, [{first}, {system}, u, {assistant}] FROM (SELECT *, {user} AS u FROM (
                 SELECT r.conv_id, r.i - 1 AS i, [{", ".join(rows)}] AS v FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i))),
-        o AS (SELECT conv_id, v[1] AS x, strpos(v[1], chr(1)) AS at FROM r WHERE i = 0)
+        o AS (SELECT conv_id, v[1] AS x, strpos(v[1], chr(1)) AS pos FROM r WHERE i = 0)
         SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
-               coalesce(illegal, 0) AS illegal, coalesce(left(x, 12)::BIGINT, 0) AS cost, coalesce(substr(x, 13, at - 13), '') AS audit,
-               sha256(coalesce(substr(x, at + 2), '')) AS repaired_sha256
+               coalesce(illegal, 0) AS illegal, coalesce(left(x, 12)::BIGINT, 0) AS cost, coalesce(substr(x, 13, pos - 13), '') AS audit,
+               sha256(coalesce(substr(x, pos + 2), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM a.conv_id"""
 
 
