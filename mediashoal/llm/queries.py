@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashoal.llm import bpe, chat, lines, media, mixing, pii, quality, repair, simhash, urls, warc
+from mediashoal.llm import bpe, chat, codes, lines, media, mixing, pii, quality, repair, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def vector_codes(embeddings: DataFrame) -> DataFrame:
+    trained = codes.train(embeddings)
+    digest = trained.books.digest() if trained.books else None
+    return codes.with_label_error(codes.encode(trained)).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def repaired_digests(conversations: DataFrame) -> DataFrame:
     made = repair.repair(repair.damage(conversations), copies="copies")
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
@@ -98,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_mix_sources": op10_mix_sources,
+    "op12_vector_codes": op12_vector_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -189,6 +200,31 @@ def _repair_sql() -> str:
 ORACLE_SQL["op13_conversation_repair"] = _repair_sql()
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """Each round as two tables: the nearest entry of every part, and the entries moved."""
+    far = lambda k: f"SELECT rid, p.p, e, list_sum(list_transform(list_zip(p.x, b{k}.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS far FROM p JOIN b{k} ON b{k}.p = p.p"
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+        a{k} AS MATERIALIZED (SELECT rid, p, e, far FROM ({far(k)}) QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY far, e) = 1)"""
+        if k < rounds:
+            steps += f""",
+        m{k} AS (SELECT p, e, list(m ORDER BY j) AS x FROM (SELECT p, e, j, floor(sum(c)::DOUBLE / count(*))::BIGINT AS m
+                 FROM (SELECT a.p, a.e, unnest(p.x) AS c, unnest(range(len(p.x))) AS j FROM a{k} a JOIN p USING (rid, p)) GROUP BY p, e, j) GROUP BY p, e),
+        b{k + 1} AS MATERIALIZED (SELECT b{k}.p, b{k}.e, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (p, e))"""
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS ints
+                 FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT rid, p, ints[p * (len(ints) // 8) + 1 : (p + 1) * (len(ints) // 8)] AS x FROM v, range(8) t(p)),
+        b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, ints) - 1 AS e FROM v QUALIFY e < 16) JOIN p USING (rid)){steps},
+        c AS (SELECT string_agg(array_to_string(x, ','), ',' ORDER BY p, e) AS text FROM b{rounds}),
+        r AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha256(text) AS codebooks_sha256 FROM v JOIN r USING (rid), c"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """With the SQL that holds fitted weights, which takes a second to make."""
     return ORACLE_SQL | {"op7_url_filter": urls.oracle(urls.fitted())}
