@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediashoal.llm import bpe, chat, codes, lines, media, mixing, pii, quality, repair, simhash, urls, warc
+from mediashoal.llm import bpe, chat, codes, lines, media, mixing, pii, quality, repair, shards, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+#: Shards before and after.
+OLD_SHARDS, NEW_SHARDS = 32, 40
+
+
+def sharded_digests(docs: DataFrame) -> DataFrame:
+    """Documents in 32 shards by key, moved into 40 of equal bytes, and read back."""
+    moved, _ = shards.reshard(shards.lay_out(docs, OLD_SHARDS, later=NEW_SHARDS), [1] * NEW_SHARDS)
+    text = F.coalesce("row.text", F.lit(""))
+    return moved.read().select(
+        "row.doc_id", "size", F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op11_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_digests(_table(spark, sf_dir, "documents"))
+
+
 def vector_codes(embeddings: DataFrame) -> DataFrame:
     trained = codes.train(embeddings)
     digest = trained.books.digest() if trained.books else None
@@ -108,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_mix_sources": op10_mix_sources,
+    "op11_reshard": op11_reshard,
     "op12_vector_codes": op12_vector_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
