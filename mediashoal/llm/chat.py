@@ -7,11 +7,12 @@ points of the completion, of the assistant's texts and end marks.
 
 Turns of both sides are dealt by ranges of (pair, turn, role, first characters) and sorted,
 so a text moves once, equal turns of two sides stand beside each other, and the common
-prefix ends at the first turn that one side lacks. Each range is read as a stream. A pair
-that goes on in the next range, as one that holds a third of all turns, leaves a part in
-each; these parts, as many as ranges, are put together with their masks moved on by the
-lengths before them. So no pair is sorted or searched in one task; only its finished row,
-which holds its text, is in one place.
+prefix ends at the first turn that one side lacks. Each range is read once, as a stream, and
+what it makes is written: the pairs inside it, and the first and the last, which may go on
+in other ranges, as parts. A pair that holds a third of all turns leaves a part in each of
+its ranges; these parts, as many as ranges, are put together with their masks moved on by
+the lengths before them. So no pair is sorted or searched in one task; only its finished
+row, which holds its text, is in one place.
 
 Nulls: a null pair id is left out, a null turn number comes first, a null role is
 ``unknown``, a null text is empty. A row repeated in one conversation counts once;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from mediashoal.storage import small_batches
+from mediashoal.storage import materialize, small_batches
 
 LEARNED = "assistant"
 END = "<|end|>\n"
@@ -43,7 +44,7 @@ CHOSEN, REJECTED = 1, 2
 HEAD = 64
 SPANS = "array<struct<start:int,end:int>>"
 MADE = f"prompt string, chosen string, rejected string, chosen_mask {SPANS}, rejected_mask {SPANS}, n_common int"
-PARTS = f"part int, differs boolean, common_mask {SPANS}, {MADE}"
+PARTS = f"part int, open boolean, differs boolean, common_mask {SPANS}, {MADE}"
 #: Rows and characters of an output batch.
 OUT_ROWS, OUT_CHARS = 256, 4 << 20
 
@@ -105,8 +106,8 @@ class _Pair:
         return self.common.text(), self.chosen.text(), self.rejected.text(), self.chosen.spans, self.rejected.spans, self.n
 
 
-def _pairs(open_ones: bool, pair: str, schema: str):
-    """Rows of the pairs of a sorted range: those that may go on in another one, or the rest."""
+def _pairs(pair: str, schema: str):
+    """Rows of the pairs of a sorted range; ``open`` ones may go on in another."""
 
     types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(f"{schema}, {PARTS}").fields]
     names = [pair, *[f.name for f in StructType.fromDDL(PARTS).fields]]
@@ -119,20 +120,20 @@ def _pairs(open_ones: bool, pair: str, schema: str):
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        def row():
-            return (key, part, own.differs, own.common.spans, *own.made())
+        def row(is_open):
+            return (key, part, is_open, own.differs, own.common.spans, *own.made())
 
         for batch in batches:
             for k, turn, role, text, sides, without in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own is not None and entry != (k, turn, role, text):
                     own.turn(entry[2], entry[3], adds & ~takes)
-                    if k != key and first == open_ones:
+                    if k != key:
                         size += own.common.size + own.chosen.size + own.rejected.size
-                        out.append(row())
+                        out.append(row(first))
                         if len(out) >= OUT_ROWS or size >= OUT_CHARS:
                             yield batch_of(out)
                             out, size = [], 0
-                    first = first and k == key
+                        first = False
                 if own is None or k != key:
                     key, own = k, _Pair()
                 if entry != (k, turn, role, text):
@@ -141,8 +142,7 @@ def _pairs(open_ones: bool, pair: str, schema: str):
                 takes |= without
         if own is not None:
             own.turn(entry[2], entry[3], adds & ~takes)
-            if open_ones:
-                out.append(row())
+            out.append(row(True))
         if out:
             yield batch_of(out)
 
@@ -170,7 +170,8 @@ def format_turns(rows: DataFrame, pair: str = "pair_id") -> DataFrame:
     small_batches(rows.sparkSession)
     kind = f"`{pair}` {rows.schema['pair'].dataType.simpleString()}"
     dealt = rows.repartitionByRange("pair", "turn", "role", F.substring("text", 1, HEAD)).sortWithinPartitions("pair", "turn", "role", "text")
-    whole, parts = (dealt.mapInArrow(_pairs(x, pair, kind), f"{kind}, {PARTS}") for x in (False, True))
+    # written once: both halves below are of the same ranges, however Spark plans them
+    found = materialize(dealt.mapInArrow(_pairs(pair, kind), f"{kind}, {PARTS}"), "pairs")
     wanted = [f.name for f in StructType.fromDDL(f"{kind}, {MADE}").fields]
     types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(f"{kind}, {MADE}").fields]
 
@@ -180,8 +181,8 @@ def format_turns(rows: DataFrame, pair: str = "pair_id") -> DataFrame:
             own.go_on(part)
         return pa.table([pa.array([x], t) for x, t in zip((key[0].as_py(), *own.made()), types, strict=True)], wanted)
 
-    joined = parts.groupBy(pair).applyInArrow(together, f"{kind}, {MADE}")
-    return whole.select(wanted).unionAll(joined)
+    joined = found.where("open").groupBy(pair).applyInArrow(together, f"{kind}, {MADE}")
+    return found.where("not open").select(wanted).unionAll(joined)
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

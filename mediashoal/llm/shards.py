@@ -29,6 +29,7 @@ import heapq
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +71,10 @@ class Layout:
         return out
 
     def files(self) -> DataFrame:
-        """``(block, row, size, at)`` of all files, also of blocks no longer in the layout."""
-        read = [self.spark.read.schema(f"row {self.schema}, size bigint, block int").parquet(p) for p in self.paths]
-        out = read[0]
-        for more in read[1:]:
-            out = out.unionAll(more)
-        return out
+        """``(row, size, block, at)`` of all files, also of blocks no longer in the layout."""
+        read = self.spark.read.schema(f"row {self.schema}, size bigint, block int")
+        parts = [read.parquet(p).select("row", "size", "block", F.col("_metadata.row_index").alias("at")) for p in self.paths]
+        return reduce(DataFrame.unionAll, parts)
 
     def read(self) -> DataFrame:
         """``(row, size, shard, slot)``."""
@@ -84,15 +83,8 @@ class Layout:
             entries.append((b.ident, b.shard, first.get(b.shard, 0)))
             first[b.shard] = first.get(b.shard, 0) + b.rows
         table = self.spark.createDataFrame(entries, "block int, shard int, first bigint")
-        parts = [
-            self.spark.read.schema(f"row {self.schema}, size bigint, block int").parquet(p).select("row", "size", "block", F.col("_metadata.row_index").alias("at"))
-            for p in self.paths
-        ]
-        rows = parts[0]
-        for more in parts[1:]:
-            rows = rows.unionAll(more)
         # at most MOST_BLOCKS entries of 16 bytes
-        return rows.join(F.broadcast(table), "block").select("row", "size", "shard", (F.col("first") + F.col("at")).alias("slot"))
+        return self.files().join(F.broadcast(table), "block").select("row", "size", "shard", (F.col("first") + F.col("at")).alias("slot"))
 
 
 @dataclass
@@ -291,9 +283,8 @@ def reshard(layout: Layout, weights: Sequence[int], cost: np.ndarray | None = No
             old[b.shard].append(b)
     singles = []
     if layout.large:  # at most LARGE rows a shard
-        for path in layout.paths:
-            found = spark.read.schema("size bigint, block int").parquet(path).where(F.col("block").isin(sorted(layout.large)))
-            singles += [(by_id[r["block"]].shard, r["block"], r["at"], r["size"]) for r in found.select("block", "size", F.col("_metadata.row_index").alias("at")).collect()]
+        found = layout.files().where(F.col("block").isin(sorted(layout.large))).select("block", "size", "at").collect()
+        singles = [(by_id[r["block"]].shard, r["block"], r["at"], r["size"]) for r in found]
     made = plan(old, singles, weights, cost)
     pieces, blocks, large = {}, [], set()
     number = max(by_id, default=-1) + 1
@@ -324,14 +315,7 @@ def reshard(layout: Layout, weights: Sequence[int], cost: np.ndarray | None = No
             to = [one_by_one[block, at] for at in group.column("at").to_pylist()]
         return pa.table({"row": group.column("row"), "size": group.column("size"), "block": pa.array([new[block, int(t)] for t in to], pa.int32())})
 
-    parts = [
-        spark.read.schema(f"row {layout.schema}, size bigint, block int").parquet(p).where(F.col("block").isin(affected)).select("row", "size", "block", F.col("_metadata.row_index").alias("at"))
-        for p in layout.paths
-    ]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionAll(more)
-    written = rows.groupBy("block").applyInArrow(split, f"row {layout.schema}, size bigint, block int")
+    written = layout.files().where(F.col("block").isin(affected)).groupBy("block").applyInArrow(split, f"row {layout.schema}, size bigint, block int")
     path = _write(written, "shards", _tasks(spark, sum(by_id[b].bytes for b in affected)))
     owner = {n: to for (_, to), n in pieces.items()}
     blocks += [Block(b, owner[b], n, x) for b, n, x in _measured(spark, path)]

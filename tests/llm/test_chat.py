@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mediashoal.llm import chat
 from tests.llm.docs import clashing
@@ -57,13 +58,31 @@ def test_a_pair_is_one_row_over_many_ranges(spark):
     rejected = [(p, t, r, x + "!" if (p, t) in ((2, 400 * 5000), (4, 5000), (5, 0)) else x) for p, t, r, x in chosen]
     a, b = (spark.createDataFrame(x, KIND).repartition(5) for x in (chosen, rejected))
     spark.conf.set("spark.sql.shuffle.partitions", "9")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = chat.format_preferences(a, b)
         assert got.count() == 5 and result(got) == brute(chosen, rejected)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("share, ranges", [(3, "200"), (2, "200"), (3, "16")])
+def test_a_hot_pair_of_some_megabytes(spark, share, ranges):
+    """Spark puts ranges together as it likes; each pair comes once, with all of its turns."""
+    n = 10_000
+    hot = n * 6 // share
+    text = "concat('turn ', t, ' of ', pair_id, repeat(' and more words', 10))"
+    small = spark.range(n).selectExpr("id + 1 AS pair_id", "explode(sequence(0, 5)) AS t")
+    one = spark.range(hot).selectExpr("5000L + 0 * id AS pair_id", "cast(id + 100 AS int) AS t")
+    a = small.unionAll(one).selectExpr("pair_id", "cast(t AS bigint) AS turn", "if(t % 2 = 0, 'user', 'assistant') AS role", f"{text} AS text")
+    b = a.withColumn("text", F.when(F.col("turn") == 5, "another end").otherwise(F.col("text")))
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = chat.format_preferences(a, b).selectExpr("pair_id", "n_common", "size(chosen_mask) AS learned").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert sorted(r["pair_id"] for r in got) == list(range(1, n + 1))
+    assert {(r["n_common"], r["learned"]) for r in got if r["pair_id"] != 5000} == {(5, 1)}
+    assert next((r["n_common"], r["learned"]) for r in got if r["pair_id"] == 5000) == (5, 1 + hot // 2)
 
 
 def test_far_turn_numbers_and_many_rows_of_one(spark):
