@@ -143,9 +143,12 @@ def _(v):
     return kernels.embedding_counters(made)
 
 
-@query("models", "SELECT 'local' AS provider, 'hash' AS model")
+@query("models", "SELECT model, CASE model WHEN 'hash' THEN 'local' END AS provider, count(*) AS vectors FROM (SELECT CASE model WHEN 'even' THEN 'hash' ELSE model END AS model FROM vectors) GROUP BY model")
 def _(v):
-    return v.spark.createDataFrame(kernels.list_models("local"), "provider string, model string")
+    """The models of the catalog's vectors, and who provides them."""
+    known = v.spark.createDataFrame(kernels.list_models("local"), "provider string, model string")
+    used = v.vectors.select(F.when(F.col("model") == "even", "hash").otherwise(F.col("model")).alias("model"))
+    return used.groupBy("model").agg(F.count("*").alias("vectors")).join(known, "model", "left").select("model", "provider", "vectors")
 
 
 @query("semantic_text", f"SELECT v.media_item_id AS id, round(list_cosine_similarity(vector::DOUBLE[], q), 6) AS score FROM vectors v, {_Q} JOIN media m ON m.id = v.media_item_id WHERE v.model = 'even' AND {_LISTED} ORDER BY list_cosine_similarity(vector::DOUBLE[], q) DESC, v.media_item_id LIMIT 20")
@@ -153,9 +156,15 @@ def _(v):
     return vector_search.search_semantic_text(v.media, v.vectors, "a beach", lambda _: _seed(v), "even", 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query("semantic_text_without_vectors", "SELECT id, CAST(0 AS DOUBLE) AS score FROM media WHERE false")
+@query("semantic_text_without_vectors", f"SELECT v.media_item_id AS id, round(list_cosine_similarity(vector::DOUBLE[], q), 6) AS score FROM vectors v, {_Q} JOIN media m ON m.id = v.media_item_id WHERE v.model = 'odd' AND {_LISTED} ORDER BY list_cosine_similarity(vector::DOUBLE[], q) DESC, v.media_item_id LIMIT 20")
 def _(v):
-    return vector_search.search_semantic_text(v.media, v.vectors, "a beach", lambda _: _seed(v), "none", 20).select("id", "score")
+    """Of two models, the one without a vector is not asked to embed the text and adds nothing."""
+
+    def never(_):
+        raise AssertionError("embedded")
+
+    hits = [vector_search.search_semantic_text(v.media, v.vectors, "a beach", e, m, 20) for e, m in ((never, "none"), (lambda _: _seed(v), "odd"))]
+    return hits[0].unionAll(hits[1]).select("id", F.round("score", 6).alias("score"))
 
 
 @query("scores_of_one_size", f"SELECT id, round(list_cosine_similarity(vector::DOUBLE[], q), 6) AS score FROM vectors, {_Q} WHERE model = 'even'")
@@ -267,6 +276,7 @@ _NAMES = "('" + "','".join(rules.EXCLUDED_NAMES) + "')"
 _BAD = lambda parts: f"len(list_filter({parts}, lambda p: starts_with(p, '.') OR lower(p) IN {_NAMES})) > 0"
 _IMAGE = "('" + "','".join(rules.IMAGE_EXTENSIONS) + "')"
 _EXT = "lower(regexp_extract(path, '\\.([^./]*)$', 1))"
+_EMPTY = "used AS MATERIALIZED (SELECT parent AS path FROM entries UNION SELECT path FROM entries WHERE error IS NOT NULL), hollow AS MATERIALIZED (SELECT e.path FROM entries e ANTI JOIN used u ON u.path = e.path WHERE e.is_dir AND e.error IS NULL)"
 _TILE = f"(starts_with(lower(regexp_extract(path, '[^/]*$')), 'facetile') AND {_EXT} IN {_IMAGE})"
 
 
@@ -280,7 +290,7 @@ def _(v):
     return files.ignored_files(v.entries)
 
 
-@query("empty_folders", "SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM entries WHERE is_dir AND error IS NULL AND path NOT IN (SELECT parent FROM entries) AND path NOT IN (SELECT path FROM entries WHERE error IS NOT NULL)")
+@query("empty_folders", f"WITH {_EMPTY} SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM hollow")
 def _(v):
     return files.empty_folders(v.entries).select("path", F.size(F.split("path", "/")).alias("depth"))
 
@@ -296,9 +306,9 @@ def _(v):
     return v.table("documents").select(F.col("doc_id").alias("id"), rules.clean_path(raw).alias("path"))
 
 
-@query("conversion_keys", "SELECT id, sha256(path || '|' || size_bytes || '|' || modified_at) AS key FROM media WHERE modified_at IS NOT NULL")
+@query("conversion_keys", "SELECT id, sha256(path || '|' || coalesce(CAST(size_bytes AS VARCHAR), '') || '|' || coalesce(CAST(modified_at AS VARCHAR), '')) AS key FROM media")
 def _(v):
-    return v.media.where("modified_at is not null").select("id", files.conversion_key(F.col("path"), F.col("size_bytes"), F.col("modified_at")).alias("key"))
+    return v.media.select("id", files.conversion_key(F.col("path"), F.col("size_bytes"), F.col("modified_at")).alias("key"))
 
 
 @query("display_paths", "SELECT id, CASE WHEN NOT missing AND path LIKE '%.HEIC' THEN path || '.jpg' END AS display_path, CASE WHEN path LIKE '%.HEIC' THEN path || '.jpg' ELSE path END AS shown_path FROM media")
@@ -430,10 +440,11 @@ def _(v):
 _SCOPE = f"SELECT * FROM ({_FILES}) f WHERE path IN (SELECT path FROM media WHERE {_LISTED})"
 _PLAN = f"""x AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, row_number() OVER ({_KEEP}) AS rn, first_value(path) OVER ({_KEEP}) AS keep_path FROM ({_SCOPE})),
     g AS (SELECT keep_path, 'exact-' || row_number() OVER (ORDER BY keep_path) AS group_id FROM x WHERE rn = 1 AND n > 1),
-    w AS (SELECT x.*, 640 * 480 AS px FROM x JOIN cleanup c ON c.path = x.path AND c.size_bytes IS NOT DISTINCT FROM x.size_bytes AND c.modified_at IS NOT DISTINCT FROM x.modified_at WHERE n = 1 AND c.ahash IS NOT NULL),
-    k AS (SELECT first_value(path) OVER (ORDER BY coalesce({_DATE}, 9223372036854775807), coalesce(size_bytes, 0) DESC, path) AS keep_path, path, size_bytes, count(*) OVER () AS m FROM w),
+    w AS (SELECT x.*, c.ahash, c.phash, c.dhash, left(c.phash, 1) AS far FROM x JOIN cleanup c ON c.path = x.path AND c.size_bytes IS NOT DISTINCT FROM x.size_bytes AND c.modified_at IS NOT DISTINCT FROM x.modified_at WHERE n = 1 AND c.ahash IS NOT NULL),
+    k AS (SELECT first_value(path) OVER (PARTITION BY ahash, far ORDER BY coalesce({_DATE}, 9223372036854775807), coalesce(size_bytes, 0) DESC, path) AS keep_path, path, size_bytes,
+        count(*) OVER (PARTITION BY ahash, far) AS m, bit_count(xor(('0x' || phash)::UBIGINT, ('0x' || arg_min(phash, path) OVER (PARTITION BY ahash, far))::UBIGINT)) AS bits, ahash, far FROM w),
     members AS (SELECT group_id, 'exact-image' AS kind, x.path, x.size_bytes, x.keep_path, CAST(NULL AS INTEGER) AS score FROM x JOIN g ON g.keep_path = x.keep_path WHERE n > 1
-        UNION ALL SELECT 'visual-1', 'visual-image', path, size_bytes, keep_path, 0 FROM k WHERE m > 1)"""
+        UNION ALL SELECT 'visual-' || dense_rank() OVER (ORDER BY keep_path), 'visual-image', path, size_bytes, keep_path, CAST(max(bits) OVER (PARTITION BY ahash, far) AS INTEGER) FROM k WHERE m > 1)"""
 
 
 def _plan(v: Views) -> cleanup.CleanupPlan:
@@ -447,7 +458,6 @@ def _(v):
 
 
 _IGNORED = f"ignored AS (SELECT path, size_bytes FROM entries WHERE NOT is_dir AND error IS NULL AND ({_BAD(_BELOW)} OR {_TILE}))"
-_EMPTY = "hollow AS (SELECT path FROM entries WHERE is_dir AND error IS NULL AND path NOT IN (SELECT parent FROM entries) AND path NOT IN (SELECT path FROM entries WHERE error IS NOT NULL))"
 
 
 @query(
@@ -468,7 +478,8 @@ def _(v):
     allowed AS (SELECT path, max(coalesce(size_bytes, 0)) AS size_bytes FROM (SELECT path, size_bytes FROM members UNION ALL SELECT path, size_bytes FROM ignored) GROUP BY path)
     SELECT a.path, 'delete-file' AS action, w.path IS NOT NULL AS accepted, CASE WHEN w.path IS NOT NULL THEN 'planned' ELSE 'refusing unplanned file deletion: ' || a.path END AS reason, coalesce(w.size_bytes, 0) AS size_bytes
     FROM asked a LEFT JOIN allowed w ON w.path = a.path
-    UNION ALL SELECT path, 'delete-folder', path IN (SELECT path FROM hollow), CASE WHEN path IN (SELECT path FROM hollow) THEN 'planned' ELSE 'refusing unplanned folder deletion: ' || path END, 0 FROM entries WHERE is_dir AND error IS NULL""",
+    UNION ALL SELECT e.path, 'delete-folder', h.path IS NOT NULL, CASE WHEN h.path IS NOT NULL THEN 'planned' ELSE 'refusing unplanned folder deletion: ' || e.path END, 0
+    FROM entries e LEFT JOIN hollow h ON h.path = e.path WHERE e.is_dir AND e.error IS NULL""",
 )
 def _(v):
     plan = _plan(v)
@@ -494,16 +505,21 @@ def _(v):
     UNION ALL SELECT id, path, size_bytes, 1500000000 FROM media WHERE path NOT IN (SELECT path FROM listing)""",
 )
 def _(v):
-    listing = v.listing
+    """Two sources with streams of their own; each is run again with nothing new."""
+    listing, new = v.listing, F.col("path").endswith(".new.jpg")
     catalog = _catalog(v, media_items=v.media.drop("content").withColumn("imported_at", F.lit(1500000000)))
-    source = fresh_path(v.spark, "listings")
-    listing.coalesce(1).write.parquet(f"{source}/1")
-    for _ in range(2):  # the second run finds nothing new
-        ingest.ingest_listings(catalog, f"{source}/*", listing.schema, fresh_path(v.spark, "stream"))
+    sources, streams = [fresh_path(v.spark, "listings") for _ in range(2)], [fresh_path(v.spark, "stream") for _ in range(2)]
+    for source, rows in zip(sources, (listing.where(~new), listing.where(new)), strict=True):
+        rows.write.parquet(f"{source}/1")
+    for source, stream in [*zip(sources, streams, strict=True)] * 2:
+        ingest.ingest_listings(catalog, f"{source}/*", listing.schema, stream)
     return catalog.read("media_items").select("id", "path", "size_bytes", "imported_at")
 
 
 @query("stream_progress", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS last_id FROM events GROUP BY event_type")
 def _(v):
-    events = v.table("events").select("event_id", "event_type", "user_id")
-    return ingest.stream_progress(v.spark, f"{v.directory}/event[s].parquet", events.schema, fresh_path(v.spark, "stream"))
+    """Run again from the same checkpoint, which has nothing new."""
+    events, checkpoint = v.table("events").select("event_id", "event_type", "user_id"), fresh_path(v.spark, "stream")
+    for _ in range(2):
+        counted = ingest.stream_progress(v.spark, f"{v.directory}/event[s].parquet", events.schema, checkpoint)
+    return counted

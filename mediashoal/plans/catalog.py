@@ -60,13 +60,14 @@ class Catalog:
         self._seen[name] = path
         return self.spark.read.schema(TABLES[name]).parquet(path)
 
-    def commit(self, name: str, df: DataFrame, batch: int | None = None) -> None:
+    def commit(self, name: str, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
         self.commit_all({name: df}, batch)
 
-    def commit_all(self, tables: dict[str, DataFrame], batch: int | None = None) -> None:
+    def commit_all(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
         """Writes the next snapshots, then moves the one pointer by one rename, so all
         tables change or none. Refused if another writer has replaced a snapshot that
-        this catalog has read; the new snapshots are then left to ``vacuum``.
+        this catalog has read; the new snapshots are then left to ``vacuum``. ``batch``: the
+        stream and its batch that the change holds.
         """
         paths = {name: f"{self.root}/{name}/snapshot-{uuid.uuid4().hex}" for name in tables}
         for name, df in tables.items():
@@ -76,7 +77,7 @@ class Catalog:
             if name in self._seen and name in current and self._seen[name] != current[name]["path"]:
                 raise CatalogError(f"{name} was changed meanwhile; read it again")
         for name, path in paths.items():
-            current[name] = {"path": path, "batch": current.get(name, {"batch": -1})["batch"] if batch is None else batch}
+            current[name] = {"path": path, "batches": current.get(name, {}).get("batches", {}) | (dict([batch]) if batch else {})}
         fs, target = self._fs(f"{self.root}/current.json")
         _, draft = self._fs(f"{self.root}/draft-{uuid.uuid4().hex}.json")
         stream = fs.create(draft)
@@ -105,8 +106,9 @@ class Catalog:
                     gone += bool(fs.delete(status.getPath(), True))
         return gone
 
-    def last_batch(self, name: str = "media_items") -> int:
-        return self._current()[name]["batch"]
+    def last_batch(self, stream: str, name: str = "media_items") -> int:
+        """The last batch of a stream that the table has; -1 if none."""
+        return self._current()[name]["batches"].get(stream, -1)
 
     def drop(self) -> None:
         """The catalog's own folder only, never a media file."""

@@ -213,8 +213,9 @@ def convert(files: DataFrame, folder: str, encode: Callable[[bytes], bytes]) ->
 
 
 def conversion_key(path: Column, size: Column, modified_ns: Column) -> Column:
-    """Name of a cached conversion."""
-    return F.sha2(F.concat_ws("|", path, size.cast("string"), modified_ns.cast("string")).cast("binary"), 256)
+    """Name of a cached conversion; what is not known has a place of its own."""
+    known = [F.coalesce(c.cast("string"), F.lit("")) for c in (path, size, modified_ns)]
+    return F.sha2(F.concat(known[0], F.lit("|"), known[1], F.lit("|"), known[2]).cast("binary"), 256)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:

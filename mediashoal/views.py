@@ -40,7 +40,8 @@ SELECT l.doc_id AS media_item_id, 'embeddings' AS processor, 'clip' AS model, CA
 CLEANUP = """
 SELECT m.path, CASE WHEN m.id % 10 = 0 THEN m.size_bytes + 1 ELSE m.size_bytes END AS size_bytes, m.modified_at,
  CASE WHEN l.quality = 1 THEN SHA(m.content) END AS sha256, CASE WHEN l.toxic = 0 THEN CAST(640 AS BIGINT) END AS width, CASE WHEN l.toxic = 0 THEN CAST(480 AS BIGINT) END AS height,
- CASE WHEN l.toxic = 0 THEN 'ff00' END AS ahash, CASE WHEN l.toxic = 0 THEN '0f0f' END AS dhash, CASE WHEN l.toxic = 0 THEN '00ff' END AS phash,
+ CASE WHEN l.toxic = 0 THEN lpad(CAST(m.size_bytes % 7 AS STRING), 4, '0') END AS ahash, CASE WHEN l.toxic = 0 THEN '0f0f' END AS dhash,
+ CASE WHEN l.toxic = 0 THEN CASE WHEN m.id % 5 = 0 THEN 'ffff' ELSE lpad(CAST(m.id % 4 AS STRING), 4, '0') END END AS phash,
  CAST(1700000000 + m.id AS BIGINT) AS updated_at FROM labels l JOIN media m ON m.id = l.doc_id"""
 
 #: Fingerprints from the signs of vectors: few ahash buckets, near hashes inside them.
@@ -104,6 +105,6 @@ def with_views(query: str) -> str:
         if _used(text, name) or f", {name} " in text:
             needed.insert(0, name)
             text += _VIEWS[name]
-    ctes = ", ".join(f"{n} AS ({_VIEWS[n]})" for n in sorted(needed, key=list(_VIEWS).index)).replace("SHA(m.content)", "sha256(m.content)")
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n == 'entries' else ''}({_VIEWS[n]})" for n in sorted(needed, key=list(_VIEWS).index)).replace("SHA(m.content)", "sha256(m.content)")
     own = f", {query[5:]}" if query.startswith("WITH ") else f" {query}"
     return f"WITH RECURSIVE {ctes}{own}" if ctes else query

@@ -1,4 +1,5 @@
 import os
+import shutil
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from mediashoal.plans import cleanup
 from mediashoal.plans.catalog import Catalog, CatalogError
 from mediashoal.schemas import CLEANUP_CACHE, EMBEDDINGS, FACES, MEDIA, TABLES
 from mediashoal.sources.kernels import HashEmbedder
-from mediashoal.streaming.ingest import ProgressTable, ingest_listings, progress_counts
+from mediashoal.streaming.ingest import ProgressState, ProgressTable, _stream_id, ingest_listings, progress_counts, stream_progress
 
 
 @pytest.fixture
@@ -132,11 +133,40 @@ def test_stream_equals_batch(spark, catalog, tmp_path):
     spark.streams.removeListener(listener)
     assert seen == [(0, {"new": 2}), (1, {"changed": 1, "new": 1})]
     assert sorted((r["path"], r["size_bytes"]) for r in catalog.read("media_items").collect()) == [("/a", 1), ("/b", 2), ("/c", 2)]
-    assert catalog.last_batch() == 1 and listener.table(spark).where("event = 'progress'").count() >= 2
+    assert catalog.last_batch(_stream_id(spark, f"{tmp_path}/check")) == 1 and listener.table(spark).where("event = 'progress'").count() >= 2
     events = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 2)], "event_id bigint, event_type string, user_id bigint")
     assert progress_counts(events).where("event_type = 'a'").first()["users"] == 1
 
 
+def test_sources_with_streams_of_their_own(spark, catalog, tmp_path):
+    """Batch 0 of a second stream, of a new checkpoint in an old place too, is no repeat of the first's."""
+    schema = listed(spark, "/x").schema
+    for k, path in enumerate(("/a", "/b", "/c")):
+        listed(spark, path).write.parquet(f"{tmp_path}/in{k}/1")
+        ingest_listings(catalog, f"{tmp_path}/in{k}/*", schema, f"{tmp_path}/check{k % 2}-{k}")
+    assert {r["path"] for r in catalog.read("media_items").collect()} == {"/a", "/b", "/c"}
+    catalog.person("Ann")  # other commits keep what streams have done
+    before = catalog.read("media_items").inputFiles()
+    shutil.rmtree(f"{tmp_path}/check0-0/commits")  # as after a failure between the commit and Spark's own note
+    ingest_listings(catalog, f"{tmp_path}/in0/*", schema, f"{tmp_path}/check0-0")
+    assert catalog.read("media_items").inputFiles() == before
+
+
+def test_progress_survives_restarts_and_empty_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ProgressState, "EVERY", 3)
+    schema = "event_id bigint, event_type string, user_id bigint"
+    rows, seen = [], []
+    for k in range(8):
+        new = [(10 * k + j, "ab"[j % 2], (k * j) % 3) for j in range(4)] + [(1000 - k, "late", None)]
+        rows += new
+        spark.createDataFrame(new, schema).coalesce(1).write.parquet(f"{tmp_path}/events/{k}")
+        for _ in range(1 + k % 2):
+            got = stream_progress(spark, f"{tmp_path}/events/*", spark.createDataFrame([], schema).schema, f"{tmp_path}/check")
+            seen.append(sorted(map(tuple, got.collect())))
+            assert seen[-1] == sorted(map(tuple, progress_counts(spark.createDataFrame(rows, schema)).collect()))
+    assert len(seen) == 12
+
+
 def test_writers_do_not_overwrite_each_other(spark, catalog, tmp_path):
     other = Catalog(spark, catalog.root)
     catalog.person("Ann")
