@@ -1,68 +1,81 @@
-"""Clusters of similar vectors: an exact self-join by tiles, then components.
+"""Clusters of similar vectors: an exact self-join in cells around pivots, then components.
 
-Vectors are dealt into ``n`` blocks; each pair of blocks is one group, multiplied as
-matrices, so a task holds two blocks whatever the table's size. Only pairs at or over
-the threshold leave a task, and for clusters only a spanning forest of them.
+Equal vectors are one class from the start, so a vector that a third of all rows share is
+compared once. A class visits only the cells whose bounds allow a match (``pivots``), and of
+two cells one visits the other; tiles of blocks are multiplied as matrices, so a task
+holds two blocks whatever the table's size. Only pairs at or over the threshold leave a
+task, and for clusters only a spanning forest of them.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediashoal.operators import pivots
 from mediashoal.operators.graph import connected_components, spanning_labels
 from mediashoal.operators.ranking import ordered_index
 from mediashoal.schemas import FACE_THRESHOLD
+from mediashoal.storage import materialize
 
-BLOCK_ROWS = 4096
-LEAST_BLOCKS = 4
+PAIR = "a bigint, b bigint, score double"
+#: Visitors whose scores are in memory at once.
+CHUNK = 512
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector", block_rows: int = BLOCK_ROWS, forest: bool = False) -> DataFrame:
-    """``(a, b, score)`` with a < b and cosine at or over the threshold (over zero).
+def similar_pairs(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector", block_rows: int | None = None, forest: bool = False, met: list[pivots.Met] | None = None, cell_rows: int | None = None) -> DataFrame:
+    """``(a, b, score)`` with a < b and cosine at or over the threshold (over zero), between the
+    least ids of equal vectors; ``pivots.members`` has the membership. Vectors of different
+    sizes, without a direction or with numbers that are not finite match none.
 
     With ``forest``, of each tile a spanning forest of such pairs: each id with the least
     one of its component there, whose own score may be lower (and is not given).
     """
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    n = max(LEAST_BLOCKS, math.ceil(rows.count() / block_rows))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    low = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = blocks.select("id", "v", "block", F.explode(low).alias("t")).select("id", "v", "block", "t.i", "t.j")
+    rows = pivots.classes(vectors, ident, vector)
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + pivots.SLACK
 
-    def tile(group: pa.Table) -> pa.Table:
-        ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
-        lists = group.column("v").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy()
-        ends = np.cumsum(sizes)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        found = []
-        for size in np.unique(sizes):  # vectors of different sizes are never compared
-            at = np.flatnonzero(sizes == size)
-            m = flat[(ends[at] - size)[:, None] + np.arange(size)] if size else np.zeros((len(at), 0))
-            length = np.sqrt((m * m).sum(1))
-            m = m / np.where(length > 0, length, 1)[:, None]
-            left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
-            scores = m[left] @ m[right].T
-            x, y = np.nonzero((scores >= threshold) & ((length[left] > 0)[:, None] & (length[right] > 0)[None, :]))
+    def wanted(a: np.ndarray, more: dict[str, np.ndarray], cells: pivots.Cells) -> np.ndarray:
+        own = more["own"][:, None]
+        other = np.arange(a.shape[1])[None]
+        # also at least half the difference of the angles to both pivots, as the other is nearer to its own
+        reached = (cells.least(a) <= reach) & ((a - more["a"][:, None]) / 2 <= reach)
+        return (own == other) | (reached & ((own < other) == ((own + other) % 2 == 0)))
+
+    def kernel(visitors: pa.Table, home: pa.Table) -> pa.Table:
+        ids, there, own = visitors.column("id").to_numpy(), home.column("id").to_numpy(), visitors.column("own").to_numpy()
+        x, y = pivots.unit(pivots.matrix(visitors.column("v"))), pivots.unit(pivots.matrix(home.column("v")))
+        same, found = home.column("own").to_numpy(), []
+        for first in range(0, len(x), CHUNK):
+            scores = x[first : first + CHUNK] @ y.T
+            i, j = np.nonzero(scores >= threshold)
+            s, i = scores[i, j], i + first
+            keep = (own[i] != same[j]) | (ids[i] < there[j])
+            i, j, s = i[keep], j[keep], s[keep]
+            a, b = np.minimum(ids[i], there[j]), np.maximum(ids[i], there[j])
             if forest:
-                own, where = np.unique(np.concatenate([ids[at[left[x]]], ids[at[right[y]]]]), return_inverse=True)
-                label = spanning_labels(len(own), where[: len(x)], where[len(x) :])
-                moved = np.flatnonzero(label != np.arange(len(own)))
-                found.append((own[label[moved]], own[moved], np.full(len(moved), np.nan)))
-                continue
-            a, b = ids[at[left[x]]], ids[at[right[y]]]
-            keep = a < b if i == j else a != b
-            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], scores[x, y][keep]))
-        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+                known, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+                label = spanning_labels(len(known), where[: len(a)], where[len(a) :])
+                moved = np.flatnonzero(label != np.arange(len(known)))
+                a, b, s = known[label[moved]], known[moved], np.full(len(moved), np.nan)
+            found.append((a, b, s))
+        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": a, "b": b, "score": s})
 
-    return dealt.groupBy("i", "j").applyInArrow(tile, "a bigint, b bigint, score double")
+    pairs = []
+    for r in rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).collect():
+        same_size = rows.where(F.size("v") == r["size"])
+        chosen = pivots.choose(same_size, pivots.pivots_for(r["n"], cell_rows))
+        home = materialize(pivots.assign(same_size, chosen).withColumn("own", F.col("cell")), "cells")
+        visitors = pivots.visits(home.drop("cell"), pivots.cells_of(home, chosen), wanted, ("own", "a")).drop("a")
+        counts = pivots.Met()
+        pairs.append(pivots.meet(home.select("id", "v", "own", "cell"), visitors, kernel, PAIR, block_rows, counts))
+        if met is not None:
+            met.append(counts)
+    return reduce(DataFrame.unionAll, pairs) if pairs else vectors.sparkSession.createDataFrame([], PAIR)
 
 
 def clusters(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector") -> DataFrame:
@@ -70,6 +83,8 @@ def clusters(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str =
     edges = similar_pairs(vectors, threshold, ident, vector, forest=True)
     found = connected_components(edges, "a", "b")
     ids = vectors.select(F.col(ident).cast("bigint").alias("id"))
-    named = ids.join(found, ids["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
+    own = pivots.members(vectors.where(pivots.directed(F.col(vector))), ident, vector).select("id", "first")
+    linked = own.join(found, own["first"] == found["node"], "left").select("id", F.coalesce("component", "first").alias("component"))
+    named = materialize(ids.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "clustered")
     numbers = ordered_index(named.select("component").distinct(), "component", name="cluster_id")
     return named.join(numbers, "component").select("id", "component", "cluster_id")

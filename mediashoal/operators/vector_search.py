@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediashoal.functions.vectors import cosine_to
+from mediashoal.operators.pivots import PivotIndex
 from mediashoal.plans.filters import listed
 
 K_DEFAULT, K_MOST = 50, 200
@@ -23,23 +24,33 @@ def scores(vectors: DataFrame, query: list[float], ident: str = "media_item_id",
 
 
 def best(scored: DataFrame, k: int | None = None, ident: str = "media_item_id") -> DataFrame:
-    n = min(max(K_DEFAULT if k is None else k, 1), K_MOST)
-    return scored.orderBy(F.col("score").desc(), ident).limit(n)
+    return scored.orderBy(F.col("score").desc(), ident).limit(_most(k))
+
+
+def _most(k: int | None) -> int:
+    return min(max(K_DEFAULT if k is None else k, 1), K_MOST)
 
 
 def search_semantic(
-    media: DataFrame, embeddings: DataFrame, query: list[float], k: int | None = None, model: str | None = None, pre_filter: DataFrame | None = None
+    media: DataFrame, embeddings: DataFrame | None, query: list[float], k: int | None = None, model: str | None = None, pre_filter: DataFrame | None = None, index: PivotIndex | None = None
 ) -> DataFrame:
     """Media with scores, best first. Missing media are included, and without a model a
-    media item may come once for each of its models. ``pre_filter``: ids to search in.
+    media item may come once for each of its models. ``pre_filter``: ids to search in;
+    ``index``: of the embeddings, to skip what can't be among the best.
     """
-    rows = embeddings.where(F.col("media_item_id").isNotNull())
-    if model is not None:
-        rows = rows.where(F.col("model") == model)
     scope = media.where(listed()).select(F.col("id").alias("media_item_id"))
     if pre_filter is not None:
         scope = scope.join(pre_filter.select(F.col("id").alias("media_item_id")), "media_item_id", "left_semi")
-    hits = best(scores(rows, query).join(scope, "media_item_id", "left_semi"), k)  # scored first: vectors stay where they are
+    if index is not None:
+        known = F.col("media_item_id").isNotNull()
+        return _ranked(media, index.top_k(query, _most(k), scope=scope, where=known if model is None else known & (F.col("model") == model)))
+    rows = embeddings.where(F.col("media_item_id").isNotNull())
+    if model is not None:
+        rows = rows.where(F.col("model") == model)
+    return _ranked(media, best(scores(rows, query).join(scope, "media_item_id", "left_semi"), k))  # scored first: vectors stay where they are
+
+
+def _ranked(media: DataFrame, hits: DataFrame) -> DataFrame:
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "media_item_id")))  # at most K_MOST rows
     return media.join(F.broadcast(ranked), media["id"] == ranked["media_item_id"]).drop("media_item_id").orderBy("rank")
 

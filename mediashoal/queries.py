@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediashoal.functions import dates, rules, vectors
-from mediashoal.operators import clusters, duplicates, incremental, people, vector_search
+from mediashoal.operators import clusters, duplicates, incremental, people, pivots, vector_search
 from mediashoal.plans import filters
 from mediashoal.plans.filters import SearchFilter
+from mediashoal.storage import fresh_path
 from mediashoal.views import Views, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,7 +138,10 @@ def _seed(v: Views) -> list[float]:
 _Q = f"(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {_SEED})"
 
 
-@query("semantic_topk", f"SELECT v.media_item_id AS id, round(list_cosine_similarity(vector::DOUBLE[], q), 6) AS score FROM vectors v, {_Q} JOIN media m ON m.id = v.media_item_id WHERE {_LISTED} ORDER BY list_cosine_similarity(vector::DOUBLE[], q) DESC, v.media_item_id LIMIT 50")
+_TOPK = f"SELECT v.media_item_id AS id, round(list_cosine_similarity(vector::DOUBLE[], q), 6) AS score FROM vectors v, {_Q} JOIN media m ON m.id = v.media_item_id WHERE {_LISTED} ORDER BY list_cosine_similarity(vector::DOUBLE[], q) DESC, v.media_item_id LIMIT 50"
+
+
+@query("semantic_topk", _TOPK)
 def _(v):
     return vector_search.search_semantic(v.media, v.vectors, _seed(v)).select("id", F.round("score", 6).alias("score"))
 
@@ -156,6 +160,46 @@ def _(v):
     return vector_search.rank_all(v.vectors, _seed(v))
 
 
+@query("semantic_topk_pruned", _TOPK)
+def _(v):
+    """The same from an index of the vectors by cells, of some 64 rows each."""
+    index = pivots.PivotIndex.build(v.vectors, fresh_path(v.spark, "pivots"), cell_rows=64)
+    return vector_search.search_semantic(v.media, None, _seed(v), index=index).select("id", F.round("score", 6).alias("score"))
+
+
+_CENTRED = "SELECT vec_id AS id, label, list_transform(embedding, lambda x, i: CAST(0.3 * x::DOUBLE + CASE WHEN (i - 1) % 10 = label THEN 1 ELSE 0 END AS FLOAT)) AS vector FROM embeddings"
+
+
+def _centred(v: Views) -> DataFrame:
+    """Vectors around the directions of their labels."""
+    near = lambda x, i: (0.3 * x.cast("double") + F.when(i % 10 == F.col("label"), 1.0).otherwise(0.0)).cast("float")
+    return v.table("embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", near).alias("vector"))
+
+
+@query(
+    "clustered_search",
+    f"""WITH c AS MATERIALIZED ({_CENTRED}) SELECT c.id, round(list_cosine_similarity(c.vector::DOUBLE[], q.vector::DOUBLE[]), 6) AS score, true AS under_half FROM c, (SELECT vector FROM c WHERE id = {_SEED}) q
+    ORDER BY list_cosine_similarity(c.vector::DOUBLE[], q.vector::DOUBLE[]) DESC, c.id LIMIT 20""",
+)
+def _(v):
+    """Of vectors in clusters, an exact search reads under half."""
+    rows, searched = _centred(v), pivots.Searched()
+    index = pivots.PivotIndex.build(rows, fresh_path(v.spark, "pivots"), ident="id", cell_rows=64)
+    one = rows.where(F.col("id") == _SEED).first()["vector"]
+    hits = index.top_k([float(x) for x in one], 20, "id", searched=searched)
+    return hits.select("id", F.round("score", 6).alias("score"), F.lit(2 * searched.scored < searched.rows).alias("under_half"))
+
+
+@query("clustered_pairs", f"WITH c AS MATERIALIZED ({_CENTRED}) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id WHERE list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) >= 0.99")
+def _(v):
+    return clusters.similar_pairs(_centred(v), 0.99, cell_rows=64).select("a", "b")
+
+
+@query("face_class_members", "SELECT f.id, c.first FROM faces f JOIN (SELECT vector, min(id) AS first FROM faces GROUP BY vector) c ON c.vector = f.vector")
+def _(v):
+    return pivots.members(v.faces).select("id", "first")
+
+
 @query(
     "best_person",
     """SELECT id, person_id, round(score, 6) AS score FROM (
@@ -173,7 +217,7 @@ def _(v):
     return people.propagate(v.faces, _seed(v), own_media=3, threshold=0.2).select("id", F.round("score", 6).alias("score"))
 
 
-_EDGES = "SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS score FROM faces a JOIN faces b ON a.id < b.id WHERE list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) >= 0.42"
+_EDGES = "SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS score FROM (SELECT min(id) AS id, vector FROM faces GROUP BY vector) a JOIN (SELECT min(id) AS id, vector FROM faces GROUP BY vector) b ON a.id < b.id WHERE list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) >= 0.42"
 
 
 @query("face_pairs", f"SELECT a, b, round(score, 6) AS score FROM ({_EDGES})")
@@ -182,7 +226,8 @@ def _(v):
 
 
 ORACLE_SQL["face_clusters"] = with_views("SELECT * FROM faces").removesuffix("SELECT * FROM faces").rstrip() + f""", e AS MATERIALIZED ({_EDGES}),
-    s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, reached) AS (SELECT id, id FROM faces UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.reached),
+    s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT f.id, c.first FROM faces f JOIN (SELECT vector, min(id) AS first FROM faces GROUP BY vector) c USING (vector)
+        UNION SELECT c.first, f.id FROM faces f JOIN (SELECT vector, min(id) AS first FROM faces GROUP BY vector) c USING (vector)), r(id, reached) AS (SELECT id, id FROM faces UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.reached),
     c AS (SELECT id, min(reached) AS component FROM r GROUP BY id)
     SELECT id, component, dense_rank() OVER (ORDER BY component) - 1 AS cluster_id FROM c"""
 QUERIES["face_clusters"] = lambda spark, d: clusters.clusters(Views(spark, d).faces)
