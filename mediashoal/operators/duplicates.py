@@ -7,6 +7,7 @@ Groups are tables of members, so that a group of any size is many rows and no ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -76,18 +77,25 @@ def visual_pairs(prints: DataFrame) -> DataFrame:
     Two phashes within PHASH_MOST bits agree on one of PHASH_MOST + 1 blocks, so classes
     meet in buckets of (ahash, block); a pair counts in the first block it agrees on.
     """
+    near = _near(print_classes(prints).select("ahash", "p", "d", F.col("first").alias("at")))
+    return near.select(F.col("a").alias("path_a"), F.col("b").alias("path_b"), "score")
+
+
+def _near(earlier: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """``(a, b, score)``: the ``at`` of near classes of one ahash, a before b; of one table or,
+    with ``later``, of two. Columns ahash, p, d, at."""
     n = PHASH_MOST + 1
     masks = [sum(1 << b for b in range(k, 64, n)) for k in range(n)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("p").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
-    dealt = print_classes(prints).select("ahash", "p", "d", "first", F.explode(blocks).alias("b")).select("ahash", "p", "d", "first", "b.k", "b.bits")
-    both = dealt.alias("a").join(dealt.alias("b"), ["ahash", "k", "bits"]).where("a.first < b.first")
+    dealt = [x.select("ahash", "p", "d", "at", F.explode(blocks).alias("b")).select("ahash", "p", "d", "at", "b.k", "b.bits") for x in (earlier, earlier if later is None else later)]
+    both = dealt[0].alias("a").join(dealt[1].alias("b"), ["ahash", "k", "bits"]).where("a.at < b.at")
     differ = F.col("a.p").bitwiseXOR(F.col("b.p"))
-    earlier = F.lit(False)
+    before = F.lit(False)
     for k, m in enumerate(masks[:-1]):
-        earlier = earlier | ((F.col("k") > k) & (differ.bitwiseAND(F.lit(m)) == 0))
-    near = both.where(~earlier).select(F.col("a.first").alias("path_a"), F.col("b.first").alias("path_b"), F.bit_count(differ).alias("x"), F.bit_count(F.col("a.d").bitwiseXOR(F.col("b.d"))).alias("y"))
-    return near.where((F.col("x") <= PHASH_MOST) & (F.col("y") <= DHASH_MOST)).select("path_a", "path_b", (F.col("x") + F.col("y")).alias("score"))
+        before = before | ((F.col("k") > k) & (differ.bitwiseAND(F.lit(m)) == 0))
+    near = both.where(~before).select(F.col("a.at").alias("a"), F.col("b.at").alias("b"), F.bit_count(differ).alias("x"), F.bit_count(F.col("a.d").bitwiseXOR(F.col("b.d"))).alias("y"))
+    return near.where((F.col("x") <= PHASH_MOST) & (F.col("y") <= DHASH_MOST)).select("a", "b", (F.col("x") + F.col("y")).alias("score"))
 
 
 def greedy(p: np.ndarray, d: np.ndarray, files: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,50 +138,67 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return lists.select("classes").mapInArrow(run, FOUND)
 
 
-def _hot(rows: DataFrame) -> DataFrame:
-    """``greedy`` for an ahash of any number of classes: by blocks in order of path. The
-    anchors of a block take from all later ones, in tasks of a block each, before the
-    next block is grouped."""
+def _taken(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """``(b)``: classes that an earlier anchor takes, by rounds over ``(a, b)``, a before b.
+
+    A class without an earlier undecided one near it is an anchor; what is near an anchor
+    and later is taken, so is no anchor and holds back none. All that can be decided is
+    decided in a round, so rounds are as many as the longest chain of such dependencies.
+    """
+    alive, taken, n = edges.select("a", "b"), edges.select("b").limit(0), 0
+    while not alive.isEmpty():
+        heads = alive.select("a").distinct().join(alive.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = materialize(alive.join(heads, "a", "left_semi").select("b").distinct(), "taken-now")
+        taken, n = taken.unionAll(gone), n + 1
+        left = alive.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
+        alive = materialize(left.join(heads, "a", "left_anti"), "undecided")
+    if rounds is not None:
+        rounds.append(n)
+    return taken
+
+
+def _hot(rows: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """``greedy`` for an ahash of any number of classes: by stretches in order of path, each
+    twice as long as all before it together, so there are as many as the logarithm of the
+    classes. The first, of BUCKET_ROWS, is grouped in a task; in a later one, near
+    pairs among what is still free decide who is an anchor (``_taken``). Anchors of a stretch
+    take from all later ones before the next is looked at, so few pairs are left there.
+    ``rounds`` is filled with the rounds of each stretch.
+    """
     rows = ordered_index(rows, "ahash", "first", name="at")
-    first = rows.groupBy("ahash").agg(F.min("at").alias("start"))
-    rows = materialize(rows.join(first, "ahash").withColumn("block", F.floor((F.col("at") - F.col("start")) / BUCKET_ROWS).cast("int")), "hot-prints")
-    last, taken = rows.agg(F.max("block")).first()[0], None
-    for k in range(last + 1):
-        own = rows.where(F.col("block") == k)
-        own = own if taken is None else own.join(taken.select("first"), "first", "left_anti")
-
-        def run(group: pa.Table) -> pa.Table:
-            """All of the block that are free, singles too: each may be an anchor for later ones."""
-            group = group.sort_by("first")
-            p, d, files = (group.column(c).to_numpy() for c in ("p", "d", "files"))
-            took, anchors, scores = greedy(p.view(np.uint64), d.view(np.uint64), np.full(len(files), 2))
-            names = group.column("first").combine_chunks()
-            out = {"ahash": group.column("ahash").combine_chunks().take(pa.array(took)), "first": names.take(pa.array(took)), "anchor": names.take(pa.array(anchors))}
-            return pa.table(out | {n: group.column(n).combine_chunks().take(pa.array(anchors)) for n in "pd"} | {"score": pa.array(scores.astype(np.int32))})
-
-        found = materialize(own.groupBy("ahash").applyInArrow(run, "ahash string, first string, anchor string, p bigint, d bigint, score int"), "hot-anchors")
-        anchors = found.where("first = anchor").select("ahash", "anchor", "p", "d")
-        later = rows.where(F.col("block") > k)
-        later = later if taken is None else later.join(taken.select("first"), "first", "left_anti")
-        copies = anchors.join(later.select("ahash", F.col("block").alias("to")).distinct(), "ahash")
-
-        def take(group: pa.Table, by: pa.Table) -> pa.Table:
-            by = by.sort_by("anchor")
-            p, d = (group.column(c).to_numpy().view(np.uint64) for c in "pd")
-            best, score = np.full(len(p), -1), np.zeros(len(p), np.int32)
-            for i, (x, y) in enumerate(zip(*(by.column(c).to_numpy().view(np.uint64) for c in "pd"), strict=True)):
-                free = np.flatnonzero(best < 0)
-                dp, dd = np.bitwise_count(p[free] ^ x), np.bitwise_count(d[free] ^ y)
-                near = (dp <= PHASH_MOST) & (dd <= DHASH_MOST)
-                best[free[near]], score[free[near]] = i, dp[near].astype(np.int32) + dd[near]
-            hit = np.flatnonzero(best >= 0)
-            return pa.table({"first": group.column("first").combine_chunks().take(pa.array(hit)), "anchor": by.column("anchor").combine_chunks().take(pa.array(best[hit])), "score": pa.array(score[hit])})
-
-        more = later.groupBy("ahash", "block").cogroup(copies.groupBy("ahash", "to")).applyInArrow(take, FOUND)
-        step = materialize(found.select("first", "anchor", "score").unionAll(more), "hot-taken")
-        taken = step if taken is None else taken.unionAll(step)
-    scored = taken.groupBy("anchor").agg(F.max("score").alias("score"), F.count("*").alias("members"))
-    grouped = taken.select("first", "anchor").join(scored, "anchor").join(rows.select("first", "files"), "first")
+    start = rows.groupBy("ahash").agg(F.min("at").alias("start"), F.max("at").alias("end"))
+    rows = materialize(rows.join(start, "ahash").withColumn("place", F.col("at") - F.col("start")).drop("start", "end"), "hot-prints")
+    last, until, free, found = rows.agg(F.max("place")).first()[0], BUCKET_ROWS, rows.select("ahash", "p", "d", "at", "place", "files"), []
+
+    def first_stretch(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        p, d, at = (group.column(c).to_numpy() for c in ("p", "d", "at"))
+        took, anchors, scores = greedy(p.view(np.uint64), d.view(np.uint64), np.full(len(p), 2))  # singles too: each may be an anchor for later ones
+        own = np.zeros(len(took), np.int32)
+        moved = took != anchors
+        own[moved] = scores[moved]
+        return pa.table({"a": at[anchors], "b": at[took], "score": own})
+
+    while True:
+        own, later = free.where(F.col("place") < until), free.where(F.col("place") >= until)
+        if until == BUCKET_ROWS:
+            links = materialize(own.select("ahash", "p", "d", "at").groupBy("ahash").applyInArrow(first_stretch, "a bigint, b bigint, score int"), "hot-anchors")
+            anchors = own.join(links.where("a = b").select(F.col("a").alias("at")), "at", "left_semi")
+        else:
+            edges = materialize(_near(own), "hot-edges")
+            anchors = own.join(_taken(edges, rounds).select(F.col("b").alias("at")), "at", "left_anti")
+            by = edges.join(anchors.select(F.col("at").alias("a")), "a", "left_semi").groupBy("b").agg(F.min_by("score", "a").alias("score"), F.min("a").alias("a"))
+            links = materialize(by.select("a", "b", "score").unionAll(anchors.select(F.col("at").alias("a"), F.col("at").alias("b"), F.lit(0))), "hot-anchors")
+        found.append(links)
+        if until > last:
+            break
+        more = materialize(_near(anchors, later).groupBy("b").agg(F.min("a").alias("a"), F.min_by("score", "a").alias("score")).select("a", "b", "score"), "hot-taken")
+        found.append(more)
+        free, until = materialize(later.join(more.select(F.col("b").alias("at")), "at", "left_anti"), "hot-free"), until * 3
+    links = reduce(DataFrame.unionAll, found)
+    scored = links.groupBy("a").agg(F.max("score").alias("score"), F.count("*").alias("members"))
+    names = rows.select("at", "first", "files")
+    grouped = links.select("a", "b").join(scored, "a").join(names.select(F.col("at").alias("b"), "first", "files"), "b").join(names.select(F.col("at").alias("a"), F.col("first").alias("anchor")), "a")
     return grouped.where("members > 1 or files > 1").select("first", "anchor", "score")
 
 

@@ -63,6 +63,33 @@ def test_hot_buckets_are_grouped_by_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_greedy(rows)
 
 
+def test_stretches_and_rounds_are_few(spark, monkeypatch):
+    """Twenty times the first stretch: three more stretches, and rounds by the chains in them."""
+    monkeypatch.setattr(duplicates, "BUCKET_ROWS", 60)
+    rng = random.Random(6)
+    rows = [(f"/p/{k:05}", "00ff", f"{rng.getrandbits(12) << rng.randrange(20):08x}", f"{rng.getrandbits(10):04x}") for k in range(1200)]
+    classes = duplicates.print_classes(spark.createDataFrame(rows, "path string, ahash string, phash string, dhash string"))
+    rounds = []
+    got = duplicates._hot(classes, rounds).collect()
+    assert len(rounds) <= 3 and max(rounds) <= 12
+    first = {}
+    for path, h, p, d in rows:
+        first.setdefault((p, d), path)
+    taken = {r["first"]: (r["anchor"], r["score"]) for r in got}
+    expected = {x: (a, s) for x, a, s in brute_greedy(rows) if x in first.values()}
+    assert taken == expected
+
+
+def test_dependency_rounds(spark):
+    """A chain decides one after the other, a star at once, whatever the order of edges."""
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "a bigint, b bigint")
+    star = spark.createDataFrame([(0, k) for k in range(1, 9)] + [(k, k + 1) for k in range(1, 8)], "a bigint, b bigint")
+    rounds = []
+    assert sorted(r["b"] for r in duplicates._taken(chain, rounds).collect()) == [1, 3, 5]
+    assert sorted(r["b"] for r in duplicates._taken(star, rounds).collect()) == list(range(1, 9))
+    assert duplicates._taken(chain.limit(0), rounds).count() == 0 and rounds == [3, 1, 0]
+
+
 def test_a_large_bucket_runs():
     rng = np.random.default_rng(9)
     p, d = rng.integers(0, 2**63, 20_000, np.uint64), rng.integers(0, 2**63, 20_000, np.uint64)
