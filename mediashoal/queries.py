@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediashoal.functions import dates, rules, vectors
 from mediashoal.operators import clusters, duplicates, incremental, people, pivots, vector_search
 from mediashoal.plans import filters
+from mediashoal.plans.clustered import Clustered, near_centres
 from mediashoal.plans.filters import SearchFilter
 from mediashoal.storage import fresh_path
 from mediashoal.views import Views, with_views
@@ -84,6 +85,52 @@ def _(v):
     return filters.map_points(v.media).select("id", "latitude", "longitude")
 
 
+def _clustered(v: Views, by: str) -> Clustered:
+    return Clustered.build(v.media.drop("content"), fresh_path(v.spark, "clustered"), by, files=24)
+
+
+@query("clustered_text", f"SELECT {_COLUMNS} FROM media WHERE {_LISTED} AND (file_name ILIKE '%img_1_3%' OR path ILIKE '%img_1_3%') {_DESC} LIMIT 100")
+def _(v):
+    """The text search, opening only files with its trigrams."""
+    return _ids(_clustered(v, "path").search(SearchFilter(query=" img_1_3 ")))
+
+
+@query("clustered_geo", f"SELECT {_COLUMNS}, true AS under_half FROM media WHERE {_LISTED} AND {_NEAR} {_DESC} LIMIT 40 OFFSET 2")
+def _(v):
+    """The search of a circle, opening only files whose cells it covers."""
+    table = _clustered(v, "place")
+    found = table.search(SearchFilter(lat=10.0, lng=20.0, radius_km=3000.0, limit=40, offset=2))
+    return _ids(found).withColumn("under_half", F.lit(2 * len(table.opened) < 24))
+
+
+@query("clustered_page_after", f"SELECT {_COLUMNS}, true AS few FROM media WHERE {_LISTED} {_DESC} LIMIT 40 OFFSET 60")
+def _(v):
+    """The third page, opening only files that it is in."""
+    table, size = _clustered(v, "date"), 40
+    last = filters.page(filters.matching(v.media, SearchFilter()), limit=60).select("id", dates.sort_ts().alias("ts")).collect()[-1]
+    found = table.page_after(SearchFilter(), last["ts"], last["id"], size)
+    rows = v.media.count() / 24
+    return _ids(found).withColumn("few", F.lit(len(table.opened) <= 6 * (2 + size / rows)))
+
+
+_BOX_D = "c.radius / 111.32"
+_BOX_W = "c.radius / (111.32 * greatest(abs(cos(radians(c.latitude))), 0.01))"
+_APART = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(m.latitude - c.latitude) / 2), 2) + cos(radians(c.latitude)) * cos(radians(m.latitude)) * pow(sin(radians(m.longitude - c.longitude) / 2), 2)))"
+
+
+@query(
+    "geo_join",
+    f"""WITH c AS (SELECT id, latitude, longitude, 200 + id % 900 AS radius FROM media WHERE id % 50 = 0 AND latitude IS NOT NULL)
+    SELECT c.id AS centre_id, m.id, round({_APART}, 6) AS km FROM c JOIN media m ON m.latitude BETWEEN greatest(-90, c.latitude - {_BOX_D}) AND least(90, c.latitude + {_BOX_D})
+        AND (c.latitude - {_BOX_D} <= -90 OR c.latitude + {_BOX_D} >= 90 OR m.longitude BETWEEN greatest(-180, c.longitude - {_BOX_W}) AND least(180, c.longitude + {_BOX_W})) WHERE {_APART} <= c.radius""",
+)
+def _(v):
+    """Media around many places at once."""
+    radius = (200 + F.col("id") % 900).cast("double").alias("radius_km")
+    centres = v.media.where("id % 50 = 0 and latitude is not null").select(F.col("id").alias("centre_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), radius)
+    return near_centres(v.media, centres).select("centre_id", "id", F.round("km", 6).alias("km"))
+
+
 @query("get_media_item", "SELECT id, path, file_name, size_bytes FROM media WHERE id = 42")
 def _(v):
     return filters.get_media_item(v.media, 42).select("id", "path", "file_name", "size_bytes")
