@@ -130,7 +130,7 @@ def _(v):
 @query("update_embeddings", f"SELECT count(*) FILTER (content <> '') AS embedded, count(*) FILTER (coalesce(content, '') = '') AS skipped, count(*) FILTER (content <> '') AS stored FROM media WHERE {_LISTED} AND NOT missing")
 def _(v):
     catalog = _catalog(v, media_items=v.media.drop("content"))
-    done = catalog.update_embeddings(v.media.select("path", F.col("content").cast("binary").alias("content")), kernels.provider("local"), chunk=100_000, now=_NOW)
+    done = catalog.update_embeddings(v.media.select("path", F.col("content").cast("binary").alias("content")), kernels.provider("local"), now=_NOW)
     if done["error"]:
         raise RuntimeError(done["error"])
     return catalog.read("embeddings").agg(F.lit(done["embedded"]).cast("bigint").alias("embedded"), F.lit(done["skipped"]).cast("bigint").alias("skipped"), F.count("*").alias("stored"))

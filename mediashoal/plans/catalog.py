@@ -1,6 +1,6 @@
 """A catalog of snapshot tables, and the changes that its commands make.
 
-Each table is a folder of immutable Parquet snapshots; one small pointer file names the
+Each table is a folder of immutable Parquet snapshots; a small pointer file a version names the
 current one of each, so readers never see half a change, of one table or of several.
 Commands read the current snapshots, build the next state as a DataFrame, and commit it. Referential actions are explicit:
 embeddings go with their faces, faces stay when their person goes.
@@ -9,9 +9,11 @@ embeddings go with their faces, faces stay when their person goes.
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,17 +46,27 @@ class Catalog:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _current(self) -> dict[str, dict]:
+    def _version(self) -> int:
+        """Of the newest pointer; 0 if there is none."""
+        fs, folder = self._fs(f"{self.root}/versions")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _current(self, version: int | None = None) -> dict[str, dict]:
         """The snapshot of each table."""
-        fs, path = self._fs(f"{self.root}/current.json")
-        if not fs.exists(path):
+        version = self._version() if version is None else version
+        if not version:
             return {}
+        fs, path = self._fs(self._pointer(version))
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _pointer(self, version: int) -> str:
+        return f"{self.root}/versions/{version:020d}.json"
+
     def read(self, name: str) -> DataFrame:
         path = self._current()[name]["path"]
         self._seen[name] = path
@@ -64,36 +76,55 @@ class Catalog:
         self.commit_all({name: df}, batch)
 
     def commit_all(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
-        """Writes the next snapshots, then moves the one pointer by one rename, so all
-        tables change or none. Refused if another writer has replaced a snapshot that
-        this catalog has read; the new snapshots are then left to ``vacuum``. ``batch``: the
+        """Writes the next snapshots, then a pointer to all of them under the next version
+        number, if nobody has written that one: so all tables change or none, and of two
+        writers one is first. The other takes up what the first did to other tables and
+        tries the number after; it is refused if a table that it changes has another
+        snapshot than it has read, and its snapshots are left to ``vacuum``. ``batch``: the
         stream and its batch that the change holds.
         """
         paths = {name: f"{self.root}/{name}/snapshot-{uuid.uuid4().hex}" for name in tables}
         for name, df in tables.items():
             df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.parquet(paths[name])
-        current = self._current()
-        for name in tables:
-            if name in self._seen and name in current and self._seen[name] != current[name]["path"]:
-                raise CatalogError(f"{name} was changed meanwhile; read it again")
-        for name, path in paths.items():
-            current[name] = {"path": path, "batches": current.get(name, {}).get("batches", {}) | (dict([batch]) if batch else {})}
-        fs, target = self._fs(f"{self.root}/current.json")
+        while True:
+            version = self._version()
+            current = self._current(version)
+            for name in tables:
+                if name in self._seen and name in current and self._seen[name] != current[name]["path"]:
+                    raise CatalogError(f"{name} was changed meanwhile; read it again")
+            for name, path in paths.items():
+                current[name] = {"path": path, "batches": current.get(name, {}).get("batches", {}) | (dict([batch]) if batch else {})}
+            if self._create(self._pointer(version + 1), json.dumps(current).encode()):
+                break
+        self._seen |= paths
+
+    def _create(self, path: str, content: bytes) -> bool:
+        """Writes a file whole, unless there is one of this name: a draft is linked (on a local
+        disk) or renamed (elsewhere) to it, which both fail if it exists. A store whose
+        rename does not fail then takes one writer at a time.
+        """
+        fs, target = self._fs(path)
         _, draft = self._fs(f"{self.root}/draft-{uuid.uuid4().hex}.json")
         stream = fs.create(draft)
-        stream.write(json.dumps(current).encode())
+        stream.write(content)
         stream.close()
-        self._replace(draft, target)
-        self._seen |= paths
-
-    def _replace(self, draft, target) -> None:
-        """One atomic rename over what is there."""
-        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
+        fs.mkdirs(target.getParent())
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            else:
+                jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+                none = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, none)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            fs.delete(draft, False)
 
     def vacuum(self, older_than: float = 7 * 86400) -> int:
         """Deletes snapshots that no table points to, if so many seconds old; how many."""
@@ -104,6 +135,11 @@ class Catalog:
             for status in fs.listStatus(folder) if fs.exists(folder) else []:
                 if status.getPath().getName() not in used and status.getModificationTime() <= limit:
                     gone += bool(fs.delete(status.getPath(), True))
+        fs, folder = self._fs(f"{self.root}/versions")
+        newest = self._pointer(self._version()).rpartition("/")[2]
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            if status.getPath().getName() < newest and status.getModificationTime() <= limit:
+                fs.delete(status.getPath(), False)
         return gone
 
     def last_batch(self, stream: str, name: str = "media_items") -> int:
@@ -249,10 +285,11 @@ class Catalog:
         return errors
 
     def update_embeddings(self, contents: DataFrame, make, chunk: int = 256, now: int | None = None) -> dict[str, int | str | None]:
-        """Embeds the files that need it by chunks in order of id, one commit a chunk, and
-        ends at the first chunk that fails. ``contents`` (path, content). Items that the
-        provider can't take are skipped, and come again the next time. Returns
-        ``embedded, skipped, error``. On a cluster a chunk is a job: make it large.
+        """Embeds the files that need it, in one job whatever their number. In order of id
+        they are chunks of ``chunk`` files, committed in this order, one chunk first and then
+        twice as many each time, up to the first with a failure; what is committed stays, and
+        the rest comes again the next time, as do items that the provider can't take, which
+        are skipped. ``contents`` (path, content). Returns ``embedded, skipped, error``.
         """
         from mediashoal.plans.filters import processing_scope
         from mediashoal.sources.kernels import canonical_model, embed_files, embedding_counters
@@ -260,20 +297,26 @@ class Catalog:
         model = canonical_model(make().model)
         scope = processing_scope(self.read("media_items"))
         todo = incremental.needs_processing(scope, self.read("media_processing_cache"), "embeddings", model).select("id", "path")
-        files = ordered_index(todo.join(contents.select("path", "content"), "path").select("id", "content"), "id", name="k")
-        total = files.count()
-        out: dict[str, int | str | None] = {"embedded": 0, "skipped": 0, "error": None}
-        for first in range(0, total, chunk):
-            own = files.where((F.col("k") >= first) & (F.col("k") < first + chunk))
+        # chunks are counted over files that have contents, by ids alone; contents are read once more, to be embedded
+        places = ordered_index(todo.join(contents.select("path"), "path", "left_semi"), "id", name="k").select("id", F.floor(F.col("k") / chunk).alias("chunk"))
+        files = todo.join(contents.select("path", "content"), "path").select("id", "content")
+        made = materialize(embed_files(files, make, failures=True).join(places, "id"), "embedded")
+        ends = made.agg(F.max("chunk").alias("last"), F.min(F.when(F.col("failed").isNotNull(), F.struct("chunk", "id", "failed"))).alias("failure")).first()
+        failure = ends["failure"]
+        until = failure["chunk"] if failure else -1 if ends["last"] is None else ends["last"] + 1
+        out: dict[str, int | str | None] = {"embedded": 0, "skipped": 0, "error": failure and failure["failed"]}
+        first, size = 0, 1
+        while first < until:
+            own = made.where((F.col("chunk") >= first) & (F.col("chunk") < min(first + size, until)))
             try:
-                made = materialize(embed_files(own, make), "embedded")
-                self.replace_embeddings(made.where("vector is not null").select(F.col("id").alias("media_item_id"), "model", "vector"), now)
+                self.replace_embeddings(own.where("vector is not null").select(F.col("id").alias("media_item_id"), "model", "vector"), now)
             except Exception as e:  # noqa: BLE001  what went wrong is the result; earlier chunks stay
                 out["error"] = f"{type(e).__name__}: {e}"
                 break
-            counted = embedding_counters(made).first()
+            counted = embedding_counters(own).first()
             out["embedded"] += counted["embedded"]
             out["skipped"] += counted["skipped"]
+            first, size = first + size, size * 2
         return out
 
     # --- media and caches

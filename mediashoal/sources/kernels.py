@@ -308,33 +308,46 @@ def bisected(items: list[bytes], embed: Callable[[list[bytes]], list[list[float]
     return bisected(items[:half], embed) + bisected(items[half:], embed)
 
 
-def embed_files(files: DataFrame, make: Callable[[], Embedder], batch: int = 256) -> DataFrame:
-    """``(id, model, vector, error)`` of ``(id, content)`` rows, ``batch`` at a time.
+def embed_files(files: DataFrame, make: Callable[[], Embedder], batch: int = 256, failures: bool = False) -> DataFrame:
+    """``(id, model, vector, error)`` of ``(id, content)`` rows, ``batch`` at a time. With
+    ``failures``, a provider that can't be made or breaks down fails the rows of its batch,
+    in a column ``failed``, and not the job.
 
     With a column ``mime``, files that the provider's model does not take have an error
     and do not reach it; text has the MIME type ``text/plain``.
     """
     typed = "mime" in files.columns
 
+    names = ["id", "model", "vector", "error", *(["failed"] if failures else [])]
+
+    def embedded(model: Embedder, rows: pa.RecordBatch) -> list[tuple]:
+        content = [bytes(c or b"") for c in rows.column(1).to_pylist()]
+        why = [refusal(model.name, model.model, m) if typed else None for m in rows.column(2).to_pylist()]
+        taken, found = [k for k, w in enumerate(why) if w is None], [(None, w) for w in why]
+        for first in range(0, len(taken), batch):
+            some = taken[first : first + batch]
+            for k, one in zip(some, bisected([content[k] for k in some], model.embed_batch), strict=True):
+                found[k] = one
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
-        name = canonical_model(model.model)
+        model = None
         for rows in batches:
-            content = [bytes(c or b"") for c in rows.column(1).to_pylist()]
-            mimes = rows.column(2).to_pylist()
-            why = [refusal(model.name, model.model, m) if typed else None for m in mimes]
-            taken, found = [k for k, w in enumerate(why) if w is None], [(None, w) for w in why]
-            for first in range(0, len(taken), batch):
-                some = taken[first : first + batch]
-                for k, one in zip(some, bisected([content[k] for k in some], model.embed_batch), strict=True):
-                    found[k] = one
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([name] * len(found), pa.string()), pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())], ["id", "model", "vector", "error"]
-            )
+            failed = name = None
+            try:
+                model = model or make()
+                name, found = canonical_model(model.model), embedded(model, rows)
+            except Exception as e:  # noqa: BLE001  whatever broke belongs to these rows
+                if not failures:
+                    raise
+                failed, found = f"{type(e).__name__}: {e}", [(None, None)] * rows.num_rows
+            columns = [rows.column(0), pa.array([name] * len(found), pa.string()), pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array([failed] * len(found), pa.string())] if failures else [])], names)
 
     small_batches(files.sparkSession)
     mime = F.col("mime") if typed else F.lit(None).cast("string")
-    return files.select(F.col("id").cast("bigint").alias("id"), "content", mime.alias("mime")).mapInArrow(run, "id bigint, model string, vector array<float>, error string")
+    schema = "id bigint, model string, vector array<float>, error string" + (", failed string" if failures else "")
+    return files.select(F.col("id").cast("bigint").alias("id"), "content", mime.alias("mime")).mapInArrow(run, schema)
 
 
 def embedding_counters(made: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import shutil
+import threading
 import time
 
 import pytest
@@ -218,6 +219,60 @@ def test_embeddings_are_committed_by_chunks(spark, catalog):
     assert sorted(r["media_item_id"] for r in catalog.read("embeddings").collect()) == [1, 3, 4, 5]
 
 
+def test_one_job_for_all_chunks(spark, catalog, monkeypatch):
+    rows = spark.createDataFrame([(f"/m/{k:02}.jpg", "image", k) for k in range(40)], "path string, media_type string, size_bytes bigint")
+    media = rows.withColumn("id", F.col("size_bytes") + 1).withColumn("file_name", F.substring("path", 4, 9)).withColumn("missing", F.lit(False))
+    catalog.commit("media_items", media.select([F.col(f.name) if f.name in media.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["media_items"].fields]))
+    contents = rows.select("path", F.concat(F.lit("c"), "size_bytes").cast("binary").alias("content"))
+    commits = []
+    good = catalog.replace_embeddings
+    monkeypatch.setattr(catalog, "replace_embeddings", lambda made, now: (commits.append(made.count()), good(made, now))[1])
+    assert catalog.update_embeddings(contents, HashEmbedder, chunk=4) == {"embedded": 40, "skipped": 0, "error": None}
+    assert commits == [4, 8, 16, 12] and catalog.read("embeddings").count() == 40
+
+
+def test_a_provider_that_can_not_be_made(spark, catalog):
+    rows = spark.createDataFrame([(1, "/a.jpg", "a.jpg", "image", False)], "id bigint, path string, file_name string, media_type string, missing boolean")
+    catalog.commit("media_items", rows.select([F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["media_items"].fields]))
+    driver = os.getpid()
+
+    def make():
+        if os.getpid() != driver:
+            raise OSError("no model here")
+        return HashEmbedder()
+
+    contents = spark.createDataFrame([("/a.jpg", bytearray(b"x"))], "path string, content binary")
+    assert catalog.update_embeddings(contents, make) == {"embedded": 0, "skipped": 0, "error": "OSError: no model here"}
+    assert catalog.read("embeddings").count() == 0
+
+
+def test_two_writers_lose_nothing(spark, catalog):
+    """Both add people at once, and try again when the other was first."""
+    errors = []
+
+    def add(letter):
+        own = Catalog(spark, catalog.root)
+        for k in range(4):
+            for _ in range(50):
+                try:
+                    own.person(f"{letter}{k}")
+                    break
+                except CatalogError:
+                    errors.append(letter)
+
+    threads = [threading.Thread(target=add, args=(x,)) for x in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    people = catalog.list_people().collect()
+    assert sorted(r["name"] for r in people) == sorted(f"{x}{k}" for x in "ab" for k in range(4)) and len({r["id"] for r in people}) == 8
+    assert not catalog._create(catalog._pointer(1), b"{}")  # a number that is taken stays as it is
+    before = catalog._version()
+    catalog.add_library_folder("/one", is_dir=lambda _: True)
+    assert catalog._version() == before + 1
+
+
 def test_plans_can_be_cancelled(spark, tmp_path):
     _, plan = plan_for(spark, tmp_path)
     book, none = cleanup.PlanBook(), spark.createDataFrame([], "path string")
