@@ -15,9 +15,9 @@ from mediashoal.operators import incremental, vector_search
 from mediashoal.plans import cleanup, filters
 from mediashoal.plans.catalog import Catalog
 from mediashoal.plans.filters import SearchFilter
-from mediashoal.queries import _COLUMNS, _DATE, _DESC, _FILES, _KEEP, _LISTED, _Q, _ids, _seed, query
+from mediashoal.queries import _COLUMNS, _DATE, _DESC, _DIFF, _FILES, _KEEP, _LISTED, _Q, _ids, _seed, query
 from mediashoal.schemas import TABLES
-from mediashoal.sources import files, kernels
+from mediashoal.sources import files, kernels, tree
 from mediashoal.storage import fresh_path
 from mediashoal.streaming import ingest
 from mediashoal.views import Views
@@ -300,6 +300,44 @@ def _(v):
     return files.errors(v.entries)
 
 
+_PIECES = ", ".join(f"CAST(('0x' || substr(h, {15 * k + 1}, 15)) AS BIGINT) AS s{k}" for k in range(4))
+_SUMS = ", ".join(f"sum(s{k}) AS s{k}" for k in range(4))
+_SHA = "sha256(" + " || ',' || ".join(f"CAST(CAST(coalesce(s{k}, 0) AS HUGEINT) AS VARCHAR)" for k in range(4)) + ")"
+_PARENT = "regexp_replace(path, '/[^/]*$', '')"
+
+
+def _level(d: int) -> str:
+    """Folders with ``d`` slashes, from those below."""
+    below = f" UNION ALL SELECT path, n, s0, s1, s2, s3 FROM below{d + 1}" if d < 6 else ""
+    return f"""level{d} AS MATERIALIZED (SELECT f.path, n_files, own, {_SHA} AS digest FROM (SELECT path, own FROM folders WHERE depth = {d}) f
+        LEFT JOIN (SELECT path, CAST(sum(n) AS BIGINT) AS n_files, {_SUMS} FROM (SELECT path, n, s0, s1, s2, s3 FROM direct{below}) GROUP BY path) c ON c.path = f.path),
+    below{d} AS (SELECT {_PARENT} AS path, n, {_PIECES} FROM (SELECT path, n_files AS n, sha256('d/' || regexp_extract(path, '[^/]*$') || '/' || digest) AS h FROM level{d}))"""
+
+
+@query(
+    "folder_digests",
+    f"""WITH leaves AS (SELECT parent AS path, sha256('f/' || regexp_extract(path, '[^/]*$') || '/' || coalesce(CAST(size_bytes AS VARCHAR), '') || '/' || coalesce(CAST(modified_at AS VARCHAR), '') || '/' || coalesce(error, '')) AS h
+        FROM entries WHERE NOT is_dir OR error IS NOT NULL),
+    direct AS MATERIALIZED (SELECT path, count(*) AS n, {_SUMS} FROM (SELECT path, {_PIECES} FROM leaves) GROUP BY path),
+    named AS (SELECT parent AS path FROM entries UNION SELECT path FROM entries WHERE is_dir AND error IS NULL),
+    up AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path FROM named, LATERAL (SELECT unnest(range(2, len(string_split(path, '/')) + 1)) AS k)),
+    folders AS MATERIALIZED (SELECT u.path, len(string_split(u.path, '/')) - 1 AS depth, {_SHA} AS own FROM up u LEFT JOIN direct d ON d.path = u.path),
+    {", ".join(_level(d) for d in range(6, 0, -1))}
+    {" UNION ALL ".join(f"SELECT path, CAST({d} AS INTEGER) AS depth, coalesce(n_files, 0) AS n_files, own, digest FROM level{d}" for d in range(1, 7))}""",
+)
+def _(v):
+    return tree.folder_digests(v.entries)
+
+
+@query("rescan_diff", f"SELECT * FROM ({_DIFF})")
+def _(v):
+    """What changed since the last scan, compared only in folders whose digests differ."""
+    listed = lambda rows: tree.folder_digests(rows.select(F.lit("/lib").alias("root"), "path", tree.folder_of().alias("parent"), F.lit(False).alias("is_dir"), "size_bytes", "modified_at", F.lit(None).cast("string").alias("error")))
+    media = v.media.where("not missing").select("path", "size_bytes", "modified_at", "missing")
+    changed = tree.changed_folders(listed(media), listed(v.listing))
+    return tree.rescan_diff(v.listing, media, changed).select("path", "size_bytes", "action")
+
+
 @query("clean_paths", "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'C:\\' || source ELSE 'D:\\' || coalesce(source, '') END AS path FROM documents")
 def _(v):
     raw = F.when(F.col("lang") == "en", F.concat(F.lit("\\\\?\\C:\\"), "source")).otherwise(F.concat(F.lit("D:\\"), F.coalesce("source", F.lit(""))))

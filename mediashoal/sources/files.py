@@ -8,7 +8,8 @@ root, as columns.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,11 @@ def canonical_folder(path: str) -> str | None:
     return os.path.realpath(path) if os.path.isdir(path) else None
 
 
-def _entries(root: str, here: str) -> Iterator[tuple]:
+def entry(root: str, path: str, here: str, is_dir: bool, s: os.stat_result) -> tuple:
+    return root, path, here, is_dir, None if is_dir else s.st_size, int(getattr(s, "st_birthtime", s.st_ctime)), int(s.st_mtime), None
+
+
+def entries_of(root: str, here: str) -> Iterator[tuple]:
     """What a folder holds directly."""
     try:
         entries = sorted(os.scandir(here), key=lambda e: e.name)
@@ -37,8 +42,7 @@ def _entries(root: str, here: str) -> Iterator[tuple]:
         try:
             is_dir, is_file = e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)
             if is_dir or is_file:
-                s = e.stat(follow_symlinks=False)
-                yield root, e.path, here, is_dir, s.st_size if is_file else None, int(getattr(s, "st_birthtime", s.st_ctime)), int(s.st_mtime), None
+                yield entry(root, e.path, here, is_dir, e.stat(follow_symlinks=False))
         except OSError as err:
             yield root, e.path, here, False, None, None, None, f"{e.path}: {err.strerror}"
 
@@ -51,6 +55,12 @@ def listing(spark: SparkSession, roots: list[str], skip_excluded: bool = False)
     the rows are written, so neither driver nor one task walks a tree. With
     ``skip_excluded``, folders that the rules leave out are not gone into.
     """
+    errors, folders = split_roots(spark, roots)
+    return once(walk(folders, skip_excluded).unionAll(errors))
+
+
+def split_roots(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Error rows for roots that are no folder; ``(root, path)`` of those that are one."""
     first, level = [], []
     for root in dict.fromkeys(r.rstrip("/") or "/" for r in roots):
         if os.path.isdir(root):
@@ -58,37 +68,48 @@ def listing(spark: SparkSession, roots: list[str], skip_excluded: bool = False)
         else:
             kind = "not a folder" if os.path.exists(root) else "no such folder"
             first.append((root, root, os.path.dirname(root), True, None, None, None, f"{root}: {kind}"))
-    names = [c.split()[0] for c in ENTRY.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return spark.createDataFrame(first, ENTRY), spark.createDataFrame(level, "root string, path string")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+NAMES = [c.split()[0] for c in ENTRY.split(", ")]
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+
+def packed(rows: Iterable[tuple], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Entries as batches of ``most`` rows."""
+    for part in batched(rows, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), _KINDS, strict=True)], NAMES)
+
+
+def read_folders(folders: DataFrame) -> DataFrame:
+    """The entries directly in ``folders`` (root, path), read on executors and written."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for root, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in _entries(root, folder):
-                    rows.append(row)
-                    if len(rows) == 4096:
-                        yield packed(rows)
-                        rows = []
-            if rows:
-                yield packed(rows)
-
-    both = spark.createDataFrame(first, ENTRY)
-    folders, below = spark.createDataFrame(level, "root string, path string"), bool(level)
-    tasks = spark.sparkContext.defaultParallelism
-    while below:
-        found = materialize(folders.repartition(tasks, "path").mapInArrow(read, ENTRY), "listing")
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield from packed(e for root, folder in pairs for e in entries_of(root, folder))
+
+    tasks = folders.sparkSession.sparkContext.defaultParallelism
+    return materialize(folders.select("root", "path").repartition(tasks, "path").mapInArrow(read, ENTRY), "listing")
+
+
+def walk(folders: DataFrame, skip_excluded: bool = False) -> DataFrame:
+    """All entries below ``folders`` (root, path), level by level."""
+    both = folders.sparkSession.createDataFrame([], ENTRY)
+    while not folders.isEmpty():
+        found = read_folders(folders)
         both = both.unionAll(found)
         folders = found.where("is_dir and error is null").select("root", "path")
         if skip_excluded:
             folders = folders.where(~rules.is_excluded(_below()))
-        below = not folders.isEmpty()
-    rest = [c for c in both.columns if c not in ("path", "error")]
-    once = both.groupBy("path", "error").agg(F.min_by(F.struct(*rest), F.struct(F.length("root"), "root")).alias("e"))
-    return once.select("e.root", "path", *[f"e.{c}" for c in rest[1:]], "error")
+    return both
+
+
+def once(entries: DataFrame) -> DataFrame:
+    """Each path once, below its shortest root."""
+    rest = [c for c in NAMES if c not in ("path", "error")]
+    least = entries.groupBy("path", "error").agg(F.min_by(F.struct(*rest), F.struct(F.length("root"), "root")).alias("e"))
+    return least.select("e.root", "path", *[f"e.{c}" for c in rest[1:]], "error")
 
 
 def _below(column: str = "path") -> Column:
