@@ -17,7 +17,7 @@ from mediashoal.plans.catalog import Catalog
 from mediashoal.plans.filters import SearchFilter
 from mediashoal.queries import _COLUMNS, _DATE, _DESC, _DIFF, _FILES, _KEEP, _LISTED, _Q, _ids, _seed, query
 from mediashoal.schemas import TABLES
-from mediashoal.sources import files, kernels, tree
+from mediashoal.sources import files, folders, kernels, tree
 from mediashoal.storage import fresh_path
 from mediashoal.streaming import ingest
 from mediashoal.views import Views
@@ -338,6 +338,23 @@ def _(v):
     return tree.rescan_diff(v.listing, media, changed).select("path", "size_bytes", "action")
 
 
+_NONE = "__HIVE_DEFAULT_PARTITION__"
+_BRANCH = f"'source=' || coalesce(nullif(source, ''), '{_NONE}')"
+
+
+@query("folder_source", f"SELECT DISTINCT {_BRANCH} AS folder, false AS has_files FROM documents UNION ALL SELECT DISTINCT {_BRANCH} || '/lang=' || coalesce(nullif(lang, ''), '{_NONE}'), true FROM documents")
+def _(v):
+    """Folders of a tree of real files, which Spark wrote, and whether they hold some."""
+    root = fresh_path(v.spark, "tree")
+    v.table("documents").select(F.col("doc_id").cast("string").alias("value"), "source", "lang").write.partitionBy("source", "lang").text(root)
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    folders.register(v.spark)
+    found = v.spark.read.format("media_folders").load(root).where("not excluded and error is null")
+    below = F.substring(F.when(F.col("is_dir"), F.col("path")).otherwise(F.col("parent")), len(root) + 2, 1 << 20)
+    return found.groupBy(below.alias("folder")).agg(F.max(~F.col("is_dir")).alias("has_files")).where("folder <> ''")
+
+
 @query("clean_paths", "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'C:\\' || source ELSE 'D:\\' || coalesce(source, '') END AS path FROM documents")
 def _(v):
     raw = F.when(F.col("lang") == "en", F.concat(F.lit("\\\\?\\C:\\"), "source")).otherwise(F.concat(F.lit("D:\\"), F.coalesce("source", F.lit(""))))
