@@ -291,6 +291,6 @@ def members(vectors: DataFrame, ident: str = "id", vector: str = "vector") -> Da
 
 
 def classes(vectors: DataFrame, ident: str = "id", vector: str = "vector") -> DataFrame:
-    """``(id, v)`` of one vector of each class, those with a direction, written once."""
+    """``(id, v, times)`` of one vector of each class, those with a direction, written once."""
     rows = vectors.where(F.col(vector).isNotNull() & directed(F.col(vector))).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    return materialize(rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "vector-classes")
+    return materialize(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("times")).select("id", "v", "times"), "vector-classes")

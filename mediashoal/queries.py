@@ -272,6 +272,17 @@ def _(v):
     return clusters.similar_pairs(v.faces).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query(
+    "face_links",
+    """WITH c AS MATERIALIZED (SELECT min(id) AS first, count(*) AS times, vector FROM faces GROUP BY vector),
+        n AS (SELECT a.first, sum(b.times) AS n FROM c a JOIN c b ON a.first <> b.first WHERE list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) >= 0.42 GROUP BY a.first)
+    SELECT f.id, c.first AS class_id, CAST(c.times - 1 + coalesce(n.n, 0) AS BIGINT) AS n_links FROM faces f JOIN c ON c.vector = f.vector LEFT JOIN n ON n.first = c.first""",
+)
+def _(v):
+    """What ``face_pairs`` says of each face, without the pairs."""
+    return clusters.links(v.faces)
+
+
 ORACLE_SQL["face_clusters"] = with_views("SELECT * FROM faces").removesuffix("SELECT * FROM faces").rstrip() + f""", e AS MATERIALIZED ({_EDGES}),
     s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT f.id, c.first FROM faces f JOIN (SELECT vector, min(id) AS first FROM faces GROUP BY vector) c USING (vector)
         UNION SELECT c.first, f.id FROM faces f JOIN (SELECT vector, min(id) AS first FROM faces GROUP BY vector) c USING (vector)), r(id, reached) AS (SELECT id, id FROM faces UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.reached),

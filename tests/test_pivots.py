@@ -60,6 +60,36 @@ def test_similar_pairs_equal_brute_force(spark, threshold, cells, block, seed):
     assert all(abs(got[k] - expected[k]) < 1e-9 for k in got.keys() & expected.keys())
 
 
+@pytest.mark.parametrize("threshold, cells, block, seed", [(0.95, 20, 8, 1), (0.4, 30, 16384, 2), (0.05, 200, 50, 3)])
+def test_links_equal_brute_force(spark, threshold, cells, block, seed):
+    rows = clustered(250, seed=seed) + clustered(40, 40, seed=9) + awkward()
+    rows = [(i * 10 + k % 7, v) for k, (i, v) in enumerate(rows)]
+    rows += [rows[0], (None, [0.0] * 16)]  # a repeated row, and a null id
+    random.Random(seed).shuffle(rows)
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], KIND + ", n string, times int").repartition(3)
+    got = sorted(map(tuple, clusters.links(df, threshold, cell_rows=cells, block_rows=block).collect()), key=str)
+    first = {}
+    for i, v in rows:
+        if fine(v):
+            first[tuple(v)] = min(i, first.get(tuple(v), i))
+    expected = []
+    for i, v in rows:
+        if fine(v):
+            same = [w for _, w in rows if fine(w) and len(w) == len(v)]
+            expected.append((i, first[tuple(v)], sum(w == v or c >= threshold for w, c in zip(same, cosines([v], same)[0])) - 1))
+        else:
+            expected.append((i, i, 0))
+    assert got == sorted(expected, key=str)
+    assert clusters.links(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_links_leave_no_pairs(spark):
+    """A dense group: rows that leave the tiles grow with the group, not with its square."""
+    close = clustered(600, 1, 16, 0.01)
+    links = clusters.links(spark.createDataFrame(close, KIND), 0.9, block_rows=100)
+    assert {r["n_links"] for r in links.collect()} == {599}
+
+
 def test_rows_that_move_grow_slower_than_blocks_by_blocks(spark):
     """Clusters, each a few cells: visits stay near home as the table grows."""
     moved = []
