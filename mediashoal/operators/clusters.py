@@ -90,10 +90,10 @@ def links(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "i
     Tiles count their pairs and give one row for each class, so what leaves them grows with
     the classes and not with the pairs. Vectors that are null, without a direction or with
     numbers that are not finite are classes of their own (``class_id`` is their id), without
-    links; vectors of different sizes are not linked. A null id has a null class if it is
-    alone. Ids that are there twice count as rows. An empty table gives no rows.
+    links; vectors of different sizes are not linked. Vectors that only rows with a null
+    id have are left apart: a null class, no links. Ids that are there twice count as rows. An empty table gives no rows.
     """
-    rows = pivots.classes(vectors, ident, vector)
+    rows = pivots.classes(vectors, ident, vector).where("id is not null")
 
     def kernel(visitors: pa.Table, home: pa.Table) -> pa.Table:
         ids, there = visitors.column("id").to_numpy(), home.column("id").to_numpy()
@@ -116,7 +116,7 @@ def links(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "i
     of_class = rows.join(counted, "id", "left").select("v", F.col("id").alias("class_id"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     every = vectors.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("v"))
     alone = every.where(~pivots.directed(F.col("v"))).select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return every.where(pivots.directed(F.col("v"))).join(of_class, "v").select("id", "class_id", "n_links").unionAll(alone)
+    return every.where(pivots.directed(F.col("v"))).join(of_class, "v", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")).unionAll(alone)
 
 
 def clusters(vectors: DataFrame, threshold: float = FACE_THRESHOLD, ident: str = "id", vector: str = "vector") -> DataFrame:

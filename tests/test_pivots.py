@@ -90,6 +90,12 @@ def test_links_leave_no_pairs(spark):
     assert {r["n_links"] for r in links.collect()} == {599}
 
 
+def test_links_of_rows_without_id(spark):
+    rows = [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.01])]
+    got = sorted(map(tuple, clusters.links(spark.createDataFrame(rows, KIND), 0.9).collect()), key=str)
+    assert got == sorted([(None, 3, 2), (None, None, 0), (3, 3, 2), (4, 4, 2)], key=str)
+
+
 def test_rows_that_move_grow_slower_than_blocks_by_blocks(spark):
     """Clusters, each a few cells: visits stay near home as the table grows."""
     moved = []
