@@ -34,6 +34,8 @@ SAMPLE, PIVOTS = 4096, 1024
 CELL_ROWS, BLOCK_ROWS = 4096, 16384
 #: Radians that rounding may move an angle (of nearly equal vectors: the square root of a rounding).
 SLACK = 1e-6
+#: Ranges of angles in the condition that reaches the files.
+RANGES = 32
 #: Cells of an index for vectors without a direction, and of those of another size.
 PLAIN, OTHER = -1, -2
 
@@ -190,6 +192,20 @@ class Searched:
     cells: int = 0
 
 
+def joined(ranges: list[tuple[float, float]], most: int) -> list[tuple[float, float]]:
+    """Sorted ranges that cover the given sorted ones: those that meet are one, then those with
+    the least gaps between them, until there are ``most``."""
+    apart: list[tuple[float, float]] = []
+    for low, high in ranges:
+        if apart and low <= apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(apart[-1][1], high))
+        else:
+            apart.append((low, high))
+    gaps = sorted(range(1, len(apart)), key=lambda k: apart[k][0] - apart[k - 1][1], reverse=True)
+    cuts = [0, *sorted(gaps[: most - 1]), len(apart)]
+    return [(apart[i][0], apart[j - 1][1]) for i, j in zip(cuts, cuts[1:])] if apart else []
+
+
 class PivotIndex:
     """Vectors by cells, in a folder: ``cell=<n>`` sorted by the angle to the pivot, and the
     pivots and bounds in ``cells.json``. Vectors without a direction are always scored;
@@ -230,24 +246,20 @@ class PivotIndex:
 
     def within(self, query: list[float], reach: float | None, taken: list[int] | None = None) -> tuple[DataFrame, list[int]]:
         """Rows that may lie within ``reach`` of the query (None: of the cells ``taken``), and
-        the cells they are in. Both are conditions on the partition and on the sorted angle."""
+        the cells they are in. Conditions on the partition and on the sorted angle reach the
+        files; each cell's own range of angles is joined to what they leave."""
         a = np.arccos(np.clip(self.cells.pivots @ (np.array(query) / np.linalg.norm(query)), -1, 1))
-        rows, condition = self.rows(), F.lit(False)
+        rows = self.rows()
         if reach is None:
             return rows.where(F.col("cell").isin([PLAIN, *taken])), taken
         read = np.flatnonzero(self.cells.least(a) <= reach).tolist()
-        merged: list[list[float]] = []  # of all cells read, without the partition, so that these reach the files too
-        for c in read:
-            condition = condition | ((F.col("cell") == c) & F.col("a").between(float(a[c] - reach), float(a[c] + reach)))
-        for low, high in sorted((float(a[c] - reach), float(a[c] + reach)) for c in read):
-            if merged and low <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], high)
-            else:
-                merged.append([low, high])
-        ranges = F.lit(False)
-        for low, high in merged:
+        bounds = [(c, float(a[c] - reach), float(a[c] + reach)) for c in read]
+        ranges = F.lit(False)  # of all cells read, without the partition, so that these reach the files too
+        for low, high in joined(sorted((low, high) for _, low, high in bounds), RANGES):
             ranges = ranges | F.col("a").between(low, high)
-        found = rows.where(F.col("cell").isin(read) & ranges & condition)
+        # a table and no condition a cell: hundreds of these, one in the other, are deeper than a plan can be
+        own = F.broadcast(self.spark.createDataFrame(bounds, "cell int, _low double, _high double"))  # at most PIVOTS rows
+        found = rows.where(F.col("cell").isin(read) & ranges).join(own, "cell").where(F.col("a").between(F.col("_low"), F.col("_high"))).select(rows.columns)
         return (found.unionAll(rows.where(F.col("cell") == PLAIN)) if self.plain else found), read
 
     def top_k(self, query: list[float], k: int, ident: str = "media_item_id", vector: str = "vector", scope: DataFrame | None = None, where: Column | None = None, searched: Searched | None = None) -> DataFrame:

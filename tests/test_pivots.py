@@ -186,6 +186,20 @@ def test_conditions_reach_the_scan(spark, tmp_path):
     assert "PartitionFilters" in plan and "GreaterThanOrEqual(a" in plan and 0 < len(read) < 20
 
 
+def test_a_search_that_reads_as_many_cells_as_there_can_be(spark, tmp_path):
+    rows = clustered(60, centres=1)
+    index = pivots.PivotIndex.build(spark.createDataFrame(rows, "media_item_id bigint, vector array<float>"), f"{tmp_path}/index", cell_rows=60)
+    index.cells = pivots.Cells(*(np.repeat(x, pivots.PIVOTS, 0) for x in (index.cells.pivots, index.cells.rows, index.cells.near, index.cells.far)))
+    found, read = index.within(rows[3][1], 1.0)
+    assert len(read) == pivots.PIVOTS and found.count() == 60 and found.columns == index.rows().columns
+
+
+def test_few_ranges_cover_many():
+    assert pivots.joined([], 3) == []
+    assert pivots.joined([(0, 2), (1, 3), (1, 2), (5, 6), (7, 8), (20, 21)], 9) == [(0, 3), (5, 6), (7, 8), (20, 21)]
+    assert pivots.joined([(0, 2), (1, 3), (1, 2), (5, 6), (7, 8), (20, 21)], 2) == [(0, 8), (20, 21)]
+
+
 def test_an_empty_index(spark, tmp_path):
     index = pivots.PivotIndex.build(spark.createDataFrame([], "media_item_id bigint, vector array<float>"), f"{tmp_path}/index")
     assert index.top_k([1.0], 3).count() == 0
