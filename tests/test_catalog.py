@@ -293,6 +293,16 @@ def test_intermediate_tables_go_with_their_scope(spark):
         spark.read.parquet(inside.inputFiles()[0])
 
 
+def test_pixels_in_the_cache_keep_no_exact_copy(spark):
+    """As in the SQL of the plan: pixels are of fingerprints, so of visual groups only."""
+    media = media_rows(spark, *[{"path": f"/m/{n}", "file_name": n, "size_bytes": 10, "captured_at": 1} for n in ("a.jpg", "b.jpg", "v1.jpg", "v2.jpg")])
+    prints = [("b.jpg", "h", 640, 480), ("a.jpg", "h", None, None), ("v1.jpg", "1", 4, 4), ("v2.jpg", "2", 640, 480)]
+    cache = spark.createDataFrame([(f"/m/{n}", 10, None, h, w, e, w and "00", w and "00", w and "00", 0) for n, h, w, e in prints], CLEANUP_CACHE)
+    none = spark.createDataFrame([], "path string, size_bytes bigint, reason string")
+    members = cleanup.generate(media, cache, none, none.select("path")).members
+    assert {(r["kind"], r["keep_path"]) for r in members.collect()} == {("exact-image", "/m/a.jpg"), ("visual-image", "/m/v2.jpg")}
+
+
 def plan_for(spark, tmp_path):
     media = media_rows(spark, *[{"path": f"{tmp_path}/{n}", "file_name": n, "size_bytes": 10, "captured_at": k} for k, n in enumerate(["a.jpg", "b.jpg", "c.jpg", "v1.jpg", "v2.jpg", "far.jpg"], 1)])
     cache = spark.createDataFrame([(f"{tmp_path}/a.jpg", 10, None, "h", None, None, None, None, None, 0)], CLEANUP_CACHE)
