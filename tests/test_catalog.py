@@ -231,6 +231,27 @@ def test_one_job_for_all_chunks(spark, catalog, monkeypatch):
     assert commits == [4, 8, 16, 12] and catalog.read("embeddings").count() == 40
 
 
+def test_chunks_are_committed_without_broadcasts_of_tables(spark, catalog, monkeypatch):
+    catalog.commit("media_items", media_rows(spark, *[{"size_bytes": 3, "modified_at": k} for k in range(6)]))
+    contents = spark.createDataFrame([(f"/m/{k}.jpg", bytearray(b"abc")) for k in range(1, 7)], "path string, content binary")
+    plans, good = [], catalog.commit_all
+
+    def commit_all(tables, batch=None):
+        plans.append({n: df._jdf.queryExecution().executedPlan().toString() for n, df in tables.items()})
+        good(tables, batch)
+
+    monkeypatch.setattr(catalog, "commit_all", commit_all)
+    assert catalog.update_embeddings(contents, HashEmbedder, chunk=2) == {"embedded": 6, "skipped": 0, "error": None}
+    assert len(plans) == 2
+    for plan in plans:
+        assert "Broadcast" not in plan["media_processing_cache"] and "media_items" not in plan["media_processing_cache"]
+        assert not [x for x in plan["embeddings"].splitlines() if "BroadcastHashJoin" in x and "LeftAnti" in x]
+    assert sorted(tuple(r) for r in catalog.read("media_processing_cache").select("media_item_id", "size_bytes", "modified_at").collect()) == [(k, 3, k - 1) for k in range(1, 7)]
+    before = catalog.read("embeddings").count()
+    catalog.replace_embeddings(catalog.read("embeddings").where("media_item_id < 3").select("media_item_id", "model", "vector"))
+    assert catalog.read("embeddings").count() == before and catalog.read("media_processing_cache").count() == 6
+
+
 def test_a_provider_that_can_not_be_made(spark, catalog):
     rows = spark.createDataFrame([(1, "/a.jpg", "a.jpg", "image", False)], "id bigint, path string, file_name string, media_type string, missing boolean")
     catalog.commit("media_items", rows.select([F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["media_items"].fields]))
