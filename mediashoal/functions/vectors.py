@@ -49,9 +49,14 @@ def l2_normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(v)
 
 
+#: A text that is one list without lists in it, and nothing else.
+_LIST = r"\A[ \t\r\n]*\[[^\[\]]*\][ \t\r\n]*\z"
+
+
 def legacy_vector(text: Column) -> Column:
-    """A vector stored as JSON text."""
-    return F.from_json(text, "array<float>")
+    """A vector stored as JSON text; null if the text goes on after the list, which
+    ``from_json`` would not look at."""
+    return F.from_json(F.when(text.rlike(_LIST), text), "array<float>")
 
 
 def _float_of_bits(bits: Column) -> Column:
@@ -80,7 +85,7 @@ def little_endian_vector(blob: Column) -> Column:
 def parse_blob(blob: Column) -> Column:
     """A stored vector: a JSON list if it begins with a bracket or four bytes don't go in
     evenly, else little-endian single-precision numbers, which is also what bytes are that
-    only begin like a list. Text that is no list gives null."""
+    only begin like a list, or with one. Text that is no list gives null."""
     text = blob.cast("string")
     numbers = little_endian_vector(blob)
     return F.when((F.substring(text, 1, 1) == "[") | (F.length(blob) % 4 != 0), F.coalesce(legacy_vector(text), numbers)).otherwise(numbers)

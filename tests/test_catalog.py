@@ -1,14 +1,16 @@
 import os
 import shutil
+import struct
 import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from mediashoal import storage
+from mediashoal import catalog_queries, storage  # noqa: F401  the first adds to the queries below
 from mediashoal.plans import cleanup
 from mediashoal.plans.catalog import Catalog, CatalogError
+from mediashoal.queries import QUERIES
 from mediashoal.schemas import CLEANUP_CACHE, EMBEDDINGS, FACES, MEDIA, TABLES
 from mediashoal.sources.kernels import HashEmbedder
 from mediashoal.streaming.ingest import ProgressState, ProgressTable, _stream_id, ingest_listings, progress_counts, stream_progress
@@ -103,6 +105,15 @@ def test_embeddings_caches_and_backfill(spark, catalog):
     assert catalog.clear_cleanup_cache() == 1 and catalog.clear_cleanup_cache() == 0
 
 
+def test_compacted_bytes_that_begin_with_a_list(spark, tmp_path):
+    """The bytes of a vector's first number may be ``[]`` and two more, and a vector may be empty."""
+    first = struct.unpack("<f", b"[]\x96\xbd")[0]
+    rows = [(0, [first, 0.25], 0), (1, [first, 0.5], 0), (2, [], 0), (3, [], 0), (4, None, 0), (5, [1.0], 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["second"] for r in QUERIES["compact_vectors"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0.25, 1: 0.5, 2: None, 3: None, 4: None, 5: None}
+
+
 LISTED = "path string, file_name string, media_type string, size_bytes bigint, modified_at bigint, imported_at bigint"
 
 

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import struct
@@ -38,6 +39,20 @@ def test_binary_vectors(spark):
     assert bytes(back) == blob
 
 
+def test_bytes_that_begin_with_a_list(spark):
+    """A list that ends before the bytes do is none; ``from_json`` alone stops at its bracket."""
+    numbers = [b"[]\x96\xbd\x9c\\\x99\xbd", b"[5]\x3d", b"[ ]\x3d", b"[1,2]  x", b"[]]]", b"[[]]", b"[]\xc2\x85"]
+    lists = {b"[1, 2] \n": [1.0, 2.0], b"[]  ": [], b"[1, 2.5]\r\n\t": [1.0, 2.5], b" [-1.5e1]": [-15.0], b"[1, 2]x": None}
+    cases = [*numbers, *lists]
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(cases)], "id int, b binary")
+    got = {cases[r["id"]]: r["v"] for r in df.select("id", vectors.parse_blob(F.col("b")).alias("v")).collect()}
+    assert {b: got[b] for b in numbers} == {b: None if len(b) % 4 else list(struct.unpack(f"<{len(b) // 4}f", b)) for b in numbers}
+    assert {b: got[b] for b in lists} == lists
+    assert math.isnan(one(spark, vectors.legacy_vector(F.col("t")), t='["NaN", 2]')[0])  # as to_json writes it
+    assert one(spark, vectors.legacy_vector(F.col("t")), t="[1, 2] and more") is None
+    assert one(spark, vectors.legacy_vector(F.col("t")), t=json.dumps([0.5] * 20_000)) == [0.5] * 20_000
+
+
 @pytest.mark.parametrize("ext,kind", [("JPG", "image"), ("..png", "image"), ("m2ts", "video"), ("txt", None), ("", None), (None, None)])
 def test_media_type(spark, ext, kind):
     assert one(spark, rules.media_type(F.col("e")), e=ext) == kind
